@@ -9,6 +9,8 @@ from operator import add
 
 import numpy as np
 import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -134,7 +136,7 @@ def fit_poisson(frame: DataFrame, label: str, features: Sequence[str], max_iter:
             factor = [*[scale[f] for f in used], 1.0]
             errors = {t: float(e) / s for t, e, s in zip(terms, summary.coefficientStandardErrors, factor)}
             p_values = {t: float(p) for t, p in zip(terms, summary.pValues)}
-        except Exception:  # not offered when the last step was solved iteratively
+        except (Py4JJavaError, PySparkException):  # not offered when the last step was solved iteratively
             errors, p_values = {}, {}
     return PoissonModel(
         features=tuple(features),

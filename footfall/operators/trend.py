@@ -90,7 +90,7 @@ def loess(df: DataFrame, series: Sequence[str], x: str, y: str, span: float = 0.
         if len(xs) == 0:
             return pd.DataFrame({**{c: [] for c in series}, "x": [], name: []})
         k = max(1, min(len(xs), int(np.floor(span * len(xs) + 1e-5))))
-        spread = max(1.0, span) ** 1.0
+        spread = max(1.0, span)
         points = xs if grid is None else np.linspace(xs[0], xs[-1], grid)
         out = pd.DataFrame({"x": points, name: [_local_fit(xs, ys, p, k, spread, degree) for p in points]})
         for c in series:
