@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 from operator import add, and_
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.nulls import col
 from .frames import with_row
 from .groups import first_n_per_group
-from .reuse import held
+from .reuse import held, persisted
 
 
 def scale_parameters(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -102,6 +104,12 @@ def _weighted_scaling(points: DataFrame, features: Sequence[str], weight: str):
     return centers, scales
 
 
+def _in_parallel(task, items: list, parallelism: int) -> list:
+    """Run jobs of independent fits from a few driver threads, as the model-selection classes of Spark ML do."""
+    with ThreadPool(max(1, min(parallelism, len(items)))) as pool:
+        return pool.map(inheritable_thread_target(task), items)
+
+
 def fit_kmeans(
     df: DataFrame,
     features: Sequence[str],
@@ -109,11 +117,13 @@ def fit_kmeans(
     seeds: Iterable[int] = range(123, 148),
     max_iter: int = 20,
     order_by: Sequence[str] = (),
+    parallelism: int = 8,
 ) -> ClusterModel:
     """k-means on standardised features, the best of one run per seed (M1, M2).
 
     The table is read once: equal rows are merged into weighted points, which leaves the objective unchanged, and all
-    restarts run on the merged points. Clusters are numbered by their centroid (``order_by`` first), not by chance.
+    restarts run on the merged points, ``parallelism`` of them at a time so that the jobs of one fill the gaps of another.
+    Clusters are numbered by their centroid (``order_by`` first), not by chance.
     """
     features, weight = list(features), "weight"
     with held(weighted_points(df, features, weight)) as points:
@@ -122,14 +132,16 @@ def fit_kmeans(
             *[((col(f) - F.lit(centers[f])) / F.lit(scales[f])).alias(f) for f in features], weight
         )
         vectors = VectorAssembler(inputCols=features, outputCol="features").transform(scaled)
-        with held(vectors.select("features", weight)) as ready:
-            best, costs = None, {}
-            for seed in seeds:
-                model = KMeans(k=k, seed=int(seed), maxIter=max_iter, weightCol=weight).fit(ready)
-                costs[int(seed)] = float(model.summary.trainingCost)
-                if best is None or costs[int(seed)] < best[0]:
-                    best = (costs[int(seed)], [tuple(float(v) for v in c) for c in model.clusterCenters()])
-    cost, found = best
+        with persisted(vectors.select("features", weight)) as ready:
+
+            def run(seed: int):
+                model = KMeans(k=k, seed=seed, maxIter=max_iter, weightCol=weight).fit(ready)
+                return float(model.summary.trainingCost), seed, [tuple(map(float, c)) for c in model.clusterCenters()]
+
+            ready.count()
+            runs = _in_parallel(run, [int(s) for s in seeds], parallelism)
+    cost, _, found = min(runs, key=lambda r: r[:2])
+    costs = {seed: c for c, seed, _ in runs}
     order = [features.index(f) for f in [*order_by, *[f for f in features if f not in order_by]]]
     found.sort(key=lambda c: tuple(c[i] for i in order))
     return ClusterModel(tuple(features), centers, scales, dict(enumerate(found, start=1)), cost, costs)

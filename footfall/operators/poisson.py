@@ -32,14 +32,14 @@ def gram_matrix(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((size, size))
         for batch in batches:
-            x = np.column_stack([np.ones(len(batch)), batch.to_numpy(dtype=float)])
+            x = batch.to_numpy(dtype=float)
+            x = np.column_stack([np.ones(len(x)), x])[~np.isnan(x).any(axis=1)]
             total += x.T @ x
         i, j = np.indices((size, size))
         yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "s": total.ravel()})
 
     cells = (
         df.select(*[col(c).cast("double").alias(c) for c in columns])
-        .dropna()
         .mapInPandas(partial, "i INT, j INT, s DOUBLE")
         .groupBy("i", "j")
         .agg(F.sum("s").alias("s"))
@@ -114,7 +114,9 @@ def fit_poisson(frame: DataFrame, label: str, features: Sequence[str], max_iter:
     and the coefficients are given in the original units.
     """
     features = list(features)
-    numbers = frame.select(*[col(c).cast("double").alias(c) for c in [label, *features]]).dropna()
+    numbers = frame.select(*[col(c).cast("double").alias(c) for c in [label, *features]])
+    # One test over an array: a chain of IS NOT NULL over dozens of columns makes constraint inference explode.
+    numbers = numbers.filter(~F.exists(F.array(*[col(c) for c in numbers.columns]), lambda v: v.isNull()))
     with held(numbers) as data:
         gram = gram_matrix(data, features)
         if gram[0, 0] == 0:

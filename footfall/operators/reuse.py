@@ -17,17 +17,24 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 @contextmanager
-def held(df: DataFrame):
-    """The frame for repeated reading inside a ``with`` block.
-
-    With a checkpoint folder the rows are written there once, so a lost executor costs a file read. Without one they are
-    persisted, and lost blocks are recomputed from the lineage.
-    """
-    if checkpoint_dir(df.sparkSession):
-        yield df.checkpoint(eager=True)
-        return
+def persisted(df: DataFrame):
+    """The frame cached for the length of a ``with`` block; lost blocks are recomputed."""
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield kept
     finally:
         kept.unpersist()
+
+
+@contextmanager
+def held(df: DataFrame):
+    """The result of a long computation for repeated reading inside a ``with`` block.
+
+    With a checkpoint folder the rows are written there once, so a lost executor costs a file read and not the whole
+    computation. Without one they are cached.
+    """
+    if checkpoint_dir(df.sparkSession):
+        yield df.checkpoint(eager=True)
+    else:
+        with persisted(df) as kept:
+            yield kept

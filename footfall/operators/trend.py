@@ -61,20 +61,6 @@ def quadratic_forecast(fit: DataFrame, first: int, last: int, origin: float, x:
     return grid.withColumn(name, F.col("b0") + F.col("b1") * t + F.col("b2") * t * t)
 
 
-def _local_fit(x: np.ndarray, y: np.ndarray, at: float, k: int, spread: float, degree: int) -> float:
-    gap = np.abs(x - at)
-    reach = np.sort(gap)[k - 1] * spread
-    weight = np.clip(1.0 - (gap / reach) ** 3, 0.0, None) ** 3 if reach > 0 else (gap == 0).astype(float)
-    near = weight > 0
-    if not near.any():
-        return float("nan")
-    power = min(degree, len(np.unique(x[near])) - 1)
-    root = np.sqrt(weight[near])
-    basis = np.vander(x[near] - at, power + 1, increasing=True)
-    fitted, *_ = np.linalg.lstsq(basis * root[:, None], y[near] * root, rcond=None)
-    return float(fitted[0])
-
-
 def loess(df: DataFrame, series: Sequence[str], x: str, y: str, span: float = 0.75, degree: int = 2,
           grid: int | None = None, name: str = "smoothed") -> DataFrame:
     """Local weighted polynomial of each series at its own x, or at ``grid`` even points of its range.
@@ -84,15 +70,27 @@ def loess(df: DataFrame, series: Sequence[str], x: str, y: str, span: float = 0.
     """
     series = list(series)
 
+    # Both helpers are nested so that they travel to the executors with the job.
+    def local_fit(xs: np.ndarray, ys: np.ndarray, at: float, k: int) -> float:
+        gap = np.abs(xs - at)
+        reach = np.sort(gap)[k - 1] * max(1.0, span)
+        weight = np.clip(1.0 - (gap / reach) ** 3, 0.0, None) ** 3 if reach > 0 else (gap == 0).astype(float)
+        near = weight > 0
+        if not near.any():
+            return float("nan")
+        power = min(degree, len(np.unique(xs[near])) - 1)
+        root = np.sqrt(weight[near])
+        basis = np.vander(xs[near] - at, power + 1, increasing=True)
+        return float(np.linalg.lstsq(basis * root[:, None], ys[near] * root, rcond=None)[0][0])
+
     def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.dropna(subset=["x", "y"]).sort_values("x")
         xs, ys = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
         if len(xs) == 0:
             return pd.DataFrame({**{c: [] for c in series}, "x": [], name: []})
         k = max(1, min(len(xs), int(np.floor(span * len(xs) + 1e-5))))
-        spread = max(1.0, span)
         points = xs if grid is None else np.linspace(xs[0], xs[-1], grid)
-        out = pd.DataFrame({"x": points, name: [_local_fit(xs, ys, p, k, spread, degree) for p in points]})
+        out = pd.DataFrame({"x": points, name: [local_fit(xs, ys, p, k) for p in points]})
         for c in series:
             out[c] = pdf[c].iloc[0]
         return out[[*series, "x", name]]
