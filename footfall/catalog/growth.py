@@ -113,15 +113,15 @@ def actual_vs_projected(spark, sf):  # C19 U3 P20
 @register("loess_series", with_ctes("zip_visits", then="""
 pts AS (SELECT zip, (year(clean_date) * 12 + month(clean_date))::DOUBLE AS x, count(*)::DOUBLE AS y
         FROM zip_visits GROUP BY 1, 2),
-pairs AS (SELECT a.zip, a.x AS at, b.x - a.x AS u, b.y AS y, abs(b.x - a.x) AS gap,
+pairs AS (SELECT a.zip, a.x AS x0, b.x - a.x AS u, b.y AS y, abs(b.x - a.x) AS gap,
                  row_number() OVER (PARTITION BY a.zip, a.x ORDER BY abs(b.x - a.x)) AS r,
                  CAST(floor(0.75::DOUBLE * count(*) OVER (PARTITION BY a.zip, a.x) + 0.00001::DOUBLE) AS INTEGER) AS k
           FROM pts a JOIN pts b ON a.zip = b.zip),
-reach AS (SELECT *, max(CASE WHEN r = k THEN gap END) OVER (PARTITION BY zip, at) AS h FROM pairs),
-weighted AS (SELECT zip, at, u, y, (1 - (gap / h) ** 3) ** 3 AS w FROM reach WHERE gap < h),
-s AS (SELECT zip, at, sum(w) AS n, sum(w*u) AS t1, sum(w*u*u) AS t2, sum(w*u*u*u) AS t3, sum(w*u*u*u*u) AS t4,
-             sum(w*y) AS v1, sum(w*u*y) AS tv, sum(w*u*u*y) AS ttv FROM weighted GROUP BY zip, at)""") + """
-SELECT zip, at AS x, round((v1*(t2*t4 - t3*t3) - t1*(tv*t4 - t3*ttv) + t2*(tv*t3 - t2*ttv))
+reach AS (SELECT *, max(CASE WHEN r = k THEN gap END) OVER (PARTITION BY zip, x0) AS h FROM pairs),
+weighted AS (SELECT zip, x0, u, y, (1 - (gap / h) ** 3) ** 3 AS w FROM reach WHERE gap < h),
+s AS (SELECT zip, x0, sum(w) AS n, sum(w*u) AS t1, sum(w*u*u) AS t2, sum(w*u*u*u) AS t3, sum(w*u*u*u*u) AS t4,
+             sum(w*y) AS v1, sum(w*u*y) AS tv, sum(w*u*u*y) AS ttv FROM weighted GROUP BY zip, x0)""") + """
+SELECT zip, x0 AS x, round((v1*(t2*t4 - t3*t3) - t1*(tv*t4 - t3*ttv) + t2*(tv*t3 - t2*ttv))
   / (n*(t2*t4 - t3*t3) - t1*(t1*t4 - t3*t2) + t2*(t1*t3 - t2*t2)), 4) AS smoothed FROM s""")
 def loess_series(spark, sf):  # M14
     months = zip_visits(spark, sf).groupBy(

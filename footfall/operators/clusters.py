@@ -11,7 +11,7 @@ from operator import add, and_
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.nulls import col
@@ -104,10 +104,10 @@ def _weighted_scaling(points: DataFrame, features: Sequence[str], weight: str):
     return centers, scales
 
 
-def _in_parallel(task, items: list, parallelism: int) -> list:
+def _in_parallel(spark: SparkSession, task, items: list, parallelism: int) -> list:
     """Run jobs of independent fits from a few driver threads, as the model-selection classes of Spark ML do."""
     with ThreadPool(max(1, min(parallelism, len(items)))) as pool:
-        return pool.map(inheritable_thread_target(task), items)
+        return pool.map(inheritable_thread_target(spark)(task), items)
 
 
 def fit_kmeans(
@@ -139,7 +139,7 @@ def fit_kmeans(
                 return float(model.summary.trainingCost), seed, [tuple(map(float, c)) for c in model.clusterCenters()]
 
             ready.count()
-            runs = _in_parallel(run, [int(s) for s in seeds], parallelism)
+            runs = _in_parallel(df.sparkSession, run, [int(s) for s in seeds], parallelism)
     cost, _, found = min(runs, key=lambda r: r[:2])
     costs = {seed: c for c, seed, _ in runs}
     order = [features.index(f) for f in [*order_by, *[f for f in features if f not in order_by]]]

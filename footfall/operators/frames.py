@@ -82,7 +82,9 @@ def with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     The row is a scalar subquery: it is computed once and enters the projection as a constant, without a join.
     """
     params = one_row.select(F.struct(*[col(c) for c in one_row.columns])).scalar()
-    return df.withColumns({c: params[c] for c in one_row.columns})
+    # One column holds the subquery, so that it is planned once and not once per parameter.
+    held = df.withColumn("__row", params)
+    return held.withColumns({c: F.col("__row")[c] for c in one_row.columns}).drop("__row")
 
 
 def in_box(df: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:

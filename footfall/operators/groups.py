@@ -76,13 +76,15 @@ def first_n_per_group(df: DataFrame, keys: Sequence[str], n: int, *order: Column
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n).drop(rank)
 
 
-def flag_group_min(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+def flag_group_min(df: DataFrame, keys: Sequence[str], value: str, name: str,
+                   within: DataFrame | None = None) -> DataFrame:
     """1 where ``value`` equals the smallest value of its group, else 0, NULL for a NULL value.
 
     The minimum comes from a partial aggregate joined back (NULL keys form a group), instead of a window that would
-    put every row of a hot group into one task.
+    put every row of a hot group into one task. ``within`` is the table ``df`` was aggregated from: reading just the key
+    and the value there is cheaper than repeating the aggregation.
     """
-    low = df.groupBy(*[col(k) for k in keys]).agg(F.min(col(value)).alias("__low"))
+    low = (df if within is None else within).groupBy(*[col(k) for k in keys]).agg(F.min(col(value)).alias("__low"))
     flagged = left_join(df, low, list(keys), na_matches=True)
     return flagged.withColumn(name, if_else(col(value) == F.col("__low"), 1, 0)).drop("__low")
 

@@ -115,9 +115,9 @@ def fit_poisson(frame: DataFrame, label: str, features: Sequence[str], max_iter:
     """
     features = list(features)
     numbers = frame.select(*[col(c).cast("double").alias(c) for c in [label, *features]])
-    # One test over an array: a chain of IS NOT NULL over dozens of columns makes constraint inference explode.
-    numbers = numbers.filter(~F.exists(F.array(*[col(c) for c in numbers.columns]), lambda v: v.isNull()))
-    with held(numbers) as data:
+    with held(numbers) as rows:
+        # Filtered after it is held: a NULL test over dozens of cast columns makes constraint inference explode.
+        data = rows.dropna()
         gram = gram_matrix(data, features)
         if gram[0, 0] == 0:
             raise ValueError("no complete row to fit")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes, dates
-from ..functions.nulls import col, first_by, n_distinct, strict_sum
+from ..functions.nulls import col, n_distinct, strict_sum
 from ..operators.frames import keep_rows, stack_tagged
 from ..operators.groups import first_per_group, flag_group_min
 
@@ -22,9 +22,9 @@ VISIT_KEYS_V8 = ["afn", "served_date", "annual_income", "education"]
 
 
 def clean_visits(persons: DataFrame, after: str | None = "2020-01-31", date_column: str = "servedDate",
-                 formats: Sequence[str] = dates.ISO, na_rows: str = "drop") -> DataFrame:
+                 forms: Sequence[tuple[str, str]] = dates.ISO, na_rows: str = "drop") -> DataFrame:
     """Parsed ``clean_date``; rows dated on or before ``after`` removed."""
-    dated = persons.withColumn("clean_date", dates.parse_date(date_column, formats))
+    dated = persons.withColumn("clean_date", dates.parse_date(date_column, forms))
     if after is None:
         return dated
     return keep_rows(dated, F.col("clean_date") > F.lit(after).cast("date"), na_rows)
@@ -56,7 +56,7 @@ def first_visit_table(persons: DataFrame, first_within: str = "household") -> Da
         .agg(F.count(F.lit(1)).alias("householdMembers"))
     )
     if first_within == "household":
-        flagged = flag_group_min(sized, [HOUSEHOLD], "clean_date", "first_visit")
+        flagged = flag_group_min(sized, [HOUSEHOLD], "clean_date", "first_visit", within=persons)
     else:
         flagged = sized.withColumn("first_visit", F.when(F.col("clean_date").isNotNull(), F.lit(1)))
     return flagged.withColumns(
@@ -98,16 +98,15 @@ def monthly_totals(df: DataFrame, first: str | None = None, last: str | None = N
 def visit_table(persons: DataFrame, first_within: str = "household") -> DataFrame:
     """Person rows of the second export to visits (C2): size, ZIP, date parts, rounded month, code, first flag.
 
-    The ZIP code of a visit is that of its first person row in the order of the remaining columns.
+    The ZIP code of a visit is the lowest of its person rows, which does not depend on file order (A9).
     """
     if first_within not in ("household", "visit"):
         raise ValueError("first_within must be 'household' or 'visit'")
-    order = [c for c in ("dob", "family_type", "housing", "race", "ethnicity") if c in persons.columns]
     sized = persons.groupBy(*VISIT_KEYS_V8).agg(
-        F.count(F.lit(1)).alias("n_household"), first_by("zip", "zip", *order).alias("zip")
+        F.count(F.lit(1)).alias("n_household"), F.min("zip").alias("zip")
     )
     if first_within == "household":
-        flagged = flag_group_min(sized, ["afn"], "served_date", "first_visit")
+        flagged = flag_group_min(sized, ["afn"], "served_date", "first_visit", within=persons)
     else:
         flagged = sized.withColumn("first_visit", F.when(F.col("served_date").isNotNull(), F.lit(1)))
     return flagged.withColumns({
