@@ -7,8 +7,14 @@ from pyspark.sql import types as T
 from .names import COUNT_CODES, INCOME, EDU, HHSIZE, FOODSTAMP_TOTAL, FOODSTAMP_YES
 
 
+_TYPES = {
+    "STRING": T.StringType(), "INT": T.IntegerType(), "BIGINT": T.LongType(), "DOUBLE": T.DoubleType(), "DATE": T.DateType(),
+}
+
+
 def _ddl(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """Schema from ``name TYPE, ...``; unlike the built-in reader of such text it needs no session."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (part.split() for part in text.split(", "))])
 
 
 VISITS = _ddl(
