@@ -1,8 +1,8 @@
 """Per-group rows and flags, and joins on group keys.
 
 A single key may hold a third of all rows. Whatever is grouped here is first reduced on the map side (partial
-aggregation, or the per-partition group limit of a top-1 window); full rows of a hot key only ever meet in a join, where
-AQE splits the oversized partition.
+aggregation, or the per-partition group limit of a top-1 window); full rows are matched with per-key results by
+``lookup``, which never sends a hot key to one task.
 """
 
 from __future__ import annotations
@@ -52,10 +52,15 @@ def _keyed_join(left, right, on, how, na_matches):
     return joined.drop(*[b for _, b in moved])
 
 
-def rows_with_key_in(df: DataFrame, keys: DataFrame, on) -> DataFrame:
-    """Semi join: rows whose key occurs in another table; nothing is collected."""
+def rows_with_key_in(df: DataFrame, keys: DataFrame, on, bounded: bool = False) -> DataFrame:
+    """Semi join: rows whose key occurs in another table; nothing is collected.
+
+    ``bounded`` says that the number of keys is limited by their nature (years, months), so they may be broadcast
+    without looking at the size of the table they were derived from.
+    """
     pairs = _pairs(on)
     right = keys.select(*[col(b).alias(f"__r_{b}") for _, b in pairs])
+    right = F.broadcast(right) if bounded else right
     return df.join(right, _same(df, right, [(a, f"__r_{b}") for a, b in pairs], False), "left_semi")
 
 
@@ -76,16 +81,47 @@ def first_n_per_group(df: DataFrame, keys: Sequence[str], n: int, *order: Column
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n).drop(rank)
 
 
+HOT_KEYS = 1000
+
+
+def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], rows: str) -> DataFrame:
+    """Left join of a table with one row per key (NULL keys included), safe when a key holds much of ``df``.
+
+    ``rows`` is the column of ``table`` that says how many rows a key has; it is not returned. The ``HOT_KEYS`` largest
+    keys, a fixed number, are broadcast, and every key above ``1 / HOT_KEYS`` of all rows is among them. All other keys
+    go through the shuffled join. Rows already answered are spread over that join by a hash of the row, so no task
+    receives a hot key, whether or not adaptive skew handling is on.
+    """
+    names = [c for c in table.columns if c not in keys and c != rows]
+    hot = table.orderBy(F.desc(rows), *[col(k) for k in keys]).limit(HOT_KEYS).select(
+        *[col(k).alias(f"__h_{k}") for k in keys], *[col(c).alias(f"__h_{c}") for c in names], F.lit(True).alias("__hit")
+    )
+    answered = df.join(F.broadcast(hot), _same(df, hot, [(k, f"__h_{k}") for k in keys], True), "left")
+    spread = F.pmod(F.xxhash64(*[col(c) for c in df.columns]), F.lit(4096)) + 1
+    answered = answered.withColumn("__salt", F.when(F.col("__hit"), spread).otherwise(F.lit(0)))
+    # The filter holds for every key; it keeps the row count in this branch, so both branches share one shuffle.
+    rest = table.filter(col(rows) > 0).select(
+        *[col(k).alias(f"__r_{k}") for k in keys], *[col(c).alias(f"__r_{c}") for c in names],
+        F.lit(0).cast("bigint").alias("__zero"),
+    )
+    pairs = [(k, f"__r_{k}") for k in keys]
+    joined = answered.join(rest, _same(answered, rest, pairs, True) & (answered["__salt"] == rest["__zero"]), "left")
+    found = {c: F.when(F.col("__hit"), col(f"__h_{c}")).otherwise(col(f"__r_{c}")) for c in names}
+    return joined.select(*[col(c) for c in df.columns], *[v.alias(c) for c, v in found.items()])
+
+
 def flag_group_min(df: DataFrame, keys: Sequence[str], value: str, name: str,
                    within: DataFrame | None = None) -> DataFrame:
     """1 where ``value`` equals the smallest value of its group, else 0, NULL for a NULL value.
 
-    The minimum comes from a partial aggregate joined back (NULL keys form a group), instead of a window that would
-    put every row of a hot group into one task. ``within`` is the table ``df`` was aggregated from: reading just the key
-    and the value there is cheaper than repeating the aggregation.
+    The minimum is a partial aggregate looked up by key, instead of a window that would put every row of a hot group
+    into one task. ``within`` is the table ``df`` was aggregated from: reading just the key and the value there is
+    cheaper than repeating the aggregation.
     """
-    low = (df if within is None else within).groupBy(*[col(k) for k in keys]).agg(F.min(col(value)).alias("__low"))
-    flagged = left_join(df, low, list(keys), na_matches=True)
+    low = (df if within is None else within).groupBy(*[col(k) for k in keys]).agg(
+        F.min(col(value)).alias("__low"), F.count(F.lit(1)).alias("__rows")
+    )
+    flagged = lookup(df, low, list(keys), "__rows")
     return flagged.withColumn(name, if_else(col(value) == F.col("__low"), 1, 0)).drop("__low")
 
 

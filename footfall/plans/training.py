@@ -29,9 +29,9 @@ def complete_years(first_visit: DataFrame, date_column: str = "clean_date") -> D
 
 
 def in_complete_years(first_visit: DataFrame, date_column: str = "clean_date") -> DataFrame:
-    """Rows of complete years, by semi join."""
+    """Rows of complete years, by semi join (J7); the years of a calendar are few, so the rows need no shuffle."""
     dated = first_visit.withColumn("year", F.year(date_column))
-    return rows_with_key_in(dated, complete_years(first_visit, date_column), "year")
+    return rows_with_key_in(dated, complete_years(first_visit, date_column), "year", bounded=True)
 
 
 def monthly_training(first_visit: DataFrame, min_date: str | None = None) -> DataFrame:

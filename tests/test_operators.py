@@ -110,8 +110,8 @@ def test_quantiles_against_numpy(spark, seed):
     rows += [("hot", 7.0)] * 300 + [("hot", float(rng.randrange(20))) for _ in range(100)]
     probs = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p95": 0.95, "p100": 1.0}
     df = spark.createDataFrame(rows, "k STRING, v DOUBLE").repartition(5)
-    # A coarse sketch: the marks are poor, the answer must not be.
-    got = {r["k"]: r for r in quantiles.group_quantiles(df, ["k"], "v", probs, accuracy=20).collect()}
+    # Few bins: the marks are poor, the answer must not be.
+    got = {r["k"]: r for r in quantiles.group_quantiles(df, ["k"], "v", probs, bins=4).collect()}
     for key in {k for k, _ in rows}:
         known = [v for k, v in rows if k == key and v is not None]
         for name, p in probs.items():
@@ -291,3 +291,15 @@ def test_held_uses_the_named_folder(spark):
         assert kept.count() == 5
         plan = kept._jdf.queryExecution().analyzed().toString()
         assert ("LogicalRDD" in plan) == bool(folder)
+
+
+def test_lookup_with_hot_and_cold_keys(spark, monkeypatch):
+    monkeypatch.setattr(groups, "HOT_KEYS", 2)
+    rows = [("hot", i) for i in range(500)] + [(None, i) for i in range(300)] + [(f"k{i % 50}", i) for i in range(200)]
+    df = spark.createDataFrame(rows, "k STRING, i INT")
+    table = df.groupBy("k").agg(F.min("i").alias("low"), F.count(F.lit(1)).alias("n"))
+    out = groups.lookup(df, table, ["k"], "n")
+    low = {}
+    for k, i in rows:
+        low[k] = min(i, low.get(k, i))
+    assert values(out) == sorted(((k, i, low[k]) for k, i in rows), key=repr)
