@@ -48,43 +48,52 @@ def zip_of(nation: str) -> Column:
 def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Person rows of the first export."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linestatus")
-    orders = table(spark, sf_dir, "orders")
-    education = 2 * (_priority() - 1) + (F.col("l_linestatus") == "F").cast("int")
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey",
         F.col("o_custkey").cast("string").alias("houseHoldIdAfn"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("servedDate"),
         (F.col("o_custkey") % 7 + 1).cast("int").alias("householdMembers"),
         _foodstamps().alias("foodstamps"),
         F.col("o_totalprice").alias("annualIncome"),
-        _pick(LABELS_1_9, education).alias("education"),
+        (2 * (_priority() - 1)).alias("level"),
+    )
+    education = F.col("level") + (F.col("l_linestatus") == "F").cast("int")
+    return (
+        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .withColumn("education", _pick(LABELS_1_9, education))
+        .drop("l_orderkey", "l_linestatus", "o_orderkey", "level")
     )
 
 
 def persons_v8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Person rows of the second export."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", "l_shipdate")
-    orders = table(spark, sf_dir, "orders")
-    customers = table(spark, sf_dir, "customer")
-    flag = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
-    by_line = F.when(F.col("l_returnflag") == "A", "White").when(F.col("l_returnflag") == "N", "Unknown")
-    race = F.when(F.col("c_custkey") % 3 == 0, by_line).otherwise(_pick(RACES, F.col("c_nationkey") % 5))
-    ethnicity = F.when(F.col("o_orderstatus") == "F", "Hispanic or Latino").when(
-        F.col("o_orderstatus") == "O", "Not Hispanic"
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey",
+        F.date_format("o_orderdate", "yyyyMMdd").alias("served_date"),
+        ((_priority() - 1) * 3).alias("level"),
+        F.when(F.col("o_orderstatus") == "F", "Hispanic or Latino").when(
+            F.col("o_orderstatus") == "O", "Not Hispanic").alias("ethnicity"),
     )
+    customers = table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        F.col("c_custkey").cast("string").alias("afn"),
+        F.col("c_acctbal").alias("annual_income"),
+        zip_of("c_nationkey").alias("zip"),
+        F.col("c_mktsegment").alias("family_type"),
+        (F.col("c_custkey") % 3 == 0).alias("by_line"),
+        _pick(RACES, F.col("c_nationkey") % 5).alias("fixed_race"),
+    )
+    flag = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    line_race = F.when(F.col("l_returnflag") == "A", "White").when(F.col("l_returnflag") == "N", "Unknown")
     return (
         lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(customers, F.col("o_custkey") == F.col("c_custkey"))
         .select(
-            F.col("o_custkey").cast("string").alias("afn"),
-            F.date_format("o_orderdate", "yyyyMMdd").alias("served_date"),
-            F.date_format("l_shipdate", "yyyy/M/d").alias("dob"),
-            F.col("c_acctbal").alias("annual_income"),
-            _pick(LABELS_0_11, (_priority() - 1) * 3 + flag).alias("education"),
-            zip_of("c_nationkey").alias("zip"),
-            F.col("c_mktsegment").alias("family_type"),
+            "afn", "served_date", F.date_format("l_shipdate", "yyyy/M/d").alias("dob"), "annual_income",
+            _pick(LABELS_0_11, F.col("level") + flag).alias("education"), "zip", "family_type",
             F.when(F.col("l_linestatus") == "F", "Own").otherwise("Rent").alias("housing"),
-            race.alias("race"),
-            ethnicity.alias("ethnicity"),
+            F.when(F.col("by_line"), line_race).otherwise(F.col("fixed_race")).alias("race"), "ethnicity",
         )
     )
 

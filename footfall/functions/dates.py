@@ -11,26 +11,31 @@ from pyspark.sql import functions as F
 from .nulls import col
 
 # A form is a pattern with the parts of the date and the order that turns them into year-month-day. Text after the date
-# is allowed in the first two lists and not in the third.
-ISO = ((r"(?s)^\s*(\d{4})-(\d{1,2})-(\d{1,2}).*$", "$1-$2-$3"), (r"(?s)^\s*(\d{4})/(\d{1,2})/(\d{1,2}).*$", "$1-$2-$3"))
+# is allowed in the first two lists and not in the third. Text that is in order already has no order to apply.
+_PLAIN = (r"^\d{4}-\d{2}-\d{2}$", None)
+ISO = (_PLAIN, (r"(?s)^\s*(\d{4})-(\d{1,2})-(\d{1,2}).*$", "$1-$2-$3"), (r"(?s)^\s*(\d{4})/(\d{1,2})/(\d{1,2}).*$", "$1-$2-$3"))
 US = ((r"(?s)^\s*(\d{1,2})/(\d{1,2})/(\d{4}).*$", "$3-$1-$2"),)
 YMD = (
+    _PLAIN,
     (r"^\s*(\d{4})-(\d{1,2})-(\d{1,2})\s*$", "$1-$2-$3"),
     (r"^\s*(\d{4})(\d{2})(\d{2})\s*$", "$1-$2-$3"),
     (r"^\s*(\d{4})/(\d{1,2})/(\d{1,2})\s*$", "$1-$2-$3"),
 )
 
 
-def parse_date(c: str | Column, forms: Sequence[tuple[str, str]] = ISO) -> Column:
+def parse_date(c: str | Column, forms: Sequence[tuple[str, str | None]] = ISO) -> Column:
     """First form that fits wins; text that fits none, or names no real day, is NULL.
 
     The text is rearranged and cast, which answers NULL for a bad date; the format parsers raise and catch an exception
     for every row that does not fit.
     """
     x = col(c).cast("string")
-    return F.coalesce(*[
-        F.when(x.rlike(pattern), F.regexp_replace(x, pattern, order).try_cast("date")) for pattern, order in forms
-    ])
+
+    def read(pattern: str, order: str | None) -> Column:
+        text = F.regexp_replace(x, pattern, order) if order else x
+        return F.when(x.rlike(pattern), text.try_cast("date"))
+
+    return F.coalesce(*[read(pattern, order) for pattern, order in forms])
 
 
 def month_floor(c: str | Column) -> Column:

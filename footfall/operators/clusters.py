@@ -164,18 +164,18 @@ def silhouette_squared(
         terms += [F.sum(F.when(own == label, x)).alias(f"__s{i}_{j}") for j, x in enumerate(xs)]
         terms.append(F.sum(F.when(own == label, norm)).alias(f"__q{i}"))
     totals = df.agg(*terms)
-    with_totals = with_row(df, totals)
 
     def total_distance(i: int) -> Column:
         """Sum of squared distances from the row to every member of cluster i."""
         dot = reduce(add, [x * F.col(f"__s{i}_{j}") for j, x in enumerate(xs)])
         return F.greatest(F.col(f"__n{i}") * norm - 2.0 * dot + F.col(f"__q{i}"), F.lit(0.0))
 
+    known = with_row(df, totals).withColumns({f"__t{i}": total_distance(i) for i in range(len(labels))})
     return _widths(
-        with_totals, own, labels, name,
-        inner=lambda i: (total_distance(i), F.col(f"__n{i}") - 1.0),
-        outer=lambda i: F.try_divide(total_distance(i), F.col(f"__n{i}")),
-    ).drop(*totals.columns)
+        known, own, labels, name,
+        others_in_own=lambda i: F.col(f"__n{i}") - 1.0,
+        members=lambda i: F.col(f"__n{i}"),
+    ).select(*[col(c) for c in df.columns], name)
 
 
 def silhouette_sampled(
@@ -196,42 +196,40 @@ def silhouette_sampled(
         ),
         ["c"], per_cluster, F.md5(F.col("id")), F.col("id"),
     )
-    landmarks = sample.agg(F.collect_list(F.struct("c", "id", "x")).alias("__marks"))
-    scored = with_row(df, landmarks)
-    point, me = F.array(*xs), col(row_id).cast("string")
-
-    def distance(mark: Column) -> Column:
-        return F.sqrt(reduce(add, [(point[j] - mark["x"][j]) * (point[j] - mark["x"][j]) for j in range(len(xs))]))
+    landmarks = sample.agg(
+        *[F.collect_list(F.when(F.col("c") == label, F.col("x"))).alias(f"__x{i}") for i, label in enumerate(labels)],
+        *[F.collect_list(F.when(F.col("c") == label, F.col("id"))).alias(f"__id{i}") for i, label in enumerate(labels)],
+    )
+    me = col(row_id).cast("string")
 
-    def total(i: int) -> Column:
-        members = F.filter(F.col("__marks"), lambda m: (m["c"] == labels[i]) & (m["id"] != me))
-        return F.aggregate(members, F.lit(0.0), lambda acc, m: acc + distance(m))
+    def total_distance(i: int) -> Column:
+        """Sum of distances to the sampled members of cluster i; a sampled row adds nothing to its own sum."""
+        def step(acc: Column, mark: Column) -> Column:
+            return acc + F.sqrt(reduce(add, [(x - mark[j]) * (x - mark[j]) for j, x in enumerate(xs)]))
 
-    def size(i: int) -> Column:
-        members = F.filter(F.col("__marks"), lambda m: (m["c"] == labels[i]) & (m["id"] != me))
-        return F.size(members).cast("double")
+        return F.aggregate(F.col(f"__x{i}"), F.lit(0.0), step)
 
+    known = with_row(df, landmarks).withColumns({f"__t{i}": total_distance(i) for i in range(len(labels))})
     return _widths(
-        scored, own, labels, name,
-        inner=lambda i: (total(i), size(i)),
-        outer=lambda i: F.try_divide(total(i), size(i)),
-    ).drop("__marks")
-
-
-def _widths(df, own: Column, labels, name: str, inner, outer) -> DataFrame:
-    """``(b - a) / max(a, b)`` from the distance to the own cluster and to the nearest other one."""
-    means = {f"__o{i}": outer(i) for i in range(len(labels))}
-    inners = {}
-    for i in range(len(labels)):
-        total, others = inner(i)
-        inners[f"__i{i}"] = F.try_divide(total, others)
-    df = df.withColumns({**means, **inners})
-    a = F.coalesce(*[F.when(own == label, F.col(f"__i{i}")) for i, label in enumerate(labels)])
-    known = own.isin(list(labels))
-    other = [F.when(own != label, F.col(f"__o{i}")) for i, label in enumerate(labels)]
+        known, own, labels, name,
+        others_in_own=lambda i: (F.size(f"__id{i}") - F.array_contains(F.col(f"__id{i}"), me).cast("int")).cast("double"),
+        members=lambda i: F.size(f"__id{i}").cast("double"),
+    ).select(*[col(c) for c in df.columns], name)
+
+
+def _widths(df: DataFrame, own: Column, labels: Sequence[int], name: str, others_in_own, members) -> DataFrame:
+    """``(b - a) / max(a, b)``: a is the mean distance to the rest of the own cluster, b to the nearest other one.
+
+    ``__t<i>`` holds the distance sum to cluster i. A row alone in its cluster scores 0.
+    """
+    total = lambda i: F.col(f"__t{i}")
+    a = F.coalesce(*[
+        F.when(own == label, F.try_divide(total(i), others_in_own(i))) for i, label in enumerate(labels)
+    ])
+    other = [F.when(own != label, F.try_divide(total(i), members(i))) for i, label in enumerate(labels)]
     b = F.least(*other) if len(other) > 1 else other[0]
     width = F.when(F.col("__a").isNull(), F.lit(0.0)).otherwise(
         F.coalesce(F.try_divide(F.col("__b") - F.col("__a"), F.greatest("__a", "__b")), F.lit(0.0))
     )
-    df = df.withColumns({"__a": a, "__b": b}).withColumn(name, F.when(known & F.col("__b").isNotNull(), width))
-    return df.drop("__a", "__b", *means, *inners)
+    known = own.isin(list(labels)) & F.col("__b").isNotNull()
+    return df.withColumns({"__a": a, "__b": b}).withColumn(name, F.when(known, width))

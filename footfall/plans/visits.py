@@ -22,7 +22,7 @@ VISIT_KEYS_V8 = ["afn", "served_date", "annual_income", "education"]
 
 
 def clean_visits(persons: DataFrame, after: str | None = "2020-01-31", date_column: str = "servedDate",
-                 forms: Sequence[tuple[str, str]] = dates.ISO, na_rows: str = "drop") -> DataFrame:
+                 forms: Sequence[tuple[str, str | None]] = dates.ISO, na_rows: str = "drop") -> DataFrame:
     """Parsed ``clean_date``; rows dated on or before ``after`` removed."""
     dated = persons.withColumn("clean_date", dates.parse_date(date_column, forms))
     if after is None:
