@@ -188,6 +188,8 @@ def silhouette_sampled(
     cluster that is no larger is used whole, so the width is then exact. ``len(labels) * per_cluster`` sampled rows is
     all that is ever gathered; every row of the table is scored.
     """
+    if not 1 < per_cluster <= 1000:
+        raise ValueError("per_cluster must lie between 2 and 1000; above that the sample is no longer cut on the map side")
     xs = [col(c).cast("double") for c in columns]
     own = col(cluster)
     sample = first_n_per_group(

@@ -99,10 +99,11 @@ def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], rows: str) -> D
     answered = df.join(F.broadcast(hot), _same(df, hot, [(k, f"__h_{k}") for k in keys], True), "left")
     spread = F.pmod(F.xxhash64(*[col(c) for c in df.columns]), F.lit(4096)) + 1
     answered = answered.withColumn("__salt", F.when(F.col("__hit"), spread).otherwise(F.lit(0)))
-    # The filter holds for every key; it keeps the row count in this branch, so both branches share one shuffle.
-    rest = table.filter(col(rows) > 0).select(
-        *[col(k).alias(f"__r_{k}") for k in keys], *[col(c).alias(f"__r_{c}") for c in names],
-        F.lit(0).cast("bigint").alias("__zero"),
+    # Zero for every key, but not a literal: a literal would leave the join condition and take the salt out of the
+    # partitioning. Reading the row count here also lets both branches share one shuffle.
+    zero = F.least(col(rows), F.lit(0))
+    rest = table.select(
+        *[col(k).alias(f"__r_{k}") for k in keys], *[col(c).alias(f"__r_{c}") for c in names], zero.alias("__zero")
     )
     pairs = [(k, f"__r_{k}") for k in keys]
     joined = answered.join(rest, _same(answered, rest, pairs, True) & (answered["__salt"] == rest["__zero"]), "left")

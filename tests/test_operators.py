@@ -303,3 +303,16 @@ def test_lookup_with_hot_and_cold_keys(spark, monkeypatch):
     for k, i in rows:
         low[k] = min(i, low.get(k, i))
     assert values(out) == sorted(((k, i, low[k]) for k, i in rows), key=repr)
+
+
+def test_lookup_partitions_by_key_and_salt(spark):
+    df = spark.createDataFrame([("a", 1)], "k STRING, i INT")
+    table = df.groupBy("k").agg(F.min("i").alias("low"), F.count(F.lit(1)).alias("n"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = groups.lookup(df, table, ["k"], "n")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert any("__salt" in line for line in exchanges)
