@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.clusters import nearest, scale_parameters, silhouette_sampled, silhouette_squared, z_scores
+from ..names import numbered
+from ..operators.clusters import ClusterModel, nearest, scale_parameters, silhouette_sampled, silhouette_squared, z_scores
+from ..operators.poisson import PoissonModel, fit_poisson
 from ..plans import census as C
 from ..plans import demand as D
 from ..plans import segments as S
@@ -13,6 +15,7 @@ from ..plans import visits as V
 from .areas import BY_ZIP, MEANS, zip_table
 from .registry import register, rounded
 from .standins import visit_rows, with_ctes
+from .training import MONTHLY
 
 # Fixed centroids in standardised units, so that labels can be compared across engines.
 CENTROIDS = {
@@ -118,6 +121,56 @@ def silhouette_sample(spark, sf):  # M5 b J10: a sample of each cluster stands f
     return rounded(scored.select("houseHoldIdAfn", "cluster", "silhouette"), 6)
 
 
+def _fixed_model(households) -> ClusterModel:
+    """The fixed centroids with the scaling of the table itself."""
+    row = scale_parameters(households, _FEATURES).first()
+    return ClusterModel(
+        tuple(_FEATURES), {f: row[f"center_{f}"] for f in _FEATURES}, {f: row[f"scale_{f}"] for f in _FEATURES},
+        {c: tuple(p) for c, p in CENTROIDS.items()}, 0.0, {},
+    )
+
+
+_PROFILES = """
+raw AS (SELECT l.cluster, f.householdMembers, f.annualIncome, f.education_numeric
+        FROM labelled l JOIN first_time f ON f.houseHoldIdAfn = l.houseHoldIdAfn WHERE l.cluster IS NOT NULL),
+profiles AS (SELECT cluster, count(*) AS n_families, avg(householdMembers) AS avg_household,
+                    avg(annualIncome) AS avg_income, avg(education_numeric) AS avg_education FROM raw GROUP BY cluster)"""
+
+
+@register("segment_profiles", with_ctes("visit_rows", then=_FIRST + "," + _LABELLED + "," + _PROFILES) + """
+SELECT cluster, n_families, round(avg_household, 4) AS avg_household, round(avg_income, 4) AS avg_income,
+       round(avg_education, 4) AS avg_education FROM profiles""")
+def segment_profiles(spark, sf):  # M3 A5 J1, fixed centroids
+    households = S.with_food_stamps(first_time(spark, sf))
+    return rounded(S.profiles(S.label_households(households, _fixed_model(households))), 4)
+
+
+def _area_squared(c: int) -> str:
+    parts = [(census, feature, CENTROIDS[c][_FEATURES.index(feature)]) for feature, census in S.CENSUS_COLUMNS.items()]
+    return " + ".join(f'(({a} - center_{f}) / scale_{f} - ({v}::DOUBLE)) ** 2' for a, f, v in parts)
+
+
+@register("segment_projection", with_ctes("visit_rows", "acs_raw", then=",".join(
+    [_FIRST, _LABELLED, _PROFILES, BY_ZIP, MEANS])) + """,
+area_dists AS (SELECT total_hh, """ + ", ".join(f"{_area_squared(c)} AS d{c}" for c in CENTROIDS) + """
+               FROM means, params),
+areas AS (SELECT CAST(CASE WHEN d1 = least(d1, d2, d3, d4) THEN 1 WHEN d2 = least(d1, d2, d3, d4) THEN 2
+                      WHEN d3 = least(d1, d2, d3, d4) THEN 3 ELSE 4 END AS INTEGER) AS assigned_cluster, total_hh
+          FROM area_dists),
+summed AS (SELECT assigned_cluster, sum(total_hh) AS acs_households FROM areas GROUP BY assigned_cluster)
+SELECT assigned_cluster, acs_households, n_families AS known_families, round(avg_household, 4) AS avg_household,
+       round(avg_income, 4) AS avg_income, round(avg_education, 4) AS avg_education,
+       acs_households - n_families AS projected_growth, round(n_families / acs_households, 6) AS "Percentage_Known"
+FROM summed LEFT JOIN profiles ON assigned_cluster = cluster""")
+def segment_projection(spark, sf):  # C11 M4 J2 P6 A4, fixed centroids
+    households = S.with_food_stamps(first_time(spark, sf))
+    model = _fixed_model(households)
+    profiles = S.profiles(S.label_households(households, model))
+    projected = S.projection(S.assign_areas(C.binned_means(zip_table(spark, sf)), model), profiles)
+    projected = rounded(projected, 4, "avg_household", "avg_income", "avg_education")
+    return rounded(projected, 6, "Percentage_Known")
+
+
 @register("kmeans_assign")
 def kmeans_assign(spark, sf):  # M2 J1 P14 P17 F1
     households = first_time(spark, sf)
@@ -153,3 +206,41 @@ def poisson_fit(spark, sf):  # M6 M7
 def poisson_score(spark, sf):  # M8 M9 C7
     scored = D.score_areas(zip_table(spark, sf), _demand(spark, sf))
     return scored.select("year", "zip", "predicted_monthly_visits", "predicted_annual_visits")
+
+
+# Year flags: the model then has a closed form, and the flag of the first year is a combination of the others.
+_YEARS = numbered("y", 2000, 1995)
+_BY_YEAR = [*_YEARS[1:], _YEARS[0]]
+
+
+@register("poisson_by_year", with_ctes("visit_rows", then=MONTHLY + """,
+years AS (SELECT year(month_start) AS y, avg(pantry_visits) AS m, sum(pantry_visits)::DOUBLE AS s FROM monthly GROUP BY 1),
+base AS (SELECT m AS m0, s AS s0 FROM years WHERE y = 1995),
+fit AS (SELECT 2 * sum(pantry_visits * ln(pantry_visits / m) - (pantry_visits - m)) AS deviance
+        FROM monthly JOIN years ON year(month_start) = y)""") + """
+SELECT 'y' || CAST(y AS VARCHAR) AS term, CASE WHEN y > 1995 THEN round(ln(m / m0), 6) END AS estimate,
+       CASE WHEN y > 1995 THEN round(sqrt(1 / s + 1 / s0), 6) END AS std_error, y = 1995 AS aliased,
+       round(deviance, 4) AS deviance FROM years, base, fit
+UNION ALL
+SELECT '(Intercept)', round(ln(m0), 6), round(sqrt(1 / s0), 6), false, round(deviance, 4) FROM base, fit""")
+def poisson_by_year(spark, sf):  # M6 M7 with an aliased term
+    monthly = T.monthly_training(visit_rows(spark, sf)).withColumns({
+        y: (F.year("month_start") == int(y[1:])).cast("int") for y in _YEARS
+    })
+    table = fit_poisson(monthly, "pantry_visits", _BY_YEAR).table(spark)
+    table = rounded(table.select("term", "estimate", "std_error", "aliased", "deviance"), 6, "estimate", "std_error")
+    return rounded(table, 4, "deviance")
+
+
+# Fixed coefficients, so that scoring can be compared across engines.
+_COEFFICIENTS = {"edu1": 0.002, "edu7": -0.001, "hhsize6": 0.003, "income1": -0.004, "income15": 0.0005}
+
+
+@register("poisson_score_fixed", with_ctes("acs_raw", then=BY_ZIP) + """
+SELECT year, zip, round(p, 6) AS predicted_monthly_visits, round(p * 12, 6) AS predicted_annual_visits
+FROM (SELECT year, zip, exp(1.5::DOUBLE + 0.002::DOUBLE * edu1 - 0.001::DOUBLE * (edu9 + edu10)
+        + 0.003::DOUBLE * (hhsize6 + hhsize7) - 0.004::DOUBLE * income1 + 0.0005::DOUBLE * income15) AS p FROM by_zip)""")
+def poisson_score_fixed(spark, sf):  # M8 M9 C7
+    model = PoissonModel(tuple(_COEFFICIENTS), 1.5, _COEFFICIENTS, (), {}, {}, 0.0, 0.0, 0.0, 0)
+    scored = D.score_areas(zip_table(spark, sf), model)
+    return rounded(scored.select("year", "zip", "predicted_monthly_visits", "predicted_annual_visits"), 6)
