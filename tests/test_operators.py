@@ -316,3 +316,19 @@ def test_lookup_partitions_by_key_and_salt(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert any("__salt" in line for line in exchanges)
+
+
+def test_lookup_spreads_a_hot_key(spark):
+    """A third of all rows share one key; without adaptive help no task may hold them together."""
+    df = spark.range(30000).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k"), "id")
+    table = df.groupBy("k").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        sizes = [r["count"] for r in groups.lookup(df, table, ["k"], "n").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 30000 and max(sizes) < 30000 / 8 * 1.3
