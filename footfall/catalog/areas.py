@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from ..functions.codes import INCOME_MIDPOINTS
+from ..functions.nulls import plain_sum
 from ..names import COUNT_CODES, EDU, FOODSTAMP_TOTAL, FOODSTAMP_YES, HHSIZE, INCOME, METRO_ZIPS, SHORT_NAMES, ZIP_COLUMN
 from ..operators.frames import columns_first, in_box
 from ..plans import census as C
@@ -77,11 +76,10 @@ UNION ALL
 SELECT year, 'metro', {" + ".join(INCOME[:7])} FROM totals""")
 def estimated_need(spark, sf):  # C9 F20
     both = C.by_zip_and_total(C.in_zips(acs_raw(spark, sf)))
-    need = lambda n: reduce(lambda a, b: a + b, [F.col(c) for c in INCOME[:n]])
     # One rollup serves both grains; the ZIP estimate takes eight brackets, the metro estimate seven.
     return both.select(
         "year", F.coalesce("zip", F.lit("metro")).alias("zip"),
-        F.when(F.col("grain") == "zip", need(8)).otherwise(need(7)).alias("estimated_acs_need"),
+        F.when(F.col("grain") == "zip", plain_sum(INCOME[:8])).otherwise(plain_sum(INCOME[:7])).alias("estimated_acs_need"),
     )
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes
 from ..names import (
-    COUNT_CODES, EDUCATION_CODES, FOODSTAMP_TOTAL, FOODSTAMP_YES, HHSIZE_CODES, INCOME_CODES, METRO_ZIPS,
+    EDUCATION_CODES, FOODSTAMP_TOTAL, FOODSTAMP_YES, HHSIZE_CODES, INCOME_CODES, METRO_ZIPS,
 )
 
 LABELS_1_9 = [label for label, _ in codes.EDUCATION_1_9]
@@ -154,15 +154,16 @@ def acs_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.least(F.col("householdMembers"), F.lit(7)).alias("h"),
         (F.col("foodstamps") == "Yes").alias("fs"),
     )
-    counts = [
-        *[F.count_if(F.col("b") == i).alias(c) for i, c in enumerate(INCOME_CODES, 1)],
-        *[F.count_if(F.col("e") == i).alias(c) for i, c in enumerate(EDUCATION_CODES, 1)],
-        *[F.count_if(F.col("h") == i).alias(c) for i, c in enumerate(HHSIZE_CODES, 1)],
-        F.count(F.lit(1)).alias(FOODSTAMP_TOTAL),
-        F.count_if(F.col("fs")).alias(FOODSTAMP_YES),
-    ]
-    counted = rows.groupBy("NAME", "zip", "year").agg(*counts)
-    return counted.withColumns({c: F.col(c).cast("double") for c in COUNT_CODES})
+    counts = {
+        **{c: f"b = {i}" for i, c in enumerate(INCOME_CODES, 1)},
+        **{c: f"e = {i}" for i, c in enumerate(EDUCATION_CODES, 1)},
+        **{c: f"h = {i}" for i, c in enumerate(HHSIZE_CODES, 1)},
+        FOODSTAMP_TOTAL: "true",
+        FOODSTAMP_YES: "fs",
+    }
+    return rows.groupBy("NAME", "zip", "year").agg(
+        *[F.expr(f"CAST(count_if({test}) AS DOUBLE) AS {c}") for c, test in counts.items()]
+    )
 
 
 def zip_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:

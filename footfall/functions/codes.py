@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .nulls import col, if_else
+from .nulls import col, if_else, literal, quoted
 
 # Education labels of the visit export on the 1-9 scale. Code 6 belongs to a label that is already
 # taken by code 4, so it never occurs.
@@ -52,13 +52,10 @@ INCOME_MIDPOINTS = [
 ]
 
 
-def code_of(c: str | Column, scale: Sequence[tuple[str, int | None]]) -> Column:
-    """Code of a label; unknown labels and NULL give NULL."""
-    listed = [(label, code) for label, code in scale if code is not None]
-    chain = F.lit(None).cast("int")
-    for label, code in reversed(listed):
-        chain = F.when(col(c) == label, F.lit(code)).otherwise(chain)
-    return chain
+def code_of(name: str, scale: Sequence[tuple[str, int | None]]) -> Column:
+    """Code of the label in a column; unknown labels and NULL give NULL."""
+    arms = " ".join(f"WHEN {literal(label)} THEN {code}" for label, code in scale if code is not None)
+    return F.expr(f"CASE {quoted(name)} {arms} END")
 
 
 def yes_flag(c: str | Column) -> Column:
@@ -70,25 +67,20 @@ def yes_flag_any_case(c: str | Column) -> Column:
     return if_else(F.lower(col(c)) == "yes", 1, 0)
 
 
-def bracket_number(c: str | Column, edges: Sequence[float] = INCOME_EDGES) -> Column:
+def bracket_number(name: str, edges: Sequence[float] = INCOME_EDGES) -> Column:
     """1..len(edges)+1; everything below the first edge (negative values too) is 1, NULL stays NULL."""
-    x = col(c).cast("double")
-    number = F.lit(len(edges) + 1)
-    for i in range(len(edges), 0, -1):
-        number = F.when(x < float(edges[i - 1]), F.lit(i)).otherwise(number)
-    return F.when(x.isNotNull(), number)
+    x = f"CAST({quoted(name)} AS DOUBLE)"
+    arms = " ".join(f"WHEN {x} < {float(edge)!r}D THEN {i}" for i, edge in enumerate(edges, 1))
+    return F.expr(f"CASE WHEN {x} IS NULL THEN NULL {arms} ELSE {len(edges) + 1} END")
 
 
-def bracket_label(c: str | Column, edges: Sequence[float] = INCOME_EDGES, prefix: str = "income") -> Column:
+def bracket_label(name: str, edges: Sequence[float] = INCOME_EDGES, prefix: str = "income") -> Column:
     """``income1`` .. ``income16``."""
-    return F.concat(F.lit(prefix), bracket_number(c, edges).cast("string"))
+    return F.concat(F.lit(prefix), bracket_number(name, edges).cast("string"))
 
 
-def counts_by_code(c: str | Column, codes: Iterable[int], prefix: str, open_end: bool = False) -> list[Column]:
+def counts_by_code(name: str, codes: Iterable[int], prefix: str, open_end: bool = False) -> list[Column]:
     """One conditional count per code, all filled in a single pass; the last takes ``>=`` when ``open_end``."""
     codes = list(codes)
-    out = []
-    for code in codes:
-        hit = col(c) >= code if open_end and code == codes[-1] else col(c) == code
-        out.append(F.count_if(hit).alias(f"{prefix}{code}"))
-    return out
+    test = lambda code: ">=" if open_end and code == codes[-1] else "="
+    return [F.expr(f"count_if({quoted(name)} {test(code)} {code}) AS {quoted(f'{prefix}{code}')}") for code in codes]

@@ -10,9 +10,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def quoted(name: str) -> str:
+    """A column name for SQL text, quoted so that blanks and dots are literal."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def literal(text: str) -> str:
+    """A string literal for SQL text."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def col(c: str | Column) -> Column:
-    """A Column from a name; names are quoted so that blanks and dots are literal."""
-    return c if isinstance(c, Column) else F.col("`" + c.replace("`", "``") + "`")
+    return c if isinstance(c, Column) else F.col(quoted(c))
 
 
 def if_else(condition: Column, yes, no) -> Column:
@@ -26,14 +35,22 @@ def is_in(c: str | Column, values: Iterable) -> Column:
     return F.coalesce(col(c).isin(list(values)), F.lit(False))
 
 
-def row_sum(columns: Iterable[str | Column]) -> Column:
+# Expressions over many columns are written as SQL text: one call to the JVM instead of several per column.
+
+
+def row_sum(names: Iterable[str]) -> Column:
     """Sum across columns, NULLs skipped."""
-    return reduce(add, [F.coalesce(col(c).cast("double"), F.lit(0.0)) for c in columns])
+    return F.expr(" + ".join(f"coalesce(CAST({quoted(c)} AS DOUBLE), 0D)" for c in names))
 
 
-def weighted_sum(columns: Iterable[str | Column], weights: Iterable[float]) -> Column:
+def weighted_sum(names: Iterable[str], weights: Iterable[float]) -> Column:
     """Weight j goes to column j; NULL when a count is NULL."""
-    return reduce(add, [col(c) * F.lit(float(w)) for c, w in zip(columns, weights, strict=True)])
+    return F.expr(" + ".join(f"{quoted(c)} * {float(w)!r}D" for c, w in zip(names, weights, strict=True)))
+
+
+def plain_sum(names: Iterable[str]) -> Column:
+    """Sum across columns, NULL when one is NULL."""
+    return F.expr(" + ".join(quoted(c) for c in names))
 
 
 def pmin(*columns: str | Column) -> Column:
@@ -47,9 +64,9 @@ def ratio(top: str | Column, bottom: str | Column) -> Column:
     return F.try_divide(col(top), col(bottom))
 
 
-def sum_or_zero(c: str | Column) -> Column:
-    """Aggregate: sum that skips NULLs and is 0 for a group without values (A3)."""
-    return F.coalesce(F.sum(col(c)), F.lit(0.0))
+def sums_or_zero(names: Iterable[str]) -> list[Column]:
+    """Aggregates: sums under their own names that skip NULLs and are 0 for a group without values (A3)."""
+    return [F.expr(f"coalesce(sum({quoted(c)}), 0D) AS {quoted(c)}") for c in names]
 
 
 def strict_sum(c: str | Column) -> Column:

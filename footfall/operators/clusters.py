@@ -14,7 +14,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.nulls import col
+from ..functions.nulls import col, quoted
 from .frames import with_row
 from .groups import first_n_per_group
 from .reuse import held, persisted
@@ -155,20 +155,21 @@ def silhouette_squared(
     Per cluster only the count, the sum vector and the sum of squares are needed; they form one aggregate row that
     reaches every row as a constant. A row alone in its cluster scores 0.
     """
-    xs = [col(c).cast("double") for c in columns]
-    norm = reduce(add, [x * x for x in xs])
+    xs = [f"CAST({quoted(c)} AS DOUBLE)" for c in columns]
+    norm = " + ".join(f"{x} * {x}" for x in xs)
     own = col(cluster)
     terms = []
     for i, label in enumerate(labels):
-        terms.append(F.count_if(own == label).cast("double").alias(f"__n{i}"))
-        terms += [F.sum(F.when(own == label, x)).alias(f"__s{i}_{j}") for j, x in enumerate(xs)]
-        terms.append(F.sum(F.when(own == label, norm)).alias(f"__q{i}"))
+        here = f"{quoted(cluster)} = {int(label)}"
+        terms.append(F.expr(f"CAST(count_if({here}) AS DOUBLE) AS __n{i}"))
+        terms += [F.expr(f"sum(CASE WHEN {here} THEN {x} END) AS __s{i}_{j}") for j, x in enumerate(xs)]
+        terms.append(F.expr(f"sum(CASE WHEN {here} THEN {norm} END) AS __q{i}"))
     totals = df.agg(*terms)
 
     def total_distance(i: int) -> Column:
         """Sum of squared distances from the row to every member of cluster i."""
-        dot = reduce(add, [x * F.col(f"__s{i}_{j}") for j, x in enumerate(xs)])
-        return F.greatest(F.col(f"__n{i}") * norm - 2.0 * dot + F.col(f"__q{i}"), F.lit(0.0))
+        dot = " + ".join(f"{x} * __s{i}_{j}" for j, x in enumerate(xs))
+        return F.expr(f"greatest(__n{i} * ({norm}) - 2D * ({dot}) + __q{i}, 0D)")
 
     known = with_row(df, totals).withColumns({f"__t{i}": total_distance(i) for i in range(len(labels))})
     return _widths(

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.nulls import col
+from ..functions.nulls import col, quoted
 
 
 def keep_rows(df: DataFrame, condition: Column, na_rows: str = "drop") -> DataFrame:
@@ -44,12 +44,13 @@ def rename_by_position(df: DataFrame, old: Sequence[str], new: Sequence[str]) ->
 
 def to_numbers(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """Text to DOUBLE; text that is no number becomes NULL."""
-    return df.withColumns({c: col(c).try_cast("double") for c in names})
+    return df.withColumns({c: F.expr(f"try_cast({quoted(c)} AS DOUBLE)") for c in names})
 
 
 def scale_columns(df: DataFrame, names: Iterable[str], factor: Column) -> DataFrame:
     """Multiply many columns by one factor."""
-    return df.withColumns({c: col(c) * factor for c in names})
+    scaled = df.withColumn("__factor", factor)
+    return scaled.withColumns({c: F.expr(f"{quoted(c)} * __factor") for c in names}).drop("__factor")
 
 
 def stack(*frames: DataFrame) -> DataFrame:

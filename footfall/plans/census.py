@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import INCOME_MIDPOINTS
-from ..functions.nulls import col, is_in, pmin, ratio, row_sum, sum_or_zero, weighted_sum
+from ..functions.nulls import col, is_in, plain_sum, pmin, ratio, row_sum, sums_or_zero, weighted_sum
 from ..names import (
     COUNT_CODES, EDU, FOODSTAMP_TOTAL, FOODSTAMP_YES, HHSIZE, INCOME, METRO_ZIPS, SHORT_NAMES,
 )
@@ -42,19 +42,19 @@ def _named(rolled: DataFrame) -> DataFrame:
 
 def by_zip(acs_raw: DataFrame) -> DataFrame:
     """Sums per year and ZIP code with short names and the food-stamp ratio of the sums."""
-    return _named(acs_raw.groupBy("year", "zip").agg(*[sum_or_zero(c).alias(c) for c in COUNT_CODES]))
+    return _named(acs_raw.groupBy("year", "zip").agg(*sums_or_zero(COUNT_CODES)))
 
 
 def totals(acs_raw: DataFrame) -> DataFrame:
     """The same per year."""
-    return _named(acs_raw.groupBy("year").agg(*[sum_or_zero(c).alias(c) for c in COUNT_CODES]))
+    return _named(acs_raw.groupBy("year").agg(*sums_or_zero(COUNT_CODES)))
 
 
 def by_zip_and_total(acs_raw: DataFrame) -> DataFrame:
     """Both grains from one scan (A17); the rows per year have a NULL ``zip`` and ``grain = 'metro'``."""
     both = acs_raw.groupingSets(
         [[F.col("year"), F.col("zip")], [F.col("year")]], F.col("year"), F.col("zip")
-    ).agg(F.grouping_id().alias("__g"), *[sum_or_zero(c).alias(c) for c in COUNT_CODES])
+    ).agg(F.grouping_id().alias("__g"), *sums_or_zero(COUNT_CODES))
     grain = F.when(F.col("__g") == 0, "zip").otherwise("metro")
     return _named(both).withColumn("grain", grain).drop("__g")
 
@@ -79,14 +79,14 @@ def at_risk(harmonised: DataFrame, max_bracket: int = 8) -> DataFrame:
     return harmonised.select(
         *keys,
         (F.col("edu7") + F.col("edu3") + F.col("edu4")).alias("matching_education"),
-        reduce(add, [F.col(c) for c in INCOME[:max_bracket]]).alias("matching_income"),
+        plain_sum(INCOME[:max_bracket]).alias("matching_income"),
     ).withColumn("at_risk_estimate", pmin("matching_education", "matching_income"))
 
 
 def estimated_need(acs: DataFrame, max_bracket: int = 8) -> DataFrame:
     """Households in the income brackets up to ``max_bracket`` (C9); 8 for ZIP codes, 7 for the metro estimate."""
     keys = [c for c in ("year", "zip") if c in acs.columns]
-    return acs.select(*keys, reduce(add, [F.col(c) for c in INCOME[:max_bracket]]).alias("estimated_acs_need"))
+    return acs.select(*keys, plain_sum(INCOME[:max_bracket]).alias("estimated_acs_need"))
 
 
 def scale_to_households(acs: DataFrame, households: DataFrame) -> DataFrame:
@@ -128,8 +128,8 @@ def binned_means(acs: DataFrame, recycle: str = "by_column", edu_denominator: st
         }
     else:
         raise ValueError("recycle must be 'by_column' or 'column_major'")
-    total = reduce(add, [col(c) for c in HHSIZE])
-    persons = reduce(add, [col(c) for c in EDU]) if edu_denominator == "education" else total
+    total = plain_sum(HHSIZE)
+    persons = plain_sum(EDU) if edu_denominator == "education" else total
     return numbered.withColumns({**sums, "total_hh": total, "__edu_n": persons}).withColumns({
         "avg_hh_size": ratio("__hh", "total_hh"),
         "avg_income": ratio("__income", "total_hh"),

@@ -14,7 +14,7 @@ D = dt.date
 
 def column(spark, values, kind, expr):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i INT, x {kind}")
-    return [r[0] for r in df.orderBy("i").select(expr(F.col("x"))).collect()]
+    return [r[0] for r in df.orderBy("i").select(expr("x")).collect()]
 
 
 def one(spark, expr):
@@ -77,7 +77,10 @@ def test_null_arithmetic(spark):
     assert one(spark, nulls.pmin(F.lit(3.0), F.lit(2.0))) == 2.0
     assert one(spark, nulls.ratio(F.lit(0.0), F.lit(0.0))) is None
     assert one(spark, nulls.ratio(F.lit(1.0), F.lit(0.0))) is None
-    assert one(spark, nulls.row_sum([F.lit(1.0), n])) == 1.0
+    two = spark.createDataFrame([(1.0, None)], "a DOUBLE, `b c` DOUBLE")
+    assert two.select(nulls.row_sum(["a", "b c"])).first()[0] == 1.0
+    assert two.select(nulls.plain_sum(["a", "b c"])).first()[0] is None
+    assert two.select(nulls.weighted_sum(["a"], [3])).first()[0] == 3.0
     assert one(spark, nulls.is_in(n, [1.0])) is False
     assert one(spark, nulls.if_else(n > 1, 1, 0)) is None
 
@@ -85,7 +88,7 @@ def test_null_arithmetic(spark):
 def test_null_aggregates(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", None), ("b", None), ("c", 2.0), ("c", 2.0)], "k STRING, x DOUBLE")
     got = {r[0]: tuple(r)[1:] for r in df.groupBy("k").agg(
-        nulls.sum_or_zero("x"), nulls.strict_sum("x"), nulls.n_distinct("x")).collect()}
+        nulls.sums_or_zero(["x"])[0], nulls.strict_sum("x"), nulls.n_distinct("x")).collect()}
     assert got == {"a": (1.0, None, 2), "b": (0.0, None, 1), "c": (4.0, 4.0, 1)}
     assert df.filter("k = 'z'").agg(nulls.n_distinct("x")).first()[0] == 0
 

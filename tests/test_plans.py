@@ -279,9 +279,9 @@ def test_random_households_against_plain_python(spark, seed):
     rows = [(str(rng.randrange(6)), maybe(rng.choice("AB")), maybe(rng.randrange(3)), maybe(float(rng.randrange(4))))
             for _ in range(60)]
     df = spark.createDataFrame(rows, "afn STRING, race STRING, code INT, x DOUBLE").repartition(4)
-    from footfall.functions.nulls import n_distinct, one_or_multi, strict_sum, sum_or_zero
+    from footfall.functions.nulls import n_distinct, one_or_multi, strict_sum, sums_or_zero
     got = {r[0]: tuple(r)[1:] for r in df.groupBy("afn").agg(
-        one_or_multi("race"), n_distinct("race"), strict_sum("x"), sum_or_zero("x")).collect()}
+        one_or_multi("race"), n_distinct("race"), strict_sum("x"), *sums_or_zero(["x"])).collect()}
     for key in {r[0] for r in rows}:
         mine = [r for r in rows if r[0] == key]
         races = {r[1] for r in mine}
