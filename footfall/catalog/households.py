@@ -21,8 +21,7 @@ multi AS (
   FROM persons_v8 WHERE annual_income >= 0 GROUP BY afn),
 eth AS (
   SELECT afn, ethnicity FROM persons_v8 WHERE annual_income >= 0
-  QUALIFY row_number() OVER (PARTITION BY afn ORDER BY served_date NULLS LAST, dob NULLS LAST, race NULLS LAST,
-    ethnicity NULLS LAST) = 1),
+  QUALIFY row_number() OVER (PARTITION BY afn ORDER BY served_date NULLS LAST, ethnicity NULLS LAST) = 1),
 race_table AS (
   SELECT multi.afn, CASE
     WHEN ethnicity = 'Hispanic or Latino' AND coalesce(race IN ('Unknown', 'Other'), false) THEN 'Hispanic/Latino'

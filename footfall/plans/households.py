@@ -17,8 +17,8 @@ def best_education_visit(visit: DataFrame) -> DataFrame:
 
 def race_table(persons: DataFrame, override: bool = True) -> DataFrame:
     """One race per household or "Multi" (A11); with ``override``, Hispanic households of unknown or other race are
-    named "Hispanic/Latino" (F7). The ethnicity is that of the first person row by date and the remaining columns."""
-    order = [c for c in ("served_date", "dob", "race") if c in persons.columns]
+    named "Hispanic/Latino" (F7). The ethnicity is that of the earliest person row, the lowest label on one date (A9)."""
+    order = [c for c in ("served_date",) if c in persons.columns]
     table = persons.groupBy("afn").agg(
         one_or_multi("race").alias("race"), first_by("ethnicity", *order).alias("ethnicity")
     )
