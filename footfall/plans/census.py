@@ -114,9 +114,14 @@ def binned_means(acs: DataFrame, recycle: str = "by_column", edu_denominator: st
         numbered = acs
         sums = {f"__{g}": weighted_sum(cols, weights) for g, cols, weights in groups}
     elif recycle == "column_major":
-        size = acs.agg(F.count(F.lit(1)).alias("__n"))
-        # One row per area: the table is as long as the census list of areas, so a single ordering is bounded.
-        numbered = with_row(acs, size).withColumn("__i", F.row_number().over(Window.orderBy("year", "zip")))
+        years = acs.groupBy("year").agg(F.count(F.lit(1)).alias("n")).agg(
+            F.collect_list(F.struct("year", "n")).alias("__years")
+        )
+        earlier = F.filter("__years", lambda y: y["year"] < F.col("year"))
+        rows_in = lambda years: F.aggregate(years, F.lit(0).cast("bigint"), lambda total, y: total + y["n"])
+        # Rows are numbered inside each year, after the rows of all earlier years.
+        place = F.row_number().over(Window.partitionBy("year").orderBy("zip"))
+        numbered = with_row(acs, years).withColumns({"__n": rows_in(F.col("__years")), "__i": rows_in(earlier) + place})
 
         def weight(j: int, weights):
             position = F.pmod(F.lit(j) * F.col("__n") + F.col("__i") - 1, F.lit(len(weights)))
@@ -135,4 +140,4 @@ def binned_means(acs: DataFrame, recycle: str = "by_column", edu_denominator: st
         "avg_income": ratio("__income", "total_hh"),
         "avg_edu_num": ratio("__edu", "__edu_n"),
         "snap_rate": F.col("avg_foodstamps"),
-    }).drop(*sums, "__edu_n", "__n", "__i")
+    }).drop(*sums, "__edu_n", "__n", "__i", "__years")

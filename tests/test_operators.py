@@ -332,3 +332,32 @@ def test_lookup_spreads_a_hot_key(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert sum(sizes) == 30000 and max(sizes) < 30000 / 8 * 1.3
+
+
+def test_top_rows_and_inline_table(spark):
+    df = frames.inline_table(spark, [(i, -i) for i in range(20)], "a INT, b INT")
+    assert [r["a"] for r in frames.top_rows(df, F.col("b").asc()).collect()] == [19, 18, 17, 16, 15, 14]
+    assert len(frames.top_rows(df, F.col("a"), n=3).collect()) == 3
+
+
+def test_scale_and_numbers(spark):
+    df = spark.createDataFrame([("1.5", "x", 4.0)], "a STRING, b STRING, `c d` DOUBLE")
+    assert values(frames.to_numbers(df, ["a", "b"])) == [(1.5, None, 4.0)]
+    assert values(frames.scale_columns(df, ["c d"], F.lit(0.5))) == [("1.5", "x", 2.0)]
+
+
+def test_first_n_per_group(spark):
+    df = spark.range(100).withColumn("k", F.col("id") % 3)
+    assert groups.first_n_per_group(df, ["k"], 5, F.col("id")).count() == 15
+
+
+def test_silhouette_sample_size_is_checked(spark):
+    df = spark.createDataFrame(POINTS, "id STRING, x DOUBLE, y DOUBLE, c INT")
+    with pytest.raises(ValueError):
+        clusters.silhouette_sampled(df, ["x"], "c", [1, 2], "id", per_cluster=5000)
+
+
+def test_approximate_distinct_counts_null(spark):
+    from footfall.functions.nulls import approx_n_distinct
+    df = spark.createDataFrame([("a",), ("b",), (None,)], "x STRING")
+    assert df.agg(approx_n_distinct("x")).first()[0] == 3
