@@ -19,7 +19,8 @@ _PARAMETERS = """
 parameters AS (SELECT zip, scenario, rate::DOUBLE AS rate, midpoint::DOUBLE AS midpoint, k * 1.5::DOUBLE AS capacity,
                       k * 1.5::DOUBLE * 0.99::DOUBLE AS threshold
                FROM (SELECT zip, max(households) AS k FROM yearly GROUP BY zip),
-                    (VALUES """ + ", ".join(f"('{n}', {r}, {m})" for n, r, m in SCENARIOS) + """) t(scenario, rate, midpoint)),
+                    (VALUES """ + ", ".join(f"('{n}', {r}, {m})" for n, r, m in SCENARIOS) + """)
+                      t(scenario, rate, midpoint)),
 curves AS (SELECT *, capacity / (1 + exp(-rate * (year - midpoint))) AS users
            FROM (SELECT *, CAST(unnest(range(1995, 2036)) AS INTEGER) AS year FROM parameters))"""
 

@@ -195,7 +195,12 @@ def sql_bracket(column: str) -> str:
 
 _PRIORITY = "CAST(substr(o_orderpriority, 1, 1) AS INTEGER)"
 _FOODSTAMPS = "CASE o_orderstatus WHEN 'F' THEN 'Yes' WHEN 'O' THEN 'No' END"
-_ZIP = f"({_sql_list(ZIPS)})[{{}} + 1]"
+
+
+def sql_zip(nation: str) -> str:
+    return f"({_sql_list(ZIPS)})[{nation} + 1]"
+
+
 
 CTE = {
     "persons": f"""
@@ -210,7 +215,7 @@ CTE = {
                CAST(l_shipdate AS DATE) AS dob, c_acctbal AS annual_income,
                ({_sql_list(LABELS_0_11)})[({_PRIORITY} - 1) * 3
                  + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END + 1] AS education,
-               {_ZIP.format("c_nationkey")} AS zip, c_mktsegment AS family_type,
+               {sql_zip("c_nationkey")} AS zip, c_mktsegment AS family_type,
                CASE l_linestatus WHEN 'F' THEN 'Own' ELSE 'Rent' END AS housing,
                CASE WHEN c_custkey % 3 = 0 THEN CASE l_returnflag WHEN 'A' THEN 'White' WHEN 'N' THEN 'Unknown' END
                     ELSE ({_sql_list(RACES)})[c_nationkey % 5 + 1] END AS race,
@@ -228,10 +233,10 @@ CTE = {
                 ON o_orderkey = l_orderkey)""",
     "zip_visits": f"""
         SELECT CAST(o_custkey AS VARCHAR) AS houseHoldIdAfn, CAST(o_orderdate AS DATE) AS clean_date,
-               {_ZIP.format("c_nationkey")} AS zip
+               {sql_zip("c_nationkey")} AS zip
         FROM orders JOIN customer ON o_custkey = c_custkey""",
     "zip_shapes": f"""
-        SELECT {_ZIP.format("n_nationkey")} AS zip, CAST(n_nationkey AS DOUBLE) * 0.03::DOUBLE - 94.0::DOUBLE AS xmin,
+        SELECT {sql_zip("n_nationkey")} AS zip, CAST(n_nationkey AS DOUBLE) * 0.03::DOUBLE - 94.0::DOUBLE AS xmin,
                CAST(n_nationkey AS DOUBLE) * 0.02::DOUBLE + 41.3::DOUBLE AS ymin,
                CAST(n_nationkey AS DOUBLE) * 0.03::DOUBLE - 93.96::DOUBLE AS xmax,
                CAST(n_nationkey AS DOUBLE) * 0.02::DOUBLE + 41.33::DOUBLE AS ymax
@@ -249,7 +254,7 @@ def _acs_sql() -> str:
     ]
     return f"""
         SELECT NAME, zip, year, {", ".join(parts)}
-        FROM (SELECT CAST(year(clean_date) AS INTEGER) AS year, {_ZIP.format("c_nationkey")} AS zip,
+        FROM (SELECT CAST(year(clean_date) AS INTEGER) AS year, {sql_zip("c_nationkey")} AS zip,
                      c_mktsegment AS NAME, {sql_bracket("annualIncome")} AS b, visit_id % 16 + 1 AS e,
                      least(householdMembers, 7) AS h, foodstamps
               FROM visit_rows JOIN customer ON customer = c_custkey)

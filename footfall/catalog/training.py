@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..plans import training as T
 from .registry import register, rounded
 from .standins import order_visits, sql_bracket, visit_rows, with_ctes

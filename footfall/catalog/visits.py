@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from ..functions import codes, dates
 from ..functions.nulls import if_else
 from ..operators.frames import keep_rows, stack, top_rows
+from ..operators.groups import flag_group_min
 from ..operators.quantiles import group_quantiles, value_summary
 from ..plans import visits as V
 from .registry import register, rounded
-from .standins import order_visits, persons, persons_v8, sql_bracket, sql_code, table, visit_rows, with_ctes, zip_of
-from .standins import _ZIP
+from .standins import (
+    order_visits, persons, persons_v8, sql_bracket, sql_code, sql_zip, table, visit_rows, with_ctes, zip_of,
+)
 
 
 @register("clean_visits", with_ctes("persons") + """
@@ -53,7 +55,7 @@ def income_summary(spark, sf):  # A19
 
 @register("income_p95", """
 SELECT zip, round(quantile_cont(o_totalprice, 0.95), 4) AS income_95th_percentile
-FROM (SELECT """ + _ZIP.format("c_nationkey") + """ AS zip, o_totalprice
+FROM (SELECT """ + sql_zip("c_nationkey") + """ AS zip, o_totalprice
       FROM orders JOIN customer ON o_custkey = c_custkey) GROUP BY zip""")
 def income_p95(spark, sf):  # A12
     rows = table(spark, sf, "orders").join(
@@ -111,8 +113,6 @@ def monthly_first(spark, sf):  # C3 A2 F16 O1
 SELECT visit_id, CAST(CASE WHEN clean_date = min(clean_date) OVER (PARTITION BY houseHoldIdAfn) THEN 1 ELSE 0 END
   AS INTEGER) AS first_visit FROM visit_rows""")
 def first_flag(spark, sf):  # W3
-    from ..operators.groups import flag_group_min
-
     rows = visit_rows(spark, sf).select("visit_id", "houseHoldIdAfn", "clean_date")
     return flag_group_min(rows, ["houseHoldIdAfn"], "clean_date", "first_visit").select("visit_id", "first_visit")
 

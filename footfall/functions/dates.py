@@ -13,7 +13,11 @@ from .nulls import col
 # A form is a pattern with the parts of the date and the order that turns them into year-month-day. Text after the date
 # is allowed in the first two lists and not in the third. Text that is in order already has no order to apply.
 _PLAIN = (r"^\d{4}-\d{2}-\d{2}$", None)
-ISO = (_PLAIN, (r"(?s)^\s*(\d{4})-(\d{1,2})-(\d{1,2}).*$", "$1-$2-$3"), (r"(?s)^\s*(\d{4})/(\d{1,2})/(\d{1,2}).*$", "$1-$2-$3"))
+ISO = (
+    _PLAIN,
+    (r"(?s)^\s*(\d{4})-(\d{1,2})-(\d{1,2}).*$", "$1-$2-$3"),
+    (r"(?s)^\s*(\d{4})/(\d{1,2})/(\d{1,2}).*$", "$1-$2-$3"),
+)
 US = ((r"(?s)^\s*(\d{1,2})/(\d{1,2})/(\d{4}).*$", "$3-$1-$2"),)
 YMD = (
     _PLAIN,
