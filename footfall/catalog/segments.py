@@ -32,7 +32,7 @@ first_time AS (
   SELECT houseHoldIdAfn, householdMembers, annualIncome, education_numeric,
          CASE WHEN lower(foodstamps) = 'yes' THEN 1 WHEN foodstamps IS NOT NULL THEN 0 END AS food_stamps
   FROM visit_rows QUALIFY row_number() OVER (PARTITION BY houseHoldIdAfn ORDER BY clean_date, householdMembers_key,
-    foodstamps NULLS LAST, annualIncome, education) = 1),
+    foodstamps NULLS LAST, annualIncome, education, visit_id) = 1),
 params AS (SELECT """ + ", ".join(
     f"avg({f}) AS center_{f}, stddev_samp({f}) AS scale_{f}" for f in _FEATURES
 ) + """ FROM first_time)"""
@@ -53,7 +53,7 @@ labelled AS (SELECT *, CAST(CASE WHEN d1 IS NULL THEN NULL WHEN d1 = least(d1, d
 
 
 def first_time(spark, sf):
-    return V.first_time_table(visit_rows(spark, sf))
+    return V.first_time_table(visit_rows(spark, sf), ties=["visit_id"])
 
 
 def _labelled(spark, sf):

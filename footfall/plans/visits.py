@@ -67,10 +67,13 @@ def first_visit_table(persons: DataFrame, first_within: str = "household") -> Da
     )
 
 
-def first_time_table(first_visit: DataFrame) -> DataFrame:
-    """Each household's earliest visit; equal dates are decided by the group keys in order, NULLs last."""
-    ties = ["clean_date", "householdMembers_key", "foodstamps", "annualIncome", "education"]
-    return first_per_group(first_visit, [HOUSEHOLD], *[F.asc_nulls_last(c) for c in ties])
+def first_time_table(first_visit: DataFrame, ties: Sequence[str] = ()) -> DataFrame:
+    """Each household's earliest visit; equal dates are decided by the group keys in order, NULLs last.
+
+    The keys are unique in a table made by ``first_visit_table``; for other visits ``ties`` names further columns.
+    """
+    order = ["clean_date", "householdMembers_key", "foodstamps", "annualIncome", "education", *ties]
+    return first_per_group(first_visit, [HOUSEHOLD], *[F.asc_nulls_last(c) for c in order])
 
 
 def count_by(df: DataFrame, period: Column, name: str, count_name: str, *extra: Column) -> DataFrame:
