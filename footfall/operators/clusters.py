@@ -117,7 +117,7 @@ def fit_kmeans(
     seeds: Iterable[int] = range(123, 148),
     max_iter: int = 20,
     order_by: Sequence[str] = (),
-    parallelism: int = 8,
+    parallelism: int = 16,
 ) -> ClusterModel:
     """k-means on standardised features, the best of one run per seed (M1, M2).
 
@@ -208,7 +208,7 @@ def silhouette_sampled(
     def total_distance(i: int) -> Column:
         """Sum of distances to the sampled members of cluster i; a sampled row adds nothing to its own sum."""
         def step(acc: Column, mark: Column) -> Column:
-            return acc + F.sqrt(reduce(add, [(x - mark[j]) * (x - mark[j]) for j, x in enumerate(xs)]))
+            return acc + F.sqrt(reduce(add, [F.pow(x - mark[j], 2.0) for j, x in enumerate(xs)]))
 
         return F.aggregate(F.col(f"__x{i}"), F.lit(0.0), step)
 
