@@ -71,3 +71,18 @@ def date_parts(c: str | Column) -> dict[str, Column]:
 def within_years(c: str | Column, first: int, last: int) -> Column:
     """Years ``first..last`` as a range on the raw column, so that it reaches the Parquet filter."""
     return (col(c) >= F.lit(dt.date(first, 1, 1))) & (col(c) < F.lit(dt.date(last + 1, 1, 1)))
+
+
+def _next_month(day: dt.date) -> dt.date:
+    return dt.date(day.year + day.month // 12, day.month % 12 + 1, 1)
+
+
+def within_months(c: str | Column, first: str | None = None, last: str | None = None) -> Column:
+    """Days whose month starts between two ISO dates, as a range on the raw column; an open end is ``None``."""
+    kept = F.lit(True)
+    if first is not None:
+        day = dt.date.fromisoformat(first)
+        kept = kept & (col(c) >= F.lit(day if day.day == 1 else _next_month(day)))
+    if last is not None:
+        kept = kept & (col(c) < F.lit(_next_month(dt.date.fromisoformat(last))))
+    return kept

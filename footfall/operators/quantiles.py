@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from math import isfinite
 from operator import or_
 
 from pyspark.ml.feature import Bucketizer
@@ -27,9 +28,9 @@ from .groups import left_join
 
 
 def _marks(df: DataFrame, bins: int) -> list[float]:
-    """Distinct inner bin edges from a sketch of the column ``__x``; at most ``bins - 1`` numbers."""
+    """Distinct finite inner bin edges from a sketch of the column ``__x``; at most ``bins - 1`` numbers."""
     found = df.approxQuantile("__x", [i / bins for i in range(1, bins)], 0.25 / bins)
-    return sorted(set(found))
+    return sorted({m for m in found if isfinite(m)})
 
 
 def _holds(rank: Column, start: Column, size: Column) -> Column:

@@ -89,13 +89,9 @@ def monthly_first_visits(first_time: DataFrame) -> DataFrame:
 
 def monthly_totals(df: DataFrame, first: str | None = None, last: str | None = None, date_column: str = "clean_date",
                    name: str = "month_start", count_name: str = "num_total_visits") -> DataFrame:
-    """Rows by month, months from ``first`` to ``last`` (C17)."""
-    counts = count_by(df, dates.month_floor(date_column), name, count_name)
-    if first is not None:
-        counts = counts.filter(F.col(name) >= F.lit(first).cast("date"))
-    if last is not None:
-        counts = counts.filter(F.col(name) <= F.lit(last).cast("date"))
-    return counts.orderBy(F.asc_nulls_last(name))
+    """Rows by month, months from ``first`` to ``last`` (C17). The limits are applied to the days, before counting."""
+    kept = df.filter(dates.within_months(date_column, first, last))
+    return count_by(kept, dates.month_floor(date_column), name, count_name).orderBy(F.asc_nulls_last(name))
 
 
 def visit_table(persons: DataFrame, first_within: str = "household") -> DataFrame:

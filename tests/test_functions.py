@@ -135,3 +135,14 @@ def test_logistic_goldens(spark, k, r, x0, expected):
     assert len(got) == 11
     for year, value in expected.items():
         assert math.isclose(got[year], value, abs_tol=1e-3)
+
+
+@pytest.mark.parametrize("first,last", [
+    ("2023-01-01", "2023-02-01"), ("2023-01-15", "2023-12-31"), (None, "2022-12-31"), ("2023-12-02", None), (None, None),
+])
+def test_within_months_equals_the_filter_on_month_starts(spark, first, last):
+    df = spark.range(800).select(F.date_add(F.lit("2022-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    expected = {r[0] for r in df.filter(
+        (dates.month_floor("d") >= F.lit(first or "0001-01-01").cast("date"))
+        & (dates.month_floor("d") <= F.lit(last or "9999-01-01").cast("date"))).collect()}
+    assert {r[0] for r in df.filter(dates.within_months("d", first, last)).collect()} == expected

@@ -361,3 +361,16 @@ def test_approximate_distinct_counts_null(spark):
     from footfall.functions.nulls import approx_n_distinct
     df = spark.createDataFrame([("a",), ("b",), (None,)], "x STRING")
     assert df.agg(approx_n_distinct("x")).first()[0] == 3
+
+
+def test_quantiles_with_infinite_values(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(v,) for v in (-inf, 1.0, 2.0, 3.0, inf)], "v DOUBLE")
+    row = quantiles.group_quantiles(df, [], "v", {"a": 0.25, "b": 0.5, "c": 0.75}).first()
+    assert tuple(row) == (1.0, 2.0, 3.0)
+
+
+def test_quantiles_of_nothing(spark):
+    df = spark.createDataFrame([(None,), (None,)], "v DOUBLE")
+    row = quantiles.value_summary(df, "v").first()
+    assert row["median"] is None and row["n_null"] == 2
