@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..names import numbered
 from ..operators.clusters import ClusterModel, nearest, scale_parameters, silhouette_sampled, silhouette_squared, z_scores
 from ..operators.poisson import PoissonModel, fit_poisson
+from ..operators.reuse import written_once
 from ..plans import census as C
 from ..plans import demand as D
 from ..plans import segments as S
@@ -53,7 +54,8 @@ labelled AS (SELECT *, CAST(CASE WHEN d1 IS NULL THEN NULL WHEN d1 = least(d1, d
 
 
 def first_time(spark, sf):
-    return V.first_time_table(visit_rows(spark, sf), ties=["visit_id"])
+    """First visits, written once: scaling, fitting and labelling all start from them."""
+    return written_once(V.first_time_table(visit_rows(spark, sf), ties=["visit_id"]))
 
 
 def _labelled(spark, sf):

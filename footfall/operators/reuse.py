@@ -38,3 +38,11 @@ def held(df: DataFrame):
     else:
         with persisted(df) as kept:
             yield kept
+
+
+def written_once(df: DataFrame) -> DataFrame:
+    """The frame read back from the session's checkpoint folder, for results that several later jobs start from.
+
+    Without such a folder the frame is returned as it is, and each job computes it again.
+    """
+    return df.checkpoint(eager=True) if checkpoint_dir(df.sparkSession) else df
