@@ -374,3 +374,15 @@ def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None,), (None,)], "v DOUBLE")
     row = quantiles.value_summary(df, "v").first()
     assert row["median"] is None and row["n_null"] == 2
+
+
+def test_fits_without_a_checkpoint_folder(spark, monkeypatch):
+    monkeypatch.setattr(reuse, "checkpoint_dir", lambda _: None)
+    df = spark.createDataFrame([(0.0, 2), (0.0, 4), (1.0, 10), (1.0, 14)], "x DOUBLE, y INT")
+    assert reuse.written_once(df) is df
+    with reuse.held(df) as kept:
+        assert kept.is_cached
+    assert not df.is_cached
+    assert poisson.fit_poisson(df, "y", ["x"]).coefficients["x"] == pytest.approx(math.log(4), abs=1e-6)
+    model = clusters.fit_kmeans(df, ["x", "y"], k=2, seeds=range(3))
+    assert [r[0] for r in df.orderBy("x", "y").select(model.label()).collect()] == [1, 1, 2, 2]
