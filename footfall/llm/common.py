@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,47 @@ from ..operators.reuse import checkpoint_dir
 SLICE_BYTES = 4 << 20
 
 
+#: Entries of one generation of a ``Remembered``, of which there are two.
+REMEMBERED = 400_000
+
+
+class Remembered(dict):
+    """Values by key, made when first asked for. What was not asked for during a whole generation is forgotten."""
+
+    def __init__(self, make: Callable) -> None:
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class Strings(NamedTuple):
+    """Texts by their blank-separated strings: the distinct ones, their numbers in order, and where each text begins."""
+
+    strings: pa.Array
+    codes: np.ndarray
+    offsets: np.ndarray
+
+
+def by_string(texts: pa.Array, apart: str | None = None) -> Strings:
+    """Texts in lower case, split at ASCII blanks and around matches of ``apart``.
+
+    Blanks at the ends of a text give an empty string each.
+    """
+    texts = pc.utf8_lower(texts)
+    words = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, apart, r" \1 ") if apart else texts)
+    coded = words.flatten().dictionary_encode()
+    return Strings(coded.dictionary, coded.indices.to_numpy(), words.offsets.to_numpy())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -55,12 +98,12 @@ def slices(sizes: list[int], most: int = SLICE_BYTES) -> Iterator[tuple[int, int
 
 def map_texts(
     df: DataFrame, fn: Callable, fields: list[T.StructField], text: str = "text", keep: list[str] | None = None,
-    most: int = SLICE_BYTES,
+    most: int = SLICE_BYTES, arrow: bool = False,
 ) -> DataFrame:
     """Columns ``keep`` (default: all) and ``fields``, which ``fn`` makes from the texts.
 
     ``fn()`` is called once a task and returns a function from a list of texts (null: None) to the list of columns, each as
-    Arrow array or list. Columns of ``keep`` that are called like a result are replaced by it.
+    Arrow array or list. With ``arrow`` it gets the Arrow array of the texts. Columns of ``keep`` that are called like a result are replaced by it.
     """
     names = [f.name for f in fields]
     low = {n.lower() for n in names}
@@ -75,9 +118,10 @@ def map_texts(
         work = fn()
         for batch in batches:
             texts = batch.column(len(kept))
-            sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
             for a, b in slices(sizes, most):
-                made = work(texts.slice(a, b - a).to_pylist())
+                part = texts.slice(a, b - a)
+                made = work(part if arrow else part.to_pylist())
                 columns = [batch.column(i).slice(a, b - a) for i in range(len(kept))]
                 results = [
                     x if isinstance(x, pa.Array) else pa.array(x, type=target.field(len(kept) + j).type)
