@@ -64,17 +64,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The frame written once to the folder that ``spark.checkpoint.dir`` names, and read from there by all later jobs.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
 
     Where that setting is missing, a folder is made up for a local master only; on a cluster it would not be shared.
     """
-    spark = df.sparkSession
-    if not checkpoint_dir(spark) and not spark.sparkContext.getCheckpointDir():
+    folder = checkpoint_dir(spark)
+    if not folder and not spark.sparkContext.getCheckpointDir():
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return folder or spark.sparkContext.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The frame written once to the shared folder, and read from there by all later jobs."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import near_texts, packing, quality, secrets, sharding, token_counts, vectors  # noqa: F401
+from . import line_dedup, near_texts, packing, quality, secrets, segmentation, sharding, token_counts, toxicity, vectors  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
