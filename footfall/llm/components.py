@@ -13,6 +13,12 @@ def _smallest(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
 
 
+def _state(edges: DataFrame) -> tuple:
+    """Number and hash sum of the edges, which change when an edge does."""
+    each = F.xxhash64("u", "v").cast("decimal(20,0)")
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(each)).first())
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Nodes of the links as ``id`` with the smallest id that they reach as ``component_id``.
 
@@ -23,6 +29,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = cut(
         links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct())
+    state = _state(edges)
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         small = _smallest(both)
@@ -33,9 +40,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         after = cut(
             stars.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(stars.where("v = m").select("u", F.col("m").alias("v"))).distinct())
-        changed = after.exceptAll(edges).limit(1).count() or edges.exceptAll(after).limit(1).count()
-        edges = after
-        if not changed:
+        before, state, edges = state, _state(after), after
+        if state == before:
             break
     roots = edges.select(F.col("v").alias("id")).distinct().withColumn("component_id", F.col("id"))
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component_id")).union(roots)

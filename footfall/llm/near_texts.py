@@ -7,9 +7,10 @@ if two differ in fewer than ``CHUNKS * (ERRORS + 1)`` positions, some chunk diff
 distance share a key. At a similarity of 0.75 a position differs with chance 0.25; the distance bound of 20 out of 40 is
 missed with chance 6e-4, and no shared key at all has chance 1.5e-6. Links are confirmed on the full shingle sets.
 
-Documents with equal sets are one class. Within a key, members are first compared with its smallest class only; later rounds
-compare only members of different components that have met in no earlier round, so a group of n copies costs about n
-comparisons and no link between different components is lost.
+Documents with equal sets are one class. Within a key, members are first compared with its smallest class, then in rounds
+with some ``LEADERS`` of its members, then with four times as many, and so on until all have led; each round compares
+across components only, and keys whose members are all in one component are done. So a group of n near copies costs about n
+comparisons a leader until it has grown together, and no link between different components is lost.
 
 Defined results: words are runs without \\x20 and \\x09-\\x0D, A-Z in lower case; fewer than five words are one shingle; a
 null or blank text has no shingles and links with nothing; ids may repeat; an empty table gives an empty result.
@@ -32,6 +33,10 @@ from .registry import register
 SHINGLE = 5
 PERCENT = 75
 CHUNKS, LANES, BITS, ERRORS = 10, 4, 16, 1
+#: Cells of the parity bits.
+PARITY = 1024
+#: Members of a key, on average, that lead in the first round after its smallest one.
+LEADERS = 8
 SEED = 20240611
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -75,10 +80,19 @@ def signature(found: np.ndarray, by: tuple[np.ndarray, np.ndarray]) -> np.ndarra
     return (lanes.reshape(CHUNKS, LANES) << shifts).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """For each of ``PARITY`` cells of the hash space whether the set has an odd number of shingles there, as bits of longs.
+
+    Where two sets' bits differ, some shingle is in one of them only; so they differ in at most as many bits as shingles.
+    """
+    odd = np.bincount((found >> np.uint64(64 - PARITY.bit_length() + 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def signatures(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds ``n_shingles``, ``set_hash`` (128 bits over the whole set; null for an empty one) and ``chunks``."""
     fields = [T.StructField("n_shingles", T.LongType()), T.StructField("set_hash", T.StringType()),
-              T.StructField("chunks", T.ArrayType(T.LongType()))]
+              T.StructField("chunks", T.ArrayType(T.LongType())), T.StructField("parity", T.ArrayType(T.LongType()))]
 
     def make():
         import xxhash
@@ -90,7 +104,8 @@ def signatures(df: DataFrame, text: str = "text", keep: list[str] | None = None)
             hashes = [xxhash.xxh3_128_hexdigest(x.tobytes()) if len(x) else None for x in found]
             codes = np.concatenate([signature(x, by) for x in found]) if found else np.zeros(0, np.int64)
             edges = pa.array(np.arange(0, len(found) * CHUNKS + 1, CHUNKS, dtype=np.int32))
-            return [[len(x) for x in found], hashes, pa.ListArray.from_arrays(edges, pa.array(codes))]
+            chunks = pa.ListArray.from_arrays(edges, pa.array(codes))
+            return [[len(x) for x in found], hashes, chunks, [parities(x) for x in found]]
 
         return work
 
@@ -119,6 +134,18 @@ def distance(a: str, b: str) -> Column:
     return total
 
 
+def may_link(a: str, b: str) -> Column:
+    """Whether two sets, by signatures, parities and sizes in columns with these endings, can be similar enough.
+
+    The parities reject only what is certain: at 75 % of the union, sets differ in at most a seventh of their sizes' sum.
+    """
+    bits = F.lit(0)
+    for i in range(PARITY // 64):
+        bits = bits + F.bit_count(F.get(f"parity{a}", F.lit(i)).bitwiseXOR(F.get(f"parity{b}", F.lit(i))))
+    near = distance(f"chunks{a}", f"chunks{b}") < CHUNKS * (ERRORS + 1)
+    return near & ((100 + PERCENT) * bits <= (100 - PERCENT) * (F.col(f"size{a}") + F.col(f"size{b}")))
+
+
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``a``, ``b`` whose sets share at least 75 % of their union. ``sets``: ``id``, ``found`` (bytes)."""
     left = sets.select(F.col("id").alias("a"), F.col("found").alias("found_a"))
@@ -151,35 +178,39 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     source = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
     rows = cut(signatures(source, "text", ["id"]))
     classes = rows.where("set_hash is not null").groupBy("set_hash").agg(
-        F.min("id").alias("id"), F.min_by("chunks", "id").alias("chunks"))
-    keyed = classes.select("id", "chunks", F.explode(index_keys()).alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    index = cut(keyed.join(shared.select("key", "least"), "key"))
-    needed = index.select("id").distinct()
-    sets = cut(text_sets(source.join(needed, "id", "left_semi").dropDuplicates(["id"])))
-
-    bound = CHUNKS * (ERRORS + 1)
-    firsts = index.where("id = least").select("key", F.col("chunks").alias("chunks_a"))
-    pairs = cut(
-        index.where("id > least").join(firsts, "key").where(distance("chunks_a", "chunks") < bound)
-        .select(F.col("least").alias("a"), F.col("id").alias("b")).distinct())
-    links, tried = cut(confirm(pairs, sets)), pairs
-    while True:
-        found = components(links)
-        named = cut(
-            index.select("key", "id", "chunks").join(found, "id", "left")
-            .select("key", "id", "chunks", F.coalesce("component_id", "id").alias("c")))
-        open_keys = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-        left = named.join(open_keys, "key")
-        right = left.select("key", F.col("id").alias("b"), F.col("chunks").alias("chunks_b"), F.col("c").alias("c_b"))
-        crossing = (
-            left.join(right, "key").where((F.col("id") < F.col("b")) & (F.col("c") != F.col("c_b"))
-                                          & (distance("chunks", "chunks_b") < bound))
-            .select(F.col("id").alias("a"), "b").distinct())
-        more = cut(crossing.join(tried, ["a", "b"], "left_anti"))
-        if more.isEmpty():
+        F.min("id").alias("id"), F.min_by(F.struct("chunks", "parity", "n_shingles"), "id").alias("s"))
+    classes = cut(classes.select("set_hash", "id", "s.chunks", "s.parity", F.col("s.n_shingles").alias("size")))
+    traits = classes.select("id", "chunks", "parity", "size").dropDuplicates(["id"])
+    keyed = classes.select("id", F.explode(index_keys()).alias("key")).distinct()
+    shared = keyed.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    index = cut(keyed.join(shared, "key"))
+    sets = cut(text_sets(source.join(index.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])))
+    most = index.agg(F.max("n")).first()[0] or 0
+
+    named = lambda end: traits.select(*[F.col(c).alias(c + end) for c in traits.columns])
+    pairs = index.where("id > least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = (
+        pairs.join(named("_a"), F.col("a") == F.col("id_a")).join(named("_b"), F.col("b") == F.col("id_b"))
+        .where(may_link("_a", "_b")).select("a", "b"))
+    links = cut(confirm(pairs, sets))
+    found = components(links)
+    share = (F.xxhash64("id").bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)) * F.col("n")
+    index, before, leaders = index.select("key", "id", "n"), 0, LEADERS
+    while before < most:  # until every member of a key has been a leader
+        owned = index.join(found, "id", "left").withColumn("c", F.coalesce("component_id", "id")).drop("component_id")
+        mixed = owned.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+        index = cut(owned.join(mixed, "key"))  # keys within one component are done
+        if index.isEmpty():
             break
-        links, tried = cut(links.union(confirm(more, sets))), tried.union(more)
+        full = index.join(traits, "id")
+        leading = full.where((share >= before) & (share < leaders)).select(
+            "key", *[F.col(x).alias(x + "_b") for x in ("id", "c", "chunks", "parity", "size")])
+        crossing = (
+            full.join(leading, "key").where((F.col("c") != F.col("c_b")) & may_link("", "_b"))
+            .select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct())
+        links = cut(links.union(confirm(crossing, sets)))
+        found = components(links)
+        index, before, leaders = index.drop("c"), leaders, 4 * leaders
     known = classes.select("set_hash", "id").join(found, "id", "left").select(
         "set_hash", F.coalesce("component_id", "id").alias("component_id"))
     own = F.coalesce("component_id", "id")
