@@ -109,7 +109,7 @@ def fit(patterns: dict[str, int], rounds: int = 200, prior: float = 1.0) -> tupl
     keys = sorted(patterns)
     seen = np.array([["-0+".index(v) for v in k] for k in keys])
     weight = np.array([patterns[k] for k in keys], float)
-    good = np.choose(np.minimum((seen == 0).sum(axis=1), 2), [0.9, 0.3, 0.05])
+    good = np.choose(np.minimum((seen == 0).sum(axis=1), 2), [0.99, 0.1, 0.02])
     for _ in range(rounds):
         table = np.full((seen.shape[1], 3, 2), prior)
         for rule in range(seen.shape[1]):
