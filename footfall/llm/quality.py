@@ -98,7 +98,7 @@ def votes() -> Column:
     )
 
 
-def fit(patterns: dict[str, int], rounds: int = 200, prior: float = 1.0) -> tuple[np.ndarray, float]:
+def fit(patterns: dict[str, int], rounds: int = 200, prior: float = 0.1) -> tuple[np.ndarray, float]:
     """Expectation-maximisation over vote patterns and their counts, for all texts at once.
 
     Returns log P(vote | class) as (rules, votes ``-0+``, classes bad/good) and the share of good texts. Rules vote
