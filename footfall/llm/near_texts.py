@@ -8,7 +8,7 @@ distance share a key. At a similarity of 0.75 a position differs with chance 0.2
 missed with chance 6e-4, and no shared key at all has chance 1.5e-6. Links are confirmed on the full shingle sets.
 
 Documents with equal sets are one class. Within a key, members are first compared with its smallest class, then in rounds
-with some ``LEADERS`` of its members, then with four times as many, and so on until all have led; each round compares
+with some ``LEADERS`` of its members, then with 16 times as many, and so on until all have led; each round compares
 across components only, and keys whose members are all in one component are done. So a group of n near copies costs about n
 comparisons a leader until it has grown together, and no link between different components is lost.
 
@@ -36,7 +36,7 @@ CHUNKS, LANES, BITS, ERRORS = 10, 4, 16, 1
 #: Cells of the parity bits.
 PARITY = 1024
 #: Members of a key, on average, that lead in the first round after its smallest one.
-LEADERS = 8
+LEADERS = 64
 SEED = 20240611
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -210,7 +210,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
             .select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct())
         links = cut(links.union(confirm(crossing, sets)))
         found = components(links)
-        index, before, leaders = index.drop("c"), leaders, 4 * leaders
+        index, before, leaders = index.drop("c"), leaders, 16 * leaders
     known = classes.select("set_hash", "id").join(found, "id", "left").select(
         "set_hash", F.coalesce("component_id", "id").alias("component_id"))
     own = F.coalesce("component_id", "id")
