@@ -188,14 +188,13 @@ def additional_need(spark, sf):  # C14 J5 F9 P13
 _ZIP_COUNTS = "counts AS (SELECT zip, count(DISTINCT houseHoldIdAfn) AS count FROM zip_visits GROUP BY zip)"
 
 
-@register("map_frame", with_ctes("zip_shapes", "zip_visits", then=f"""
-counts AS (SELECT zip, count(DISTINCT houseHoldIdAfn) AS count FROM zip_visits WHERE zip IN {_ZIPS} GROUP BY zip)""")
+@register("map_frame", with_ctes("zip_shapes", "zip_visits", then="""
+counts AS (SELECT zip, count(DISTINCT houseHoldIdAfn) AS count FROM zip_visits GROUP BY zip)""")
     + """
 SELECT zip_shapes.*, count FROM zip_shapes LEFT JOIN counts ON zip_shapes.zip = counts.zip
 WHERE xmax >= -93.9::DOUBLE AND xmin <= -93.4::DOUBLE AND ymax >= 41.4::DOUBLE AND ymin <= 41.8::DOUBLE""")
 def map_frame(spark, sf):  # C15 J4 S6 P19
-    visits = C.in_zips(zip_visits(spark, sf))
-    counts = visits.groupBy("zip").agg(F.count_distinct("houseHoldIdAfn").alias("count"))
+    counts = zip_visits(spark, sf).groupBy("zip").agg(F.count_distinct("houseHoldIdAfn").alias("count"))
     return M.map_frame(zip_shapes(spark, sf), counts)
 
 

@@ -11,7 +11,9 @@ from .standins import with_ctes, zip_visits
 
 _YEARLY = """
 yearly AS (SELECT zip, CAST(year(clean_date) AS INTEGER) AS year, count(DISTINCT houseHoldIdAfn) AS households
-           FROM zip_visits WHERE clean_date < DATE '2001-01-01' GROUP BY 1, 2)"""
+           FROM zip_visits WHERE year(clean_date) IN (
+             SELECT year(clean_date) FROM zip_visits GROUP BY 1 HAVING count(DISTINCT month(clean_date)) = 12)
+           GROUP BY 1, 2)"""
 
 # One literal row per scenario: name, rate, midpoint.
 SCENARIOS = [("base", 0.3, 1998.0), ("slow", 0.15, 2001.0), ("late", 0.3, 2007.0)]
@@ -26,9 +28,10 @@ curves AS (SELECT *, capacity / (1 + exp(-rate * (year - midpoint))) AS users
 
 
 def yearly(spark, sf):
-    """Distinct households per ZIP code and complete year."""
-    visits = zip_visits(spark, sf).filter(F.col("clean_date") < F.lit("2001-01-01").cast("date"))
-    return visits.groupBy("zip", F.year("clean_date").alias("year")).agg(
+    """Distinct households per ZIP code and complete year, one with visits in all of its months."""
+    visits = zip_visits(spark, sf).withColumn("year", F.year("clean_date"))
+    complete = visits.groupBy("year").agg(F.count_distinct(F.month("clean_date")).alias("months")).where("months = 12")
+    return visits.join(complete, "year", "left_semi").groupBy("zip", "year").agg(
         F.count_distinct("houseHoldIdAfn").alias("households")
     )
 

@@ -11,8 +11,6 @@ Every function here has its SQL twin as a common table expression in ``CTE``.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,9 +25,8 @@ ZIPS = [*METRO_ZIPS, "51001", "51002", "51003", "51004", "51005"]
 RACES = ["White", "Unknown", "Other", None, "Asian"]
 
 
-@lru_cache(maxsize=64)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. Its schema and file list are looked up once per session, not once per use."""
+    """A given table, with the files that it has now."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
