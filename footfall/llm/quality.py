@@ -22,6 +22,8 @@ from .registry import register
 
 MIN_WORDS = 20
 WINDOW = 8
+#: Share of good texts on which a rule votes "bad", at most: without a bound, one class could explain all votes.
+ERRS = 0.002
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
@@ -115,7 +117,11 @@ def fit(patterns: dict[str, int], rounds: int = 200, prior: float = 0.1) -> tupl
         for rule in range(seen.shape[1]):
             np.add.at(table[rule, :, 1], seen[:, rule], weight * good)
             np.add.at(table[rule, :, 0], seen[:, rule], weight * (1 - good))
-        table = np.log(table / table.sum(axis=1, keepdims=True))
+        table /= table.sum(axis=1, keepdims=True)
+        excess = np.maximum(table[:, 0, 1] - ERRS, 0)
+        table[:, 0, 1] -= excess
+        table[:, 1, 1] += excess
+        table = np.log(table)
         share = float((weight * good).sum() + prior) / float(weight.sum() + 2 * prior)
         before, good = good, posterior(seen, table, share)
         if np.abs(before - good).max() < 1e-9:
