@@ -70,6 +70,30 @@ def at_risk(spark, sf):  # C8 F10 P10
     return C.at_risk(C.harmonise_education(zip_table(spark, sf)))
 
 
+_HARMONISED_METRO = """
+harmonised AS (SELECT year, """ + ", ".join([*INCOME, *HHSIZE]) + f""", {FOODSTAMP_TOTAL}, {FOODSTAMP_YES},
+  avg_foodstamps, """ + ", ".join(
+    f"{_plus([f'edu{i}' for i in parts])} AS edu{g}" for g, parts in C.EDUCATION_GROUPS.items()
+) + """ FROM totals)"""
+
+
+def _metro(spark, sf):
+    return C.harmonise_education(C.totals(C.in_zips(acs_raw(spark, sf))))
+
+
+@register("edu_harmonised_metro", with_ctes("acs_raw", then=_TOTALS + "," + _HARMONISED_METRO) + """
+SELECT * REPLACE (round(avg_foodstamps, 6) AS avg_foodstamps) FROM harmonised""")
+def edu_harmonised_metro(spark, sf):  # C6, metro grain
+    return rounded(_metro(spark, sf), 6, "avg_foodstamps")
+
+
+@register("at_risk_metro", with_ctes("acs_raw", then=_TOTALS + "," + _HARMONISED_METRO) + f"""
+SELECT year, edu7 + edu3 + edu4 AS matching_education, {" + ".join(INCOME[:8])} AS matching_income,
+       least(edu7 + edu3 + edu4, {" + ".join(INCOME[:8])}) AS at_risk_estimate FROM harmonised""")
+def at_risk_metro(spark, sf):  # C8, metro grain
+    return C.at_risk(_metro(spark, sf))
+
+
 @register("estimated_need", with_ctes("acs_raw", then=BY_ZIP + "," + _TOTALS) + f"""
 SELECT year, zip, {" + ".join(INCOME[:8])} AS estimated_acs_need FROM by_zip
 UNION ALL
@@ -93,12 +117,12 @@ _COUNTS = [*[f"edu{g}" for g in C.EDUCATION_GROUPS], *HHSIZE, *INCOME]
 
 
 @register("scaled_acs", with_ctes("acs_raw", then=BY_ZIP + "," + _HARMONISED + """,
-households AS (SELECT count(DISTINCT o_custkey)::DOUBLE AS n FROM orders WHERE year(o_orderdate) = 1999),
-factors AS (SELECT harmonised.*, (SELECT n FROM households) / (""" + _plus(INCOME) + """) AS f FROM harmonised)""")
+households AS (SELECT year(o_orderdate) AS y, count(DISTINCT o_custkey)::DOUBLE AS n FROM orders GROUP BY 1),
+factors AS (SELECT harmonised.*, n / (""" + _plus(INCOME) + """) AS f FROM harmonised LEFT JOIN households ON year = y)""")
     + "SELECT year, zip, round(f, 6) AS scaling_factor, "
     + ", ".join(f"round({c} * f, 6) AS {c}" for c in _COUNTS) + " FROM factors")
-def scaled_acs(spark, sf):  # C10 A15 P5 P9 J8
-    households = V.households_in_year(order_visits(spark, sf), 1999)
+def scaled_acs(spark, sf):  # C10 P5 P9, each census year by the households of that year
+    households = V.households_per_year(order_visits(spark, sf))
     scaled = C.scale_to_households(C.harmonise_education(zip_table(spark, sf)), households)
     return rounded(scaled.select("year", "zip", "scaling_factor", *_COUNTS), 6)
 

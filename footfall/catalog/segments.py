@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..names import numbered
-from ..operators.clusters import ClusterModel, nearest, scale_parameters, silhouette_sampled, silhouette_squared, z_scores
+from ..operators.clusters import ClusterModel, nearest, scale_parameters, silhouette_squared, z_scores
 from ..operators.poisson import PoissonModel, fit_poisson
 from ..operators.reuse import written_once
 from ..plans import census as C
@@ -105,24 +104,6 @@ def silhouette_sq(spark, sf):  # M5 a
     return rounded(scored.select("houseHoldIdAfn", "cluster", "silhouette"), 6)
 
 
-_SAMPLE = """
-known AS (SELECT * FROM labelled WHERE cluster IS NOT NULL),
-marks AS (SELECT houseHoldIdAfn AS id, cluster AS k, """ + ", ".join(f"{c} AS m_{c}" for c in _SC) + """
-  FROM known QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY md5(houseHoldIdAfn), houseHoldIdAfn) <= 64),
-totals AS (SELECT houseHoldIdAfn, cluster, k, avg(sqrt(""" + " + ".join(
-    f"({c} - m_{c}) * ({c} - m_{c})" for c in _SC
-) + """)) AS mean FROM known, marks WHERE id <> houseHoldIdAfn GROUP BY 1, 2, 3),
-ab AS (SELECT houseHoldIdAfn, cluster, max(CASE WHEN k = cluster THEN mean END) AS a,
-              min(CASE WHEN k <> cluster THEN mean END) AS b FROM totals GROUP BY 1, 2)"""
-
-
-@register("silhouette_sample", with_ctes("visit_rows", then=_FIRST + "," + _LABELLED + "," + _SAMPLE) + _WIDTH)
-def silhouette_sample(spark, sf):  # M5 b J10: a sample of each cluster stands for it, every household is scored
-    rows = _labelled(spark, sf).filter(F.col("cluster").isNotNull())
-    scored = silhouette_sampled(rows, _SC, "cluster", list(CENTROIDS), "houseHoldIdAfn", per_cluster=64)
-    return rounded(scored.select("houseHoldIdAfn", "cluster", "silhouette"), 6)
-
-
 def _fixed_model(households) -> ClusterModel:
     """The fixed centroids with the scaling of the table itself."""
     row = scale_parameters(households, _FEATURES).first()
@@ -154,13 +135,13 @@ def _area_squared(c: int) -> str:
 
 @register("segment_projection", with_ctes("visit_rows", "acs_raw", then=",".join(
     [_FIRST, _LABELLED, _PROFILES, BY_ZIP, MEANS])) + """,
-area_dists AS (SELECT total_hh, """ + ", ".join(f"{_area_squared(c)} AS d{c}" for c in CENTROIDS) + """
+area_dists AS (SELECT year, total_hh, """ + ", ".join(f"{_area_squared(c)} AS d{c}" for c in CENTROIDS) + """
                FROM means, params),
-areas AS (SELECT CAST(CASE WHEN d1 = least(d1, d2, d3, d4) THEN 1 WHEN d2 = least(d1, d2, d3, d4) THEN 2
+areas AS (SELECT year, CAST(CASE WHEN d1 = least(d1, d2, d3, d4) THEN 1 WHEN d2 = least(d1, d2, d3, d4) THEN 2
                       WHEN d3 = least(d1, d2, d3, d4) THEN 3 ELSE 4 END AS INTEGER) AS assigned_cluster, total_hh
           FROM area_dists),
-summed AS (SELECT assigned_cluster, sum(total_hh) AS acs_households FROM areas GROUP BY assigned_cluster)
-SELECT assigned_cluster, acs_households, n_families AS known_families, round(avg_household, 4) AS avg_household,
+summed AS (SELECT year, assigned_cluster, sum(total_hh) AS acs_households FROM areas GROUP BY year, assigned_cluster)
+SELECT year, assigned_cluster, acs_households, n_families AS known_families, round(avg_household, 4) AS avg_household,
        round(avg_income, 4) AS avg_income, round(avg_education, 4) AS avg_education,
        acs_households - n_families AS projected_growth, round(n_families / acs_households, 6) AS "Percentage_Known"
 FROM summed LEFT JOIN profiles ON assigned_cluster = cluster""")
@@ -210,26 +191,22 @@ def poisson_score(spark, sf):  # M8 M9 C7
     return scored.select("year", "zip", "predicted_monthly_visits", "predicted_annual_visits")
 
 
-# Year flags: the model then has a closed form, and the flag of the first year is a combination of the others.
-_YEARS = numbered("y", 2000, 1995)
-_BY_YEAR = [*_YEARS[1:], _YEARS[0]]
-
-
 @register("poisson_by_year", with_ctes("visit_rows", then=MONTHLY + """,
 years AS (SELECT year(month_start) AS y, avg(pantry_visits) AS m, sum(pantry_visits)::DOUBLE AS s FROM monthly GROUP BY 1),
-base AS (SELECT m AS m0, s AS s0 FROM years WHERE y = 1995),
+base AS (SELECT y AS y0, m AS m0, s AS s0 FROM years WHERE y = (SELECT min(y) FROM years)),
 fit AS (SELECT 2 * sum(pantry_visits * ln(pantry_visits / m) - (pantry_visits - m)) AS deviance
         FROM monthly JOIN years ON year(month_start) = y)""") + """
-SELECT 'y' || CAST(y AS VARCHAR) AS term, CASE WHEN y > 1995 THEN round(ln(m / m0), 6) END AS estimate,
-       CASE WHEN y > 1995 THEN round(sqrt(1 / s + 1 / s0), 6) END AS std_error, y = 1995 AS aliased,
+SELECT 'y' || CAST(y AS VARCHAR) AS term, CASE WHEN y > y0 THEN round(ln(m / m0), 6) END AS estimate,
+       CASE WHEN y > y0 THEN round(sqrt(1 / s + 1 / s0), 6) END AS std_error, y = y0 AS aliased,
        round(deviance, 4) AS deviance FROM years, base, fit
 UNION ALL
 SELECT '(Intercept)', round(ln(m0), 6), round(sqrt(1 / s0), 6), false, round(deviance, 4) FROM base, fit""")
 def poisson_by_year(spark, sf):  # M6 M7 with an aliased term
-    monthly = T.monthly_training(visit_rows(spark, sf)).withColumns({
-        y: (F.year("month_start") == int(y[1:])).cast("int") for y in _YEARS
-    })
-    table = fit_poisson(monthly, "pantry_visits", _BY_YEAR).table(spark)
+    # Year flags: the model then has a closed form, and the flag of the first year is a combination of the others.
+    monthly = T.monthly_training(visit_rows(spark, sf))
+    first, *later = sorted(r[0] for r in monthly.select(F.year("month_start")).distinct().collect())
+    flags = {f"y{y}": (F.year("month_start") == y).cast("int") for y in [*later, first]}
+    table = fit_poisson(monthly.withColumns(flags), "pantry_visits", list(flags)).table(spark)
     table = rounded(table.select("term", "estimate", "std_error", "aliased", "deviance"), 6, "estimate", "std_error")
     return rounded(table, 4, "deviance")
 

@@ -28,6 +28,16 @@ def monthly_training(spark, sf):  # C4 F3 F6 F8 F16 A6 A7 A14
     return rounded(T.monthly_training(visit_rows(spark, sf)), 6)
 
 
+@register("monthly_training_after", with_ctes("visit_rows") + f"""
+SELECT CAST(date_trunc('month', clean_date) AS DATE) AS month_start, count(*) AS pantry_visits
+FROM visit_rows WHERE clean_date > DATE '1996-01-31' AND year(clean_date) IN (
+  SELECT year(clean_date) FROM visit_rows WHERE clean_date > DATE '1996-01-31' GROUP BY 1
+  HAVING count(DISTINCT month(clean_date)) = 12)
+GROUP BY 1""")
+def monthly_training_after(spark, sf):  # C4 on visits later than a date
+    return T.monthly_training(visit_rows(spark, sf), min_date="1996-01-31").select("month_start", "pantry_visits")
+
+
 @register("complete_years", """
 SELECT CAST(year(o_orderdate) AS INTEGER) AS year FROM orders
 GROUP BY 1 HAVING count(DISTINCT month(o_orderdate)) = 12""")

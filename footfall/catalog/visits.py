@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes, dates
 from ..functions.nulls import if_else
-from ..operators.frames import keep_rows, stack, top_rows
+from ..operators.frames import inline_table, keep_rows, stack, top_rows
 from ..operators.groups import flag_group_min
 from ..operators.quantiles import group_quantiles, value_summary
 from ..plans import visits as V
@@ -201,6 +201,20 @@ def yearly_metric_union(spark, sf):  # C16 U2 P18
     return V.visits_and_households(order_visits(spark, sf), 1996, 2000, households_after=1996)
 
 
+_GIVEN = [(1997, 17730), (1998, 19032), (1999, 18318), (2001, 15509)]
+
+
+@register("visits_and_given_households", """
+SELECT CAST(year(o_orderdate) AS INTEGER) AS served_year, count(*) AS value, 'Total Visits' AS metric
+FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 2000 GROUP BY 1
+UNION ALL
+SELECT served_year, value, 'Unique Households'
+FROM (VALUES (1997, 17730), (1998, 19032), (1999, 18318)) AS given(served_year, value)""")
+def visits_and_given_households(spark, sf):  # C16 S5: visits against a given yearly table
+    given = inline_table(spark, _GIVEN, "served_year INT, unique_households BIGINT")
+    return V.visits_and_households(order_visits(spark, sf), 1996, 2000, households=given)
+
+
 @register("bar_counts", with_ctes("persons_v8", then="""
 hh AS (SELECT DISTINCT afn, annual_income, family_type, housing FROM persons_v8)""") + """
 SELECT 'family_type' AS variable, family_type AS category, count(*) AS count FROM hh GROUP BY family_type

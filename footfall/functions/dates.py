@@ -22,8 +22,9 @@ US = ((r"(?s)^\s*(\d{1,2})/(\d{1,2})/(\d{4}).*$", "$3-$1-$2"),)
 YMD = (
     _PLAIN,
     (r"^\s*(\d{4})(\d{2})(\d{2})\s*$", "$1-$2-$3"),
-    (r"^\s*(\d{4})-(\d{1,2})-(\d{1,2})\s*$", "$1-$2-$3"),
-    (r"^\s*(\d{4})/(\d{1,2})/(\d{1,2})\s*$", "$1-$2-$3"),
+    (r"^\s*(\d{4})[-/. ](\d{1,2})[-/. ](\d{1,2})\s*$", "$1-$2-$3"),
+    (r"^\s*([0-5]\d|6[0-8])[-/. ](\d{1,2})[-/. ](\d{1,2})\s*$", "20$1-$2-$3"),
+    (r"^\s*(69|[7-9]\d)[-/. ](\d{1,2})[-/. ](\d{1,2})\s*$", "19$1-$2-$3"),
 )
 
 

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import col, quoted
 from .frames import with_row
-from .groups import first_n_per_group
 from .reuse import held, persisted
 
 
@@ -153,9 +152,12 @@ def silhouette_squared(
     """Silhouette width of every row under squared Euclidean distance, without any pair of rows (M5 a).
 
     Per cluster only the count, the sum vector and the sum of squares are needed; they form one aggregate row that
-    reaches every row as a constant. A row alone in its cluster scores 0.
+    reaches every row as a constant. Columns are taken from their means, as squares of large values would lose the digits
+    in which rows differ. A row alone in its cluster scores 0.
     """
-    xs = [f"CAST({quoted(c)} AS DOUBLE)" for c in columns]
+    means = df.agg(*[F.avg(col(c).cast("double")).alias(f"__m{j}") for j, c in enumerate(columns)])
+    centred = with_row(df, means)
+    xs = [f"(CAST({quoted(c)} AS DOUBLE) - __m{j})" for j, c in enumerate(columns)]
     norm = " + ".join(f"{x} * {x}" for x in xs)
     own = col(cluster)
     terms = []
@@ -164,14 +166,14 @@ def silhouette_squared(
         terms.append(F.expr(f"CAST(count_if({here}) AS DOUBLE) AS __n{i}"))
         terms += [F.expr(f"sum(CASE WHEN {here} THEN {x} END) AS __s{i}_{j}") for j, x in enumerate(xs)]
         terms.append(F.expr(f"sum(CASE WHEN {here} THEN {norm} END) AS __q{i}"))
-    totals = df.agg(*terms)
+    totals = centred.agg(*terms)
 
     def total_distance(i: int) -> Column:
         """Sum of squared distances from the row to every member of cluster i."""
         dot = " + ".join(f"{x} * __s{i}_{j}" for j, x in enumerate(xs))
         return F.expr(f"greatest(__n{i} * ({norm}) - 2D * ({dot}) + __q{i}, 0D)")
 
-    known = with_row(df, totals).withColumns({f"__t{i}": total_distance(i) for i in range(len(labels))})
+    known = with_row(centred, totals).withColumns({f"__t{i}": total_distance(i) for i in range(len(labels))})
     return _widths(
         known, own, labels, name,
         others_in_own=lambda i: F.col(f"__n{i}") - 1.0,
@@ -179,47 +181,6 @@ def silhouette_squared(
     ).select(*[col(c) for c in df.columns], name)
 
 
-def silhouette_sampled(
-    df: DataFrame, columns: Sequence[str], cluster: str, labels: Sequence[int], row_id: str,
-    per_cluster: int = 64, name: str = "silhouette",
-) -> DataFrame:
-    """Silhouette width of every row under Euclidean distance, against a sample of each cluster (M5 b, J10).
-
-    The mean distance to a cluster is estimated from ``per_cluster`` members, those whose hashed id comes first; a
-    cluster that is no larger is used whole, so the width is then exact. ``len(labels) * per_cluster`` sampled rows is
-    all that is ever gathered; every row of the table is scored.
-    """
-    if not 1 < per_cluster <= 1000:
-        raise ValueError("per_cluster must lie between 2 and 1000; above that the sample is no longer cut on the map side")
-    xs = [col(c).cast("double") for c in columns]
-    own = col(cluster)
-    sample = first_n_per_group(
-        df.filter(own.isin(list(labels))).select(
-            own.cast("int").alias("c"), col(row_id).cast("string").alias("id"), F.array(*xs).alias("x")
-        ),
-        ["c"], per_cluster, F.md5(F.col("id")), F.col("id"),
-    )
-    landmarks = sample.agg(
-        *[F.collect_list(F.when(F.col("c") == label, F.col("x"))).alias(f"__x{i}") for i, label in enumerate(labels)],
-        *[F.collect_list(F.when(F.col("c") == label, F.col("id"))).alias(f"__id{i}") for i, label in enumerate(labels)],
-    )
-    me = col(row_id).cast("string")
-
-    def total_distance(i: int) -> Column:
-        """Sum of distances to the sampled members of cluster i; a sampled row adds nothing to its own sum."""
-        def step(acc: Column, mark: Column) -> Column:
-            return acc + F.sqrt(reduce(add, [F.pow(x - mark[j], 2.0) for j, x in enumerate(xs)]))
-
-        return F.aggregate(F.col(f"__x{i}"), F.lit(0.0), step)
-
-    known = with_row(df, landmarks).withColumns({f"__t{i}": total_distance(i) for i in range(len(labels))})
-    return _widths(
-        known, own, labels, name,
-        others_in_own=lambda i: (F.size(f"__id{i}") - F.array_contains(F.col(f"__id{i}"), me).cast("int")).cast("double"),
-        members=lambda i: F.size(f"__id{i}").cast("double"),
-    ).select(*[col(c) for c in df.columns], name)
-
-
 def _widths(df: DataFrame, own: Column, labels: Sequence[int], name: str, others_in_own, members) -> DataFrame:
     """``(b - a) / max(a, b)``: a is the mean distance to the rest of the own cluster, b to the nearest other one.
 

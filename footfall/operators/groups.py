@@ -75,12 +75,6 @@ def first_per_group(df: DataFrame, keys: Sequence[str], *order: Column) -> DataF
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) == 1).drop(rank)
 
 
-def first_n_per_group(df: DataFrame, keys: Sequence[str], n: int, *order: Column) -> DataFrame:
-    rank = "__rank"
-    w = Window.partitionBy(*[col(k) for k in keys]).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n).drop(rank)
-
-
 HOT_KEYS = 1000
 
 

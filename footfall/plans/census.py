@@ -15,6 +15,7 @@ from ..names import (
     COUNT_CODES, EDU, FOODSTAMP_TOTAL, FOODSTAMP_YES, HHSIZE, INCOME, METRO_ZIPS, SHORT_NAMES,
 )
 from ..operators.frames import scale_columns, starting_with, with_row
+from ..operators.groups import left_join
 
 # Census education columns that make up each model code.
 EDUCATION_GROUPS = {
@@ -90,12 +91,17 @@ def estimated_need(acs: DataFrame, max_bracket: int = 8) -> DataFrame:
 
 
 def scale_to_households(acs: DataFrame, households: DataFrame) -> DataFrame:
-    """All counts times observed households over census households (C10); ``households`` is a one-row frame."""
-    name = households.columns[0]
+    """All counts times observed households over census households.
+
+    ``households`` has a count per ``year``, so that each census year is scaled by its own households, or is one row whose
+    count holds for all of ``acs``. A year without a count gives NULL.
+    """
+    name = next(c for c in households.columns if c != "year")
+    total = households.withColumnRenamed(name, "__total")
+    known = left_join(acs, total, "year") if "year" in total.columns else with_row(acs, total)
     counts = starting_with(acs, "edu", "hhsize", "income")
     factor = F.try_divide(F.col("__total").cast("double"), row_sum(starting_with(acs, "income")))
-    ready = with_row(acs, households.select(col(name).alias("__total"))).withColumn("scaling_factor", factor)
-    return scale_columns(ready, counts, F.col("scaling_factor")).drop("__total")
+    return scale_columns(known.withColumn("scaling_factor", factor), counts, F.col("scaling_factor")).drop("__total")
 
 
 def binned_means(acs: DataFrame, recycle: str = "by_column", edu_denominator: str = "education") -> DataFrame:

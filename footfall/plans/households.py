@@ -34,7 +34,9 @@ def household_table(visit: DataFrame, persons: DataFrame, na_matches: bool = Fal
 
 
 def households_by_zip(households: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
-    """Households per ZIP code, of all years or of ``first..last``."""
+    """Households per ZIP code, of all years or of ``first..last``, either of which may be left open."""
     if first is not None:
-        households = households.filter(F.col("served_year").between(first, last))
+        households = households.filter(F.col("served_year") >= first)
+    if last is not None:
+        households = households.filter(F.col("served_year") <= last)
     return households.groupBy("zip").agg(F.count(F.lit(1)).alias("count"))

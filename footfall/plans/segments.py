@@ -59,8 +59,12 @@ def assign_areas(acs_means: DataFrame, model: ClusterModel, with_snap: bool = Fa
 
 
 def projection(assigned: DataFrame, cluster_profiles: DataFrame) -> DataFrame:
-    """Census households per segment against known families: growth and share known."""
-    areas = assigned.groupBy("assigned_cluster").agg(strict_sum("total_hh").alias("acs_households"))
+    """Census households per segment against known families: growth and share known.
+
+    A frame with a ``year`` column gives a row per year and segment; census years are never added up.
+    """
+    keys = [c for c in ("year", "assigned_cluster") if c in assigned.columns]
+    areas = assigned.groupBy(*keys).agg(strict_sum("total_hh").alias("acs_households"))
     known = cluster_profiles.withColumnRenamed("n_families", "known_families")
     return left_join(areas, known, {"assigned_cluster": "cluster"}).withColumns({
         "projected_growth": F.col("acs_households") - F.col("known_families"),

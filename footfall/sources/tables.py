@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..functions.nulls import col
+
 
 def read_csv(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
-    """CSV with a header row and a declared schema; ``NA`` and empty text are NULL."""
-    return spark.read.schema(schema).option("header", True).option("nullValue", "NA").csv(path)
+    """The declared columns of a CSV with a header row; ``NA`` and empty text are NULL, as is text of another type.
+
+    Columns are found by their header names, in any order and among others. A missing name is an error, and so is a folder
+    whose files have different headers.
+    """
+    df = spark.read.option("header", True).option("nullValue", "NA").option("enforceSchema", False).csv(path)
+    missing = [f.name for f in schema if f.name not in df.columns]
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)} in the header")
+    return df.select(*[col(f.name).try_cast(f.dataType).alias(f.name) for f in schema])
 
 
 def write_csv(df: DataFrame, path: str) -> None:

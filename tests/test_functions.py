@@ -53,6 +53,11 @@ def test_month_floor_is_a_date(spark):
     (dates.YMD, "2023-1-5", D(2023, 1, 5)),
     (dates.YMD, "2023/01/05", D(2023, 1, 5)),
     (dates.YMD, "202301051", None),
+    (dates.YMD, "2020.01.02", D(2020, 1, 2)),
+    (dates.YMD, "2020 1 2", D(2020, 1, 2)),
+    (dates.YMD, "20-01-02", D(2020, 1, 2)),
+    (dates.YMD, "69/1/2", D(1969, 1, 2)),
+    (dates.YMD, "20-13-02", None),
 ])
 def test_parse_date(spark, forms, text, expected):
     assert column(spark, [text], "STRING", lambda c: dates.parse_date(c, forms)) == [expected]

@@ -150,19 +150,16 @@ def test_silhouette_fixture(spark):
     df = spark.createDataFrame(POINTS, "id STRING, x DOUBLE, y DOUBLE, c INT")
     sq = {r["id"]: r["silhouette"] for r in clusters.silhouette_squared(df, ["x", "y"], "c", [1, 2]).collect()}
     assert [round(sq[i], 6) for i in "pqrs"] == [0.804878, 0.783784, 0.5, 0.571429]
-    eu = {r["id"]: r["silhouette"] for r in clusters.silhouette_sampled(df, ["x", "y"], "c", [1, 2], "id").collect()}
-    assert [round(eu[i], 6) for i in "pqrs"] == [0.555556, 0.534626, 0.291796, 0.342329]
 
 
-def _brute_silhouette(points, squared):
+def _brute_silhouette(points):
     out = {}
     for i, xi, ci in points:
         means = {}
         for c in {p[2] for p in points}:
             others = [xj for j, xj, cj in points if cj == c and j != i]
             if others:
-                d = [float(np.sum((xi - xj) ** 2)) for xj in others]
-                means[c] = float(np.mean(d if squared else np.sqrt(d)))
+                means[c] = float(np.mean([float(np.sum((xi - xj) ** 2)) for xj in others]))
         a = means.pop(ci, None)
         b = min(means.values())
         out[i] = 0.0 if a is None else (b - a) / max(a, b)
@@ -173,26 +170,10 @@ def test_silhouettes_against_brute_force(spark):
     rng = np.random.default_rng(5)
     points = [(str(i), rng.normal(size=3), int(rng.integers(1, 4))) for i in range(60)] + [("lone", np.ones(3), 4)]
     df = spark.createDataFrame([(i, *map(float, x), c) for i, x, c in points], "id STRING, x DOUBLE, y DOUBLE, z DOUBLE, c INT")
-    cols, labels = ["x", "y", "z"], [1, 2, 3, 4]
-    for squared in (True, False):
-        if squared:
-            out = clusters.silhouette_squared(df, cols, "c", labels)
-        else:
-            out = clusters.silhouette_sampled(df, cols, "c", labels, "id", per_cluster=100)
-        expected = _brute_silhouette(points, squared)
-        for r in out.collect():
-            assert r["silhouette"] == pytest.approx(expected[r["id"]], abs=1e-9)
-            assert -1 <= r["silhouette"] <= 1
-
-
-def test_sampled_silhouette_scores_every_row(spark):
-    rng = np.random.default_rng(6)
-    points = [(str(i), float(x), int(x > 0) + 1) for i, x in enumerate(rng.normal(size=300))]
-    df = spark.createDataFrame(points, "id STRING, x DOUBLE, c INT")
-    out = clusters.silhouette_sampled(df, ["x"], "c", [1, 2], "id", per_cluster=40).collect()
-    assert len(out) == 300 and all(r["silhouette"] is not None for r in out)
-    exact = _brute_silhouette([(i, np.array([x]), c) for i, x, c in points], False)
-    assert abs(np.mean([r["silhouette"] for r in out]) - np.mean(list(exact.values()))) < 0.05
+    expected = _brute_silhouette(points)
+    for r in clusters.silhouette_squared(df, ["x", "y", "z"], "c", [1, 2, 3, 4]).collect():
+        assert r["silhouette"] == pytest.approx(expected[r["id"]], abs=1e-9)
+        assert -1 <= r["silhouette"] <= 1
 
 
 def test_kmeans(spark):
@@ -346,17 +327,6 @@ def test_scale_and_numbers(spark):
     assert values(frames.scale_columns(df, ["c d"], F.lit(0.5))) == [("1.5", "x", 2.0)]
 
 
-def test_first_n_per_group(spark):
-    df = spark.range(100).withColumn("k", F.col("id") % 3)
-    assert groups.first_n_per_group(df, ["k"], 5, F.col("id")).count() == 15
-
-
-def test_silhouette_sample_size_is_checked(spark):
-    df = spark.createDataFrame(POINTS, "id STRING, x DOUBLE, y DOUBLE, c INT")
-    with pytest.raises(ValueError):
-        clusters.silhouette_sampled(df, ["x"], "c", [1, 2], "id", per_cluster=5000)
-
-
 def test_approximate_distinct_counts_null(spark):
     from footfall.functions.nulls import approx_n_distinct
     df = spark.createDataFrame([("a",), ("b",), (None,)], "x STRING")
