@@ -13,10 +13,12 @@ def _smallest(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
 
 
-def _state(edges: DataFrame) -> tuple:
-    """Number and hash sum of the edges, which change when an edge does."""
-    each = F.xxhash64("u", "v").cast("decimal(20,0)")
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(each)).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: each ``u`` has one edge, and no ``u`` is the ``v`` of another."""
+    ends = edges.select(F.col("u").alias("k"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        edges.select("v", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("k").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.where((F.col("up") > 1) | (F.col("up") > 0) & (F.col("down") > 0)).isEmpty()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -29,19 +31,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = cut(
         links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct())
-    state = _state(edges)
-    while True:
+    while not _settled(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         small = _smallest(both)
         large = both.where("v > u").join(small, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.distinct()  # each u now points to smaller nodes only
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
         stars = large.join(least, F.col("u") == F.col("k"))
-        after = cut(
+        edges = cut(
             stars.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(stars.where("v = m").select("u", F.col("m").alias("v"))).distinct())
-        before, state, edges = state, _state(after), after
-        if state == before:
-            break
     roots = edges.select(F.col("v").alias("id")).distinct().withColumn("component_id", F.col("id"))
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component_id")).union(roots)

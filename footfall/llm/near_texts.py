@@ -192,8 +192,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     pairs = (
         pairs.join(named("_a"), F.col("a") == F.col("id_a")).join(named("_b"), F.col("b") == F.col("id_b"))
         .where(may_link("_a", "_b")).select("a", "b"))
-    links = cut(confirm(pairs, sets))
-    found = components(links)
+    found = components(confirm(pairs, sets))
     share = (F.xxhash64("id").bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)) * F.col("n")
     index, before, leaders = index.select("key", "id", "n"), 0, LEADERS
     while before < most:  # until every member of a key has been a leader
@@ -208,8 +207,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         crossing = (
             full.join(leading, "key").where((F.col("c") != F.col("c_b")) & may_link("", "_b"))
             .select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct())
-        links = cut(links.union(confirm(crossing, sets)))
-        found = components(links)
+        stars = found.where("id != component_id").select(F.col("id").alias("a"), F.col("component_id").alias("b"))
+        found = components(stars.union(confirm(crossing, sets)))
         index, before, leaders = index.drop("c"), leaders, 16 * leaders
     known = classes.select("set_hash", "id").join(found, "id", "left").select(
         "set_hash", F.coalesce("component_id", "id").alias("component_id"))
