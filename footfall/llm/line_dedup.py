@@ -9,7 +9,8 @@ window's copies; the whole window decides what a match is, so a common single li
 
 Defined results: lines are split at \\n and compared as they are; words are runs without \\x20 and \\x09-\\x0D; a null text
 stays null and has no lines; a text whose lines all go becomes empty; rows equal in id and text count as one place and get
-the same result; within one text the later run goes too, up to the end of the earlier one at most; result columns replace
+the same result; within one text the later run goes whole, also where it overlaps the earlier one (each of its lines equals
+the one an offset earlier, down to a first copy that stays), so one of n copies in a row stays; result columns replace
 columns of the same names; an empty table gives an empty result.
 """
 
@@ -72,7 +73,7 @@ def lines_of(df: DataFrame, text: str, keep: list[str], least: int) -> DataFrame
 
 
 def extend(
-    lines: np.ndarray, words: np.ndarray, first: np.ndarray, matches: list[tuple[int, int]], same: bool, least: int,
+    lines: np.ndarray, words: np.ndarray, first: np.ndarray, matches: list[tuple[int, int]], least: int,
 ) -> list[tuple[int, int]]:
     """Runs of ``lines``, as [start, end), that agree with ``first`` around the matches of line numbers."""
     runs: list[tuple[int, int]] = []
@@ -89,8 +90,7 @@ def extend(
         end = at + (int(differ[0]) if len(differ) else room)
         done[offset] = end
         if words[start:end].sum() >= least:
-            # inside one text the earlier run ends where the later one begins, at the latest
-            runs.append((max(start, end - offset) if same and end - offset < end and start < end - offset else start, end))
+            runs.append((start, end))
     return runs
 
 
@@ -113,8 +113,7 @@ def repeated_runs(df: DataFrame, key: str = "doc_id", text: str = "text", least:
         .drop("i", "hh")
         .join(lines.select(F.col("id").alias("i"), F.col("h").alias("hh"), "hashes", "words"),
               F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("hh")))
-        .select("id", "h", (F.col("id").eqNullSafe(F.col("id0")) & (F.col("h") == F.col("h0"))).alias("same"), "matches",
-                "hashes", "words", "first"))
+        .select("id", "h", "matches", "hashes", "words", "first"))
     schema = T.StructType([both.schema["id"], both.schema["h"],
                            T.StructField("runs", T._parse_datatype_string("array<struct<start:int,end:int>>"))])
 
@@ -123,10 +122,10 @@ def repeated_runs(df: DataFrame, key: str = "doc_id", text: str = "text", least:
         for batch in batches:
             out = []
             for i in range(batch.num_rows):
-                same, matches, hashes, words, first = (batch.column(c)[i] for c in range(2, 7))
+                matches, hashes, words, first = (batch.column(c)[i] for c in range(2, 6))
                 pairs = [(m["at"], m["at0"]) for m in matches.as_py()]
                 as_array = lambda x: x.values.to_numpy(zero_copy_only=False)
-                found = extend(as_array(hashes), as_array(words), as_array(first), pairs, same.as_py(), least)
+                found = extend(as_array(hashes), as_array(words), as_array(first), pairs, least)
                 out.append([{"start": a, "end": b} for a, b in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], names=["id", "h", "runs"])
 
