@@ -4,7 +4,8 @@ Severity grades 0..K are predicted from sparse text features by one weight vecto
 P(grade >= k) = logistic(w.x - t_k). The expected severity is the sum of these probabilities over k.
 
 Features are words (letters, lower case) and word beginnings of ``STEMS`` letters; a value is log(1 + count). They are chosen
-by their association with toxic labels. The model is fitted on at most ``SAMPLE`` labelled rows (those of smallest hashed
+by their association with toxic labels: beyond chance, or strong for the number of rows, so that small tables have features
+too. The model is fitted on at most ``SAMPLE`` labelled rows (those of smallest hashed
 id); every document is scored on its whole text.
 
 Defined results: a null or empty text has no features and gets the grade of the thresholds alone; labels that are null or of
@@ -31,8 +32,9 @@ WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5)
 #: Labelled rows that the model is fitted on, and features that it may have, at most.
 SAMPLE, FEATURES = 16_000, 2048
-#: Grades above 0 that toxic labels are spread over, and the association (chi-square) from which a feature counts.
-LEVELS, ASSOCIATION = 3, 50.0
+#: Grades above 0 that toxic labels are spread over, and the association from which a feature counts: chi-square, or
+#: chi-square for each row, which does not grow with the rows.
+LEVELS, ASSOCIATION, STRONG = 3, 50.0, 0.15
 RESULTS = [("severity", "double"), ("grade", "int"), ("p_toxic", "double")]
 
 
@@ -117,8 +119,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     total = float(bad + good)
     gap = F.col("a") * total - F.col("n") * bad
     score = gap * F.abs(gap) * total / (F.col("n") * (total - F.col("n") + 1.0) * float(bad) * float(good))
+    support = min(5, max(min(2, bad), bad / 4))  # toxic rows that a feature is in
     best = (
-        each.where("a >= 5").withColumn("score", score).where(F.col("score") > ASSOCIATION)
+        each.where(F.col("a") >= support).withColumn("score", score)
+        .where((F.col("score") > ASSOCIATION) | (F.col("score") >= STRONG * total))
         .orderBy(F.desc("score"), "feature").limit(FEATURES).collect())
     number = {r["feature"]: i for i, r in enumerate(best)}
     known = rows.sparkSession.createDataFrame(list(number.items()), "feature string, f int") if number else None
