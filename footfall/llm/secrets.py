@@ -1,7 +1,8 @@
 """Secret scans (operator 6): fixed patterns, and strings that zstandard cannot explain from their surroundings.
 
 Each string in a sensitive context is measured by the bytes that it adds to the compressed surroundings, with a dictionary of
-common identifiers already loaded. Strings that stay nearly as long as they are were not derived from words or code nearby,
+common identifiers already loaded; its own copies are blanked there. A string is in context shortly after a sensitive word,
+or when only dots or line breaks part it from one that is, as in keys of several lines and dotted tokens. Strings that stay nearly as long as they are were not derived from words or code nearby,
 and are reported as ``novel``.
 
 Defined results: a null or empty text has no spans; spans are in code points, end exclusive; kinds may overlap each other;
@@ -29,6 +30,10 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 SENSITIVE = re.compile(r"(?:passw|passphrase|secret|token|api.?key|access.?key|private.?key|credential|bearer|authoriz|AKIA)",
                        re.A | re.I)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: What may part a candidate from the one before that it goes on from (a backslash: line breaks written as \\n).
+JOINT = re.compile(r"[.\\]|\s*[\r\n]\s*")
+#: The short last line of a key.
+LAST = re.compile(r"\s*[\r\n]\s*([A-Za-z0-9+/=]{1,15})(?=\s*[\r\n]\s*-----END)")
 #: Characters after a sensitive word in which a candidate may start, and on each side of it that count as surroundings.
 REACH, AROUND = 48, 240
 #: Compressed bytes a character from which a string counts as incompressible, and the classes of characters it must mix.
@@ -57,7 +62,9 @@ class Novelty:
 
     def __call__(self, text: str, start: int, end: int) -> float:
         """Bytes that the string adds to its compressed surroundings, for each of its characters."""
-        before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
+        size, core = end - start, text[start:end].strip("+/_=-")  # a copy may stand across the edge, or without its padding
+        before = text[max(0, start - AROUND - size) : start].replace(core, " ")[-AROUND:]
+        after = text[end : end + AROUND + size].replace(core, " ")[:AROUND]
         plain = (before + after).encode()
         whole = (before + after + text[start:end]).encode()
         return (len(self.compress(whole)) - len(self.compress(plain))) / (end - start)
@@ -76,17 +83,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
     found: dict[int, tuple[int, int, int]] = {}
+    walked = 0  # what goes on from candidates before it was seen
     for near in SENSITIVE.finditer(text):
+        last = None  # end of the candidate before
         for m in CANDIDATE.finditer(text, near.start(), len(text)):
-            if m.start() > near.end() + REACH:
-                break
             start, end = m.span()
+            if start > near.end() + REACH and (end <= walked or last is None or not JOINT.fullmatch(text, last, start)):
+                break
+            last, walked = end, max(walked, end)
             value = m[0]
             mixed = any(c.islower() for c in value) + any(c.isupper() for c in value) + any(c.isdigit() for c in value)
             if start in found or mixed < CLASSES or any(s < end and start < e for s, _, e in base):
                 continue
             if novelty(text, start, end) >= NOVELTY:
                 found[start] = (start, 3, end)
+                if tail := LAST.match(text, end):
+                    found[tail.start(1)] = (tail.start(1), 3, tail.end(1))
     return list(found.values())
 
 
