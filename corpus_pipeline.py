@@ -5,8 +5,8 @@ documents go, later copies of line runs go, one document of each group of near-d
 what is left is packed. Columns other than the text are carried along; ``n_chars`` follows the text.
 
 Defined results: documents with null text pass all filters and are packed as an empty document each; a document that loses
-all of its lines as copies is dropped, one that had no words before stays; rows with equal ids are judged by their texts; an
-empty table gives an empty result.
+all of its lines as copies is dropped, one that had no words before stays; rows with equal or null ids are judged by their
+texts; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -50,9 +50,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest id; of rows with equal id and text one stays."""
-    found = near_texts.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """One document of each group stays, the one with the smallest id (null last); of rows with equal id and text one stays."""
+    found = near_texts.judged(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__h"))
+    kept = docs.join(found, same, "left_semi")
     words = F.length(F.trim(F.coalesce("text", F.lit(""))))
     some, none = kept.where(words > 0).dropDuplicates(["doc_id", "text"]), kept.where(words == 0)
     return some.unionByName(none).select(*[F.col(f"`{c}`") for c in docs.columns])

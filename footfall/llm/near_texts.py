@@ -13,7 +13,10 @@ across components only, and keys whose members are all in one component are done
 comparisons a leader until it has grown together, and no link between different components is lost.
 
 Defined results: words are runs without \\x20 and \\x09-\\x0D, A-Z in lower case; fewer than five words are one shingle; a
-null or blank text has no shingles and links with nothing; ids may repeat; an empty table gives an empty result.
+null or blank text has no shingles and links with nothing; an empty table gives an empty result. A document is its id and
+text: rows equal in both are judged alike, those that share the id only are judged by their texts. A component's id is its
+smallest id, and it keeps one document, of that id and then of the smallest text hash; null ids come last, so that a
+document without id is kept where its component has no other.
 """
 
 from __future__ import annotations
@@ -173,18 +176,25 @@ def text_sets(df: DataFrame, text: str = "text") -> DataFrame:
     return map_texts(df, lambda: work, [T.StructField("found", T.BinaryType())], text, ["id"])
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every row's ``key`` with ``n_shingles``, ``component_id`` and ``kept``."""
-    source = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    rows = cut(signatures(source, "text", ["id"]))
+def judged(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``near_duplicates`` with ``text_hash``: a document is its key and text, and a component keeps one."""
+    source = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    source = source.withColumn("h", F.xxhash64("text"))
+    rows = cut(signatures(source, "text", ["id", "h"]))
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "h")
     classes = rows.where("set_hash is not null").groupBy("set_hash").agg(
-        F.min("id").alias("id"), F.min_by(F.struct("chunks", "parity", "n_shingles"), "id").alias("s"))
-    classes = cut(classes.select("set_hash", "id", "s.chunks", "s.parity", F.col("s.n_shingles").alias("size")))
-    traits = classes.select("id", "chunks", "parity", "size").dropDuplicates(["id"])
+        F.min(place).alias("first"), F.min_by(F.struct("chunks", "parity", "n_shingles"), place).alias("s"))
+    # each set has a number of its own, as ids may be null or repeat; it is fixed once written
+    classes = cut(classes.select(
+        F.monotonically_increasing_id().alias("id"), "set_hash", "first", "s.chunks", "s.parity", F.col("s.n_shingles").alias("size")))
+    traits = classes.select("id", "chunks", "parity", "size")
     keyed = classes.select("id", F.explode(index_keys()).alias("key")).distinct()
     shared = keyed.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     index = cut(keyed.join(shared, "key"))
-    sets = cut(text_sets(source.join(index.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])))
+    wanted = classes.join(index.select("id").distinct(), "id", "left_semi").select(
+        F.col("id").alias("number"), F.col("first.id").alias("first_id"), F.col("first.h").alias("first_h"))
+    texts = source.join(wanted, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h")))
+    sets = cut(text_sets(texts.select(F.col("number").alias("id"), "text").dropDuplicates(["id"])))
     most = index.agg(F.max("n")).first()[0] or 0
 
     named = lambda end: traits.select(*[F.col(c).alias(c + end) for c in traits.columns])
@@ -210,12 +220,18 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         stars = found.where("id != component_id").select(F.col("id").alias("a"), F.col("component_id").alias("b"))
         found = components(stars.union(confirm(crossing, sets)))
         index, before, leaders = index.drop("c"), leaders, 16 * leaders
-    known = classes.select("set_hash", "id").join(found, "id", "left").select(
-        "set_hash", F.coalesce("component_id", "id").alias("component_id"))
-    own = F.coalesce("component_id", "id")
+    known = classes.select("set_hash", "id", "first").join(found, "id", "left").withColumn("c", F.coalesce("component_id", "id"))
+    firsts = known.groupBy("c").agg(F.min("first").alias("kept_one"))
+    known = known.select("set_hash", "c").join(firsts, "c").select("set_hash", "kept_one")
+    own = F.coalesce("kept_one", place)  # a text without words stands alone
     return rows.join(known, "set_hash", "left").select(
-        F.col("id").alias(key), "n_shingles", own.alias("component_id"),
-        F.coalesce(own == F.col("id"), F.lit(False)).alias("kept"))
+        F.col("id").alias(key), "n_shingles", own["id"].alias("component_id"), (own == place).alias("kept"),
+        F.col("h").alias("text_hash"))
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Every row's ``key`` with ``n_shingles``, ``component_id`` and ``kept``."""
+    return judged(df, key, text).drop("text_hash")
 
 
 @register("op9_text_near_duplicates")
