@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import line_dedup, near_texts, packing, quality, secrets, segmentation, sharding, token_counts, toxicity, vectors  # noqa: F401
+from . import (  # noqa: F401
+    line_dedup, near_texts, packing, quality, secrets, segmentation, sharding, spelling, token_counts, toxicity, vectors,
+)
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
