@@ -127,22 +127,20 @@ def _signed(batches: Iterator[pa.RecordBatch], longer: bool) -> Iterator[pa.Reco
                 chosen, n = words.take(pa.array(some)), counts.take(pa.array(some))
                 codes = np.frombuffer("".join(chosen.to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, size)
                 keys = signatures(codes.astype(np.uint64))
-                width = keys.shape[1] // 2
-                sides = ((False, keys[:, :width]), (True, keys[:, width:])) if longer else ((False, keys[:, :width]),)
-                for shorter, made in sides:
-                    each = pa.array(np.repeat(np.arange(len(chosen)), width))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(made.ravel()), chosen.take(each), n.take(each), pa.array([shorter] * len(each), pa.bool_())],
-                        names=["sig", "word", "n", "longer"])
+                keys = keys if longer else keys[:, :keys.shape[1] // 2]
+                each = pa.array(np.repeat(np.arange(len(chosen)), keys.shape[1]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.ascontiguousarray(keys).ravel()), chosen.take(each), n.take(each)], names=["sig", "word", "n"])
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """Each pair of near words once: ``a``, ``n_a``, ``b``, ``n_b``. ``words`` has distinct ``word`` and ``n``."""
-    schema = "sig long, word string, n long, longer boolean"
+    schema = "sig long, word string, n long"
     rows = words.select("word", "n")
     left = rows.mapInArrow(lambda b: _signed(b, False), schema).select("sig", F.col("word").alias("a"), F.col("n").alias("n_a"))
-    right = rows.mapInArrow(lambda b: _signed(b, True), schema).select("sig", F.col("word").alias("b"), F.col("n").alias("n_b"), "longer")
-    once = F.when(F.col("longer"), F.length("b") == F.length("a") + 1).otherwise((F.length("b") == F.length("a")) & (F.col("a") < F.col("b")))
+    right = rows.mapInArrow(lambda b: _signed(b, True), schema).select("sig", F.col("word").alias("b"), F.col("n").alias("n_b"))
+    size = F.length("b") - F.length("a")
+    once = (size == 1) | (size == 0) & (F.col("a") < F.col("b"))
     return (
         left.join(right, "sig").where(once & (F.levenshtein("a", "b", 1) == 1))
         .select("a", "n_a", "b", "n_b").distinct())
@@ -173,7 +171,7 @@ def roots(found: DataFrame) -> DataFrame:
 def spelling_variants(words: DataFrame, letters: int = LETTERS, occurrences: int = OCCURRENCES, ratio: int = RATIO) -> DataFrame:
     """Groups words by ``word`` and ``n`` (their counts, which are added up): word, form, root, n, n_near, form_n."""
     counted = cut(vocabulary(words, letters, occurrences))
-    found = cut(forms(counted, near_pairs(counted), ratio))
+    found = cut(forms(counted, cut(near_pairs(counted)), ratio))
     return found.join(roots(found), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 

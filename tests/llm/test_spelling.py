@@ -71,7 +71,7 @@ def test_equals_comparing_all_pairs(spark, seed):
 
 
 def test_forms_chain_to_the_root_and_ties_take_the_smallest(spark):
-    rows = [(100 + i, w) for w, n in [("leftist", 3000), ("leftisx", 200), ("leftiyx", 10), ("legtist", 200), ("oftenly", 2)] for i in range(n)]
+    rows = [(100 + i, w) for w, n in [("leftist", 3000), ("leftisx", 200), ("leftiyx", 10), ("legtist", 200), ("oftenly", 9)] for i in range(n)]
     found = result(spark.createDataFrame([(i, t, 1) for i, t in rows], SCHEMA))
     assert found == brute(rows)
     roots = {w: (f, r) for w, f, r, *_ in found}
