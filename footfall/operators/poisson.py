@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -9,15 +10,12 @@ from operator import add
 
 import numpy as np
 import pandas as pd
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.nulls import col
 from .reuse import held
+from .tall_skinny import independent, least_squares, triangle_of
 
 INTERCEPT = "(Intercept)"
 
@@ -51,28 +49,6 @@ def gram_matrix(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
     return out
 
 
-def independent_columns(gram: np.ndarray, tolerance: float = 1e-10) -> list[int]:
-    """Positions of the columns that are no linear combination of earlier ones, in order.
-
-    Cholesky factorisation of the scaled Gram matrix; a column whose remainder vanishes is aliased and skipped.
-    """
-    kept: list[int] = []
-    rows: list[np.ndarray] = []
-    for j in range(len(gram)):
-        if gram[j, j] <= 0:
-            continue
-        scale = np.sqrt(gram[j, j])
-        proj: list[float] = []
-        for r, i in enumerate(kept):
-            g = gram[i, j] / (np.sqrt(gram[i, i]) * scale)
-            proj.append((g - float(np.dot(rows[r][:r], proj[:r]))) / rows[r][r])
-        rest = 1.0 - float(np.dot(proj, proj))
-        if rest > tolerance:
-            kept.append(j)
-            rows.append(np.array([*proj, np.sqrt(rest)]))
-    return kept
-
-
 @dataclass(frozen=True)
 class PoissonModel:
     """Fitted coefficients; an aliased feature has none and adds nothing to a prediction."""
@@ -87,6 +63,7 @@ class PoissonModel:
     null_deviance: float
     aic: float
     iterations: int
+    converged: bool = True
 
     def response(self) -> Column:
         """Expected count of a row: the exponential of the linear predictor."""
@@ -106,49 +83,84 @@ class PoissonModel:
         return spark.createDataFrame(rows, schema).withColumns({k: F.lit(v) for k, v in stats.items()})
 
 
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the gamma function of positive numbers: Stirling's series, moved up by eight."""
+    y = x + 8.0
+    series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) + 1 / (1188 * y**9)
+    moved = np.log(np.prod([x + i for i in range(8)], axis=0))
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series - moved
+
+
+def weighted_lines(x: np.ndarray, beta: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Lines of the weighted matrix of one step, and its totals, from rows of label and features.
+
+    The last column is the working response. Totals: rows, sum of labels, of y log y, deviance, and log likelihood. Without
+    coefficients the step starts at expected counts next to the labels.
+    """
+    y, x = x[:, 0], np.column_stack([np.ones(len(x)), x[:, 1:]])
+    eta = np.log(y + 0.1) if beta is None else np.clip(x @ beta, -700.0, 700.0)
+    mean = np.exp(eta)
+    root = np.sqrt(mean)
+    own = np.where(y > 0, y * np.log(np.where(y > 0, y, 1.0)), 0.0)
+    deviance = 2 * (own - y * eta - (y - mean))
+    likelihood = y * eta - mean - log_gamma(y + 1.0)
+    totals = np.array([len(y), y.sum(), own.sum(), deviance.sum(), likelihood.sum()])
+    return np.column_stack([x, eta + (y - mean) / mean]) * root[:, None], totals
+
+
 def fit_poisson(frame: DataFrame, label: str, features: Sequence[str], max_iter: int = 50, tol: float = 1e-10
                 ) -> PoissonModel:
     """Fit ``label ~ features`` with iteratively reweighted least squares on the cluster.
 
-    Features are divided by their root mean square for the fit, which keeps the normal equations well conditioned,
-    and the coefficients are given in the original units.
+    Each step is one pass over the rows: tasks fold their weighted rows into a triangle (``tall_skinny``), from which the driver
+    takes coefficients and, at the end, standard errors. As no cross products are formed, nearly collinear features keep
+    about half of the digits more than normal equations would leave them. Features that are combinations of earlier
+    ones are aliased. A step that raises the deviance is halved. Rows with a NULL are left out; negative labels are an error.
     """
     features = list(features)
     numbers = frame.select(*[col(c).cast("double").alias(c) for c in [label, *features]])
     with held(numbers) as rows:
         # Filtered after it is held: a NULL test over dozens of cast columns makes constraint inference explode.
         data = rows.dropna()
-        gram = gram_matrix(data, features)
-        if gram[0, 0] == 0:
+
+        def step(used: Sequence[str], beta: np.ndarray | None):
+            return triangle_of(data.select(col(label), *[col(f) for f in used]), len(used) + 2, lambda x: weighted_lines(x, beta))
+
+        first = step(features, None)
+        if first is None:
             raise ValueError("no complete row to fit")
-        kept = [i for i in independent_columns(gram) if i > 0]
-        used = [features[i - 1] for i in kept]
-        scale = {features[i - 1]: float(np.sqrt(gram[i, i] / gram[0, 0])) for i in kept}
-        scaled = data.select(col(label).alias("label"), *[(col(f) / F.lit(scale[f])).alias(f) for f in used])
-        vectors = VectorAssembler(inputCols=used, outputCol="features").transform(scaled)
-        model = GeneralizedLinearRegression(
-            family="poisson", link="log", maxIter=max_iter, tol=tol, regParam=0.0
-        ).fit(vectors)
-        summary = model.summary
-        deviance, null_deviance = float(summary.deviance), float(summary.nullDeviance)
-        aic, iterations = float(summary.aic), int(summary.numIterations)
-        errors, p_values = {}, {}
-        try:
-            terms = [*used, INTERCEPT]
-            factor = [*[scale[f] for f in used], 1.0]
-            errors = {t: float(e) / s for t, e, s in zip(terms, summary.coefficientStandardErrors, factor)}
-            p_values = {t: float(p) for t, p in zip(terms, summary.pValues)}
-        except (Py4JJavaError, PySparkException):  # not offered when the last step was solved iteratively
-            errors, p_values = {}, {}
+        kept = [j for j in independent(first[0][:, :-1]) if j > 0]
+        used = [features[j - 1] for j in kept]
+        n, total, own, _, _ = first[1]
+        if not np.isfinite(first[1]).all() or total <= 0:
+            raise ValueError("labels must be counts, some of them above zero")
+        beta, _ = least_squares(first[0][:, [0, *kept, -1]])
+        before, deviance, converged = None, math.inf, False
+        for iterations in range(1, max_iter + 1):
+            triangle, (_, _, _, now, likelihood) = step(used, beta)
+            if before is not None and not now <= deviance + tol * (abs(deviance) + 0.1):
+                beta = (before + beta) / 2
+                continue
+            converged = abs(deviance - now) <= tol * (abs(now) + 0.1)
+            deviance, after = now, least_squares(triangle)
+            if converged:
+                break
+            before, beta = beta, after[0]
+        errors = np.sqrt(np.diag(after[1]))
+        if not converged:
+            beta = before
+    estimates = dict(zip([INTERCEPT, *used], beta.tolist(), strict=True))
+    std_errors = dict(zip([INTERCEPT, *used], errors.tolist(), strict=True))
     return PoissonModel(
         features=tuple(features),
-        intercept=float(model.intercept),
-        coefficients={f: float(b) / scale[f] for f, b in zip(used, model.coefficients)},
+        intercept=estimates.pop(INTERCEPT),
+        coefficients=estimates,
         aliased=tuple(f for f in features if f not in used),
-        std_errors=errors,
-        p_values=p_values,
-        deviance=deviance,
-        null_deviance=null_deviance,
-        aic=aic,
+        std_errors=std_errors,
+        p_values={t: math.erfc(abs({INTERCEPT: float(beta[0]), **estimates}[t] / e) / math.sqrt(2)) for t, e in std_errors.items()},
+        deviance=float(deviance),
+        null_deviance=float(2 * (own - total * math.log(total / n))),
+        aic=float(-2 * likelihood + 2 * len(beta)),
         iterations=iterations,
+        converged=converged,
     )

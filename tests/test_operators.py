@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from footfall.operators import clusters, frames, groups, poisson, quantiles, reuse, trend
+from footfall.operators import clusters, frames, groups, poisson, quantiles, reuse, tall_skinny, trend
 
 
 def values(df):
@@ -234,6 +234,68 @@ def test_poisson_against_newton_and_aliases(spark):
     assert table["twice"]["aliased"] and table["twice"]["estimate"] is None and len(table) == 5
 
 
+def _qr_irls(x, y):
+    """Reweighted least squares by numpy's QR on the whole matrix: coefficients, errors, deviance, AIC."""
+    eta = np.log(y + 0.1)
+    for _ in range(60):
+        mu = np.exp(eta)
+        q, r = np.linalg.qr(x * np.sqrt(mu)[:, None])
+        beta = np.linalg.solve(r, q.T @ ((eta + (y - mu) / mu) * np.sqrt(mu)))
+        eta = x @ beta
+    mu = np.exp(eta)
+    inverse = np.linalg.inv(np.linalg.qr(x * np.sqrt(mu)[:, None], mode="r"))
+    logs = np.array([v * math.log(v) if v else 0.0 for v in y])
+    likelihood = sum(v * e - m - math.lgamma(v + 1) for v, e, m in zip(y, eta, mu))
+    return beta, np.sqrt((inverse**2).sum(axis=1)), 2 * (logs - y * eta - (y - mu)).sum(), -2 * likelihood + 2 * x.shape[1]
+
+
+@pytest.mark.parametrize("noise", [1.0, 1e-3, 1e-6])
+def test_poisson_with_nearly_collinear_features(spark, noise):
+    rng = np.random.default_rng(11)
+    a, b, e = rng.normal(size=(3, 600))
+    near = a + noise * e
+    y = rng.poisson(np.exp(1.0 + 0.4 * a + 0.3 * b)).astype(float)
+    rows = [tuple(map(float, r)) for r in np.column_stack([y, a, b, near, a - b])]
+    df = spark.createDataFrame(rows, "y DOUBLE, a DOUBLE, b DOUBLE, near DOUBLE, sum DOUBLE").repartition(7)
+    model = poisson.fit_poisson(df, "y", ["a", "b", "near", "sum"])
+    assert model.aliased == ("sum",) and model.converged
+    beta, errors, deviance, aic = _qr_irls(np.column_stack([np.ones(600), a, b, near]), y)
+    found = [model.intercept, *(model.coefficients[t] for t in ("a", "b", "near"))]
+    # Differences are counted in standard errors, as the coefficients themselves grow with the collinearity.
+    assert np.abs((np.array(found) - beta) / errors).max() < 1e-5
+    assert [model.std_errors[t] for t in ("(Intercept)", "a", "b", "near")] == pytest.approx(list(errors), rel=1e-6)
+    assert (model.deviance, model.aic) == pytest.approx((deviance, aic), rel=1e-9)
+    table = {r["term"]: r for r in model.table(spark).collect()}
+    for term in ("(Intercept)", "a", "b", "near"):
+        r = table[term]
+        assert r["z_value"] == pytest.approx(r["estimate"] / r["std_error"]) and r["aic"] is not None
+        assert r["p_value"] == pytest.approx(math.erfc(abs(r["z_value"]) / math.sqrt(2)), abs=1e-12)
+    assert table["sum"]["aliased"] and table["sum"]["std_error"] is None
+
+
+def test_poisson_does_not_depend_on_the_partitioning(spark):
+    rows = [(float(i % 7), float(i * i % 11), float(i % 5)) for i in range(200)]
+    df = spark.createDataFrame(rows, "x DOUBLE, w DOUBLE, y DOUBLE")
+    one, many = (poisson.fit_poisson(df.repartition(n), "y", ["x", "w"]) for n in (1, 40))
+    assert one.std_errors == pytest.approx(many.std_errors, rel=1e-9) and one.aic == pytest.approx(many.aic, rel=1e-12)
+
+
+def test_poisson_rejects_frames_without_counts(spark):
+    for rows in ([], [(None, 1.0)], [(1.0, 0.0), (2.0, 0.0)], [(1.0, -3.0), (2.0, 1.0)]):
+        with pytest.raises(ValueError):
+            poisson.fit_poisson(spark.createDataFrame(rows, "x DOUBLE, y DOUBLE"), "y", ["x"])
+
+
+def test_triangle_equals_qr_and_log_gamma(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(500, 4))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE").repartition(40)
+    triangle, totals = tall_skinny.triangle_of(df, 4, lambda b: (b, b.sum(axis=0)))
+    assert np.abs(triangle) == pytest.approx(np.abs(np.linalg.qr(x, mode="r")), rel=1e-9) and totals == pytest.approx(x.sum(axis=0))
+    values = np.array([0.5, 1.0, 2.0, 3.5, 40.0, 1e6])
+    assert poisson.log_gamma(values) == pytest.approx([math.lgamma(v) for v in values], rel=1e-12, abs=1e-11)
+
+
 def test_gram_matrix(spark):
     df = spark.createDataFrame([(1, 2), (3, 4), (None, 9)], "a INT, b INT").repartition(3)
     assert poisson.gram_matrix(df, ["a", "b"]).tolist() == [[2, 4, 6], [4, 10, 14], [6, 14, 20]]
