@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import codes
 from ..operators.clusters import ClusterModel, nearest, scale_parameters, silhouette_squared, z_scores
 from ..operators.poisson import PoissonModel, fit_poisson
 from ..operators.reuse import written_once
+from ..operators.silhouette import silhouette_euclidean
 from ..plans import census as C
 from ..plans import demand as D
 from ..plans import segments as S
@@ -14,7 +16,7 @@ from ..plans import training as T
 from ..plans import visits as V
 from .areas import BY_ZIP, MEANS, zip_table
 from .registry import register, rounded
-from .standins import visit_rows, with_ctes
+from .standins import sql_bracket, visit_rows, with_ctes
 from .training import MONTHLY
 
 # Fixed centroids in standardised units, so that labels can be compared across engines.
@@ -104,6 +106,39 @@ def silhouette_sq(spark, sf):  # M5 a
     return rounded(scored.select("houseHoldIdAfn", "cluster", "silhouette"), 6)
 
 
+# Divisors of size, income bracket, education code and food stamps, which have few distinct values together.
+_UNITS = {"householdMembers": 2.0, "bracket": 4.0, "education_numeric": 3.0, "food_stamps": 1.0}
+
+
+@register("silhouette_euclidean", with_ctes("visit_rows", then=_FIRST + "," + _LABELLED + """,
+coded AS (SELECT l.houseHoldIdAfn, l.cluster, """ + ", ".join(
+    f"{sql_bracket('f.annualIncome') if c == 'bracket' else 'f.' + c} / {u}::DOUBLE AS u_{c}" for c, u in _UNITS.items()
+) + """ FROM labelled l JOIN first_time f ON f.houseHoldIdAfn = l.houseHoldIdAfn WHERE l.cluster IS NOT NULL),
+points AS (SELECT cluster, """ + ", ".join(f"u_{c}" for c in _UNITS) + """, count(*)::DOUBLE AS w FROM coded GROUP BY ALL),
+sizes AS (SELECT cluster AS k, sum(w) AS n FROM points GROUP BY cluster),
+sums AS (SELECT p.*, q.cluster AS k, sum(q.w * sqrt(""" + " + ".join(f"(p.u_{c} - q.u_{c}) ** 2" for c in _UNITS) + """)) AS total
+         FROM points p, points q GROUP BY ALL),
+ab AS (SELECT cluster, """ + ", ".join(f"u_{c}" for c in _UNITS) + """, max(CASE WHEN k = cluster AND n > 1 THEN total / (n - 1) END) AS a,
+              min(CASE WHEN k <> cluster THEN total / n END) AS b FROM sums JOIN sizes USING (k) GROUP BY ALL)
+SELECT houseHoldIdAfn, coded.cluster, round(CASE WHEN a IS NULL THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0)
+  END, 6) AS silhouette FROM coded JOIN ab ON coded.cluster = ab.cluster AND """ + " AND ".join(
+    f"coded.u_{c} = ab.u_{c}" for c in _UNITS)))
+def silhouette_euclidean_exact(spark, sf):  # M5 b J10, without tolerance over points that repeat
+    households = S.with_food_stamps(first_time(spark, sf))
+    scaled = z_scores(households, scale_parameters(households, _FEATURES), {f: f for f in _FEATURES})
+    coded = scaled.withColumns({"cluster": nearest(_SC, CENTROIDS), "bracket": codes.bracket_number("annualIncome")}).withColumns(
+        {f"u_{c}": F.col(c) / F.lit(u) for c, u in _UNITS.items()})
+    coded = coded.filter(F.col("cluster").isNotNull()).select("houseHoldIdAfn", "cluster", *[f"u_{c}" for c in _UNITS])
+    widths = silhouette_euclidean(coded, [f"u_{c}" for c in _UNITS], "cluster")
+    return rounded(widths.select("houseHoldIdAfn", "cluster", "silhouette"), 6)
+
+
+@register("silhouette_bounds")
+def silhouette_bounds(spark, sf):  # M5 b J10, over exact incomes: all pairs would grow with the square of the households
+    rows = _labelled(spark, sf).filter(F.col("cluster").isNotNull())
+    return silhouette_euclidean(rows, _SC, "cluster", tolerance=0.02).drop(*_SC)
+
+
 def _fixed_model(households) -> ClusterModel:
     """The fixed centroids with the scaling of the table itself."""
     row = scale_parameters(households, _FEATURES).first()
@@ -194,21 +229,27 @@ def poisson_score(spark, sf):  # M8 M9 C7
 @register("poisson_by_year", with_ctes("visit_rows", then=MONTHLY + """,
 years AS (SELECT year(month_start) AS y, avg(pantry_visits) AS m, sum(pantry_visits)::DOUBLE AS s FROM monthly GROUP BY 1),
 base AS (SELECT y AS y0, m AS m0, s AS s0 FROM years WHERE y = (SELECT min(y) FROM years)),
-fit AS (SELECT 2 * sum(pantry_visits * ln(pantry_visits / m) - (pantry_visits - m)) AS deviance
-        FROM monthly JOIN years ON year(month_start) = y)""") + """
-SELECT 'y' || CAST(y AS VARCHAR) AS term, CASE WHEN y > y0 THEN round(ln(m / m0), 6) END AS estimate,
-       CASE WHEN y > y0 THEN round(sqrt(1 / s + 1 / s0), 6) END AS std_error, y = y0 AS aliased,
-       round(deviance, 4) AS deviance FROM years, base, fit
-UNION ALL
-SELECT '(Intercept)', round(ln(m0), 6), round(sqrt(1 / s0), 6), false, round(deviance, 4) FROM base, fit""")
+fit AS (SELECT 2 * sum(pantry_visits * ln(pantry_visits / m) - (pantry_visits - m)) AS deviance,
+               2 * sum(pantry_visits * ln(pantry_visits / (SELECT avg(pantry_visits) FROM monthly))) AS null_deviance,
+               2 * (SELECT count(*) FROM years) - 2 * sum(pantry_visits * ln(m) - m - lgamma(pantry_visits + 1)) AS aic
+        FROM monthly JOIN years ON year(month_start) = y),
+terms AS (SELECT 'y' || CAST(y AS VARCHAR) AS term, CASE WHEN y > y0 THEN ln(m / m0) END AS estimate,
+                 CASE WHEN y > y0 THEN sqrt(1 / s + 1 / s0) END AS std_error, y = y0 AS aliased FROM years, base
+          UNION ALL SELECT '(Intercept)', ln(m0), sqrt(1 / s0), false FROM base),
+ends AS (SELECT *, least(abs(estimate / std_error), 12) AS e FROM terms),
+areas AS (SELECT term, sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-power(e * i / 4000, 2) / 2))
+                       * max(e) / 12000 AS area FROM ends, generate_series(0, 4000) AS g(i) GROUP BY term)""") + """
+SELECT term, round(estimate, 6) AS estimate, round(std_error, 6) AS std_error, round(estimate / std_error, 4) AS z_value,
+       CASE WHEN estimate IS NOT NULL THEN round(greatest(1 - sqrt(2 / pi()) * area, 0), 6) END AS p_value, aliased, round(deviance, 4) AS deviance,
+       round(null_deviance, 4) AS null_deviance, round(aic, 4) AS aic FROM ends JOIN areas USING (term), fit""")
 def poisson_by_year(spark, sf):  # M6 M7 with an aliased term
-    # Year flags: the model then has a closed form, and the flag of the first year is a combination of the others.
+    # Year flags: the model then has a closed form, and the flag of the first year is a combination of the others. The SQL
+    # integrates the normal density for p values.
     monthly = T.monthly_training(visit_rows(spark, sf))
     first, *later = sorted(r[0] for r in monthly.select(F.year("month_start")).distinct().collect())
     flags = {f"y{y}": (F.year("month_start") == y).cast("int") for y in [*later, first]}
     table = fit_poisson(monthly.withColumns(flags), "pantry_visits", list(flags)).table(spark)
-    table = rounded(table.select("term", "estimate", "std_error", "aliased", "deviance"), 6, "estimate", "std_error")
-    return rounded(table, 4, "deviance")
+    return rounded(rounded(table, 6, "estimate", "std_error", "p_value"), 4, "z_value", "deviance", "null_deviance", "aic")
 
 
 # Fixed coefficients, so that scoring can be compared across engines.
