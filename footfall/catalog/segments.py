@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import codes
-from ..operators.clusters import ClusterModel, nearest, scale_parameters, silhouette_squared, z_scores
+from ..operators.clusters import (
+    ClusterModel, descended, nearest, scale_parameters, silhouette_squared, weighted_points, z_scores,
+)
 from ..operators.poisson import PoissonModel, fit_poisson
 from ..operators.reuse import written_once
 from ..operators.silhouette import silhouette_euclidean
@@ -189,6 +192,37 @@ def segment_projection(spark, sf):  # C11 M4 J2 P6 A4, fixed centroids
     return rounded(projected, 6, "Percentage_Known")
 
 
+_XS = ", ".join(f"x{j}" for j in range(len(_FEATURES)))
+
+
+def _iteration(i: int) -> str:
+    """The assignment to the centroids of iteration i, and the centroids of the next one."""
+    distance = " + ".join(f"(p.x{j} - c.x{j}) ** 2" for j in range(len(_FEATURES)))
+    return f"""
+a{i} AS (SELECT p.*, c.cluster FROM complete p, c{i} c
+         QUALIFY row_number() OVER (PARTITION BY p.houseHoldIdAfn ORDER BY {distance}, c.cluster) = 1),
+c{i + 1} AS (SELECT cluster, {", ".join(f"avg(x{j}) AS x{j}" for j in range(len(_FEATURES)))} FROM a{i} GROUP BY cluster)"""
+
+
+@register("kmeans_fixed_start", with_ctes("visit_rows", then=_FIRST + "," + _LABELLED + """,
+complete AS (SELECT houseHoldIdAfn, """ + ", ".join(f"{c} AS x{j}" for j, c in enumerate(_SC)) + """ FROM labelled WHERE cluster IS NOT NULL),
+c0 AS (SELECT * FROM (VALUES """ + ", ".join(
+    f"({c}, {', '.join(f'{v}::DOUBLE' for v in point)})" for c, point in CENTROIDS.items()) + f""") AS v(cluster, {_XS})),"""
+    + ",".join(_iteration(i) for i in range(6))) + """
+SELECT CAST(c5.cluster AS INTEGER) AS cluster, (SELECT count(*) FROM a5 WHERE a5.cluster = c5.cluster) AS n_families, """
+    + ", ".join(f"round(x{j}, 6) AS {c}" for j, c in enumerate(_SC)) + " FROM c5")
+def kmeans_fixed_start(spark, sf):  # M2, five iterations from the same start as the SQL
+    rows = _labelled(spark, sf).filter(F.col("cluster").isNotNull()).select(*_SC)
+    points = written_once(weighted_points(rows, _SC))
+    squares = points.agg(F.sum(F.col("weight") * sum(F.col(c) * F.col(c) for c in _SC))).first()[0]
+    start = np.array([[CENTROIDS[c] for c in sorted(CENTROIDS)]])
+    centroids, _ = descended(points, start, squares, max_iter=5, transfers=False)
+    found = dict(zip(sorted(CENTROIDS), centroids[0].tolist()))
+    counted = points.groupBy(nearest(_SC, found).alias("cluster")).agg(F.sum("weight").cast("long").alias("n_families"))
+    named = spark.createDataFrame([(c, *p) for c, p in found.items()], ["cluster", *_SC]).withColumn("cluster", F.col("cluster").cast("int"))
+    return rounded(named.join(counted, "cluster", "left").fillna(0, ["n_families"]).select("cluster", "n_families", *_SC), 6)
+
+
 @register("kmeans_assign")
 def kmeans_assign(spark, sf):  # M2 J1 P14 P17 F1
     households = first_time(spark, sf)

@@ -5,18 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 from operator import add, and_
+from typing import NamedTuple
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nulls import col, quoted
+from .fold import fold
 from .frames import with_row
-from .reuse import held, persisted
+from .reuse import held
 
 
 def scale_parameters(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -103,10 +102,132 @@ def _weighted_scaling(points: DataFrame, features: Sequence[str], weight: str):
     return centers, scales
 
 
-def _in_parallel(spark: SparkSession, task, items: list, parallelism: int) -> list:
-    """Run jobs of independent fits from a few driver threads, as the model-selection classes of Spark ML do."""
-    with ThreadPool(max(1, min(parallelism, len(items)))) as pool:
-        return pool.map(inheritable_thread_target(spark)(task), items)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def first_by_hash(points: DataFrame, features: Sequence[str], k: int, seeds: Sequence[int]) -> np.ndarray:
+    """For each seed the k distinct points of smallest hash of seed and features: starts of restarts, in one pass."""
+    def of(x: np.ndarray, seed: int) -> np.ndarray:
+        h = np.full(len(x), np.uint64(seed & 0xFFFFFFFF) * np.uint64(0x9E3779B97F4A7C15), np.uint64)
+        for column in (x + 0.0).T:  # -0.0 is 0.0
+            h = _mixed(h + np.ascontiguousarray(column).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        return h
+
+    def least(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        out = []
+        for h, x in pairs:
+            at = np.lexsort([*x.T[::-1], h])[:k]
+            out.append((h[at], x[at]))
+        return out
+
+    def add(state, x):
+        found = least([(of(x, s), x) for s in seeds])
+        return found if state is None else merge(state, found)
+
+    def merge(a, b):
+        return least([(np.concatenate([h, g]), np.vstack([x, y])) for (h, x), (g, y) in zip(a, b, strict=True)])
+
+    found = fold(points.select(*[col(f) for f in features]), add, merge)
+    if found is None or len(found[0][0]) < k:
+        raise ValueError(f"fewer than {k} distinct points")
+    return np.stack([x for _, x in found])
+
+
+class _Step(NamedTuple):
+    """What a pass sums up for each restart: weight and weighted sums by cluster, cost at the old centroids, changes of the
+    sums if all points moved that gain by it, and the one move that gains most (gain, change of the sums)."""
+
+    sums: np.ndarray
+    cost: np.ndarray
+    moves: np.ndarray
+    gain: np.ndarray
+    best: np.ndarray
+
+
+def _step(points: DataFrame, centroids: np.ndarray, sizes: np.ndarray) -> _Step:
+    """One pass for all restarts. ``points`` has the features and then the weight; ``sizes`` are weights of the clusters.
+
+    Taking a point of weight w and distance d from its cluster saves n w / (n - w) d^2, adding it to another costs
+    n w / (n + w) d^2: the centroids move with it. It gains by moving where the second is smaller.
+    """
+    def add(state: _Step | None, rows: np.ndarray) -> _Step:
+        x, w = rows[:, :-1], rows[:, -1]
+        lines = np.column_stack([w, w[:, None] * x])
+        r, k, p = centroids.shape
+        out = _Step(*(np.zeros(s) for s in ((r, k, p + 1), r, (r, k, p + 1), r, (r, k, p + 1))))
+        for i in range(r):
+            d2 = ((x[:, None, :] - centroids[i]) ** 2).sum(axis=2)
+            own = d2.argmin(axis=1)
+            at = np.arange(len(x))
+            out.cost[i] = (w * d2[at, own]).sum()
+            np.add.at(out.sums[i], own, lines)
+            n = sizes[i]
+            if not np.isfinite(n).all():
+                continue
+            left = n[own] - w
+            saved = np.where(left > 1e-9 * w, n[own] * w / np.where(left > 0, left, 1.0) * d2[at, own], 0.0)
+            cost = n * w[:, None] / np.maximum(n + w[:, None], 1e-300) * d2
+            cost[at, own] = np.inf
+            to = cost.argmin(axis=1)
+            gain = saved - cost[at, to]
+            moved = gain > 1e-12 * (1 + saved)
+            np.add.at(out.moves[i], to[moved], lines[moved])
+            np.add.at(out.moves[i], own[moved], -lines[moved])
+            j = int(gain.argmax())
+            if moved[j]:
+                out.gain[i] = gain[j]
+                out.best[i, to[j]] += lines[j]
+                out.best[i, own[j]] -= lines[j]
+        return out if state is None else merge(state, out)
+
+    def merge(a: _Step, b: _Step) -> _Step:
+        better = (b.gain > a.gain)[:, None, None]
+        return _Step(a.sums + b.sums, a.cost + b.cost, a.moves + b.moves, np.maximum(a.gain, b.gain), np.where(better, b.best, a.best))
+
+    return fold(points, add, merge)
+
+
+def _explained(sums: np.ndarray) -> float:
+    """Sum over clusters of weight times squared centroid; the cost is what this leaves of the squares of all points."""
+    n = sums[:, 0]
+    return float(((sums[:, 1:] ** 2).sum(axis=1) / np.where(n > 0, n, 1.0))[n > 0].sum())
+
+
+def descended(
+    points: DataFrame, starts: np.ndarray, squares: float, max_iter: int, transfers: bool = True, tol: float = 1e-10
+) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids and costs of k-means from each start (restarts x clusters x features), one job an iteration for all.
+
+    An iteration assigns every point to its nearest centroid and looks for transfers that gain although no centroid is nearer. Of
+    the partition as it is, with all transfers, and with the best one, it goes on with the one of least cost, which the sums
+    give exactly. So no iteration ends above the plain one, and at the end no single transfer lowers the cost. ``squares`` is
+    the weighted sum of squares of all points.
+    """
+    centroids = starts.astype(float).copy()
+    costs = np.full(len(starts), np.inf)
+    sizes = np.full(starts.shape[:2], np.nan)
+    open_ = np.arange(len(starts))
+    for _ in range(max_iter):
+        found = _step(points, centroids[open_], sizes[open_])
+        going = []
+        for j, i in enumerate(open_):
+            choices = [found.sums[j], found.sums[j] + found.moves[j], found.sums[j] + found.best[j]][:3 if transfers else 1]
+            choices = [c for c in choices if (c[:, 0] > -1e-9).all()]
+            taken = max(choices, key=_explained)
+            n = np.where(taken[:, 0] > 1e-9, taken[:, 0], 0.0)
+            centroids[i] = np.where(n[:, None] > 0, taken[:, 1:] / np.where(n > 0, n, 1.0)[:, None], centroids[i])
+            sizes[i], before = n, costs[i]
+            costs[i] = max(0.0, squares - _explained(np.where(n[:, None] > 0, taken, 0.0)))
+            if not before - costs[i] <= tol * max(squares, 1e-300):
+                going.append(i)
+        open_ = np.array(going, int)
+        if not len(open_):
+            break
+    return centroids, costs
 
 
 def fit_kmeans(
@@ -114,36 +235,30 @@ def fit_kmeans(
     features: Sequence[str],
     k: int = 4,
     seeds: Iterable[int] = range(123, 148),
-    max_iter: int = 20,
+    max_iter: int = 50,
     order_by: Sequence[str] = (),
-    parallelism: int = 16,
 ) -> ClusterModel:
     """k-means on standardised features, the best of one run per seed (M1, M2).
 
-    The table is read once: equal rows are merged into weighted points, which leaves the objective unchanged, and all
-    restarts run on the merged points, ``parallelism`` of them at a time so that the jobs of one fill the gaps of another.
-    Clusters are numbered by their centroid (``order_by`` first), not by chance.
+    Equal rows are merged into weighted points, which leaves the objective unchanged. Each seed starts from k points chosen by
+    a hash of their features, so starts do not depend on the order or the partitioning of the rows. All runs share one pass
+    over the points an iteration (``descended``). Clusters are numbered by their centroid (``order_by`` first), not by chance.
     """
-    features, weight = list(features), "weight"
+    features, weight, seeds = list(features), "weight", [int(s) for s in seeds]
     with held(weighted_points(df, features, weight)) as points:
         centers, scales = _weighted_scaling(points, features, weight)
         scaled = points.select(
             *[((col(f) - F.lit(centers[f])) / F.lit(scales[f])).alias(f) for f in features], weight
         )
-        vectors = VectorAssembler(inputCols=features, outputCol="features").transform(scaled)
-        with persisted(vectors.select("features", weight)) as ready:
-
-            def run(seed: int):
-                model = KMeans(k=k, seed=seed, maxIter=max_iter, weightCol=weight).fit(ready)
-                return float(model.summary.trainingCost), seed, [tuple(map(float, c)) for c in model.clusterCenters()]
-
-            ready.count()
-            runs = _in_parallel(df.sparkSession, run, [int(s) for s in seeds], parallelism)
-    cost, _, found = min(runs, key=lambda r: r[:2])
-    costs = {seed: c for c, seed, _ in runs}
+        squares = scaled.agg(F.sum(col(weight) * reduce(add, [col(f) * col(f) for f in features]))).first()[0]
+        starts = first_by_hash(scaled, features, k, seeds)
+        centroids, runs = descended(scaled, starts, float(squares), max_iter)
+    best = int(np.lexsort((seeds, runs))[0])
+    found = [tuple(map(float, c)) for c in centroids[best]]
     order = [features.index(f) for f in [*order_by, *[f for f in features if f not in order_by]]]
     found.sort(key=lambda c: tuple(c[i] for i in order))
-    return ClusterModel(tuple(features), centers, scales, dict(enumerate(found, start=1)), cost, costs)
+    return ClusterModel(
+        tuple(features), centers, scales, dict(enumerate(found, start=1)), float(runs[best]), dict(zip(seeds, runs.tolist())))
 
 
 def silhouette_squared(

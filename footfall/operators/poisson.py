@@ -124,7 +124,7 @@ def fit_poisson(frame: DataFrame, label: str, features: Sequence[str], max_iter:
         data = rows.dropna()
 
         def step(used: Sequence[str], beta: np.ndarray | None):
-            return triangle_of(data.select(col(label), *[col(f) for f in used]), len(used) + 2, lambda x: weighted_lines(x, beta))
+            return triangle_of(data.select(col(label), *[col(f) for f in used]), lambda x: weighted_lines(x, beta))
 
         first = step(features, None)
         if first is None:

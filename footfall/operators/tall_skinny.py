@@ -6,17 +6,15 @@ square the condition number) nor any row leaves its task. A triangle has as many
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-#: Triangles that reach the driver at most; a column is dependent when less than this share of its length is its own.
-FOLDED, DEPENDENT = 32, 1e-11
-KIND = pa.schema([("place", pa.int32()), ("triangle", pa.list_(pa.float64())), ("totals", pa.list_(pa.float64()))])
-SCHEMA = "place int, triangle array<double>, totals array<double>"
+from .fold import fold
+
+#: A column is dependent when less than this share of its length is its own.
+DEPENDENT = 1e-11
 
 
 def folded(triangle: np.ndarray | None, rows: np.ndarray) -> np.ndarray:
@@ -25,37 +23,18 @@ def folded(triangle: np.ndarray | None, rows: np.ndarray) -> np.ndarray:
 
 
 def triangle_of(
-    df: DataFrame, width: int, make: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
+    df: DataFrame, make: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
 ) -> tuple[np.ndarray, np.ndarray] | None:
-    """The triangle of the matrix of ``width`` columns that ``make`` gives for the rows of ``df``, and the sum of its totals.
+    """The triangle of the matrix that ``make`` gives for the rows of ``df``, and the sum of its totals; None without rows.
 
     ``df`` holds doubles without NULL. ``make`` takes a batch, one line a row, and returns lines of the matrix and a vector of
-    totals. None without rows.
+    totals.
     """
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        triangle, totals = None, 0.0
-        for batch in batches:
-            if batch.num_rows:
-                lines, sums = make(np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]))
-                triangle, totals = folded(triangle, lines), totals + sums
-        if triangle is not None:
-            place = TaskContext.get().partitionId() % FOLDED
-            yield pa.RecordBatch.from_pylist([{"place": place, "triangle": triangle.ravel(), "totals": totals}], schema=KIND)
-
-    def merged(group: pa.Table) -> pa.Table:
-        triangle, totals = None, 0.0
-        for row in group.to_pylist():
-            triangle = folded(triangle, np.array(row["triangle"]).reshape(-1, width))
-            totals = totals + np.array(row["totals"])
-        return pa.Table.from_pylist([{"place": 0, "triangle": triangle.ravel(), "totals": totals}], schema=KIND)
-
-    parts = df.mapInArrow(local, SCHEMA).groupBy("place").applyInArrow(merged, SCHEMA).collect()
-    if not parts:
-        return None
-    triangle = None
-    for row in parts:
-        triangle = folded(triangle, np.array(row["triangle"]).reshape(-1, width))
-    return triangle, np.sum([row["totals"] for row in parts], axis=0)
+    def add(state, rows):
+        lines, sums = make(rows)
+        return (folded(None, lines), sums) if state is None else (folded(state[0], lines), state[1] + sums)
+
+    return fold(df, add, lambda a, b: (folded(a[0], b[0]), a[1] + b[1]))
 
 
 def independent(triangle: np.ndarray, tolerance: float = DEPENDENT) -> list[int]:

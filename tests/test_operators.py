@@ -195,6 +195,57 @@ def test_kmeans(spark):
     assert model.cost == pytest.approx(cost, rel=1e-6)
 
 
+def _lloyd(x, w, centroids, rounds=200):
+    for _ in range(rounds):
+        own = ((x[:, None] - centroids) ** 2).sum(axis=2).argmin(axis=1)
+        centroids = np.array([np.average(x[own == c], axis=0, weights=w[own == c]) if (own == c).any() else centroids[c]
+                              for c in range(len(centroids))])
+    return centroids, float((w * ((x[:, None] - centroids) ** 2).sum(axis=2).min(axis=1)).sum())
+
+
+def _transfer_gains(x, w, centroids):
+    """What the cost falls by when one point moves to another cluster, by recomputing both centroids."""
+    own = ((x[:, None] - centroids) ** 2).sum(axis=2).argmin(axis=1)
+    cost = lambda at: float((w[at] * ((x[at] - np.average(x[at], axis=0, weights=w[at])) ** 2).sum(axis=1)).sum())
+    for i in range(len(x)):
+        a = np.flatnonzero(own == own[i])
+        if len(a) > 1:
+            for c in set(own) - {own[i]}:
+                b = np.flatnonzero(own == c)
+                yield cost(a) + cost(b) - cost(a[a != i]) - cost(np.append(b, i))
+
+
+def test_transfers_end_below_plain_iterations_and_at_an_optimum(spark):
+    rng = np.random.default_rng(8)
+    better = 0
+    for trial in range(3):
+        x, w = rng.normal(size=(24, 2)).round(2), rng.integers(1, 4, 24).astype(float)
+        df = spark.createDataFrame([(float(a), float(b), float(n)) for (a, b), n in zip(x, w)], "a DOUBLE, b DOUBLE, weight DOUBLE").repartition(3)
+        starts = clusters.first_by_hash(df, ["a", "b"], 4, range(trial, trial + 4))
+        centroids, costs = clusters.descended(df, starts, float((w * (x**2).sum(axis=1)).sum()), 60)
+        for start, found, cost in zip(starts, centroids, costs):
+            plain = _lloyd(x, w, start)[1]
+            better += cost < plain - 1e-9
+            assert cost <= plain + 1e-9
+            assert cost == pytest.approx(float((w * ((x[:, None] - found) ** 2).sum(axis=2).min(axis=1)).sum()), abs=1e-9)
+            assert max(_transfer_gains(x, w, found)) < 1e-9
+    assert better
+
+
+def test_plain_iterations_and_starts(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(50, 2))
+    rows = [(float(a), float(b), 1.0) for a, b in x]
+    frames = [spark.createDataFrame(r, "a DOUBLE, b DOUBLE, weight DOUBLE").repartition(n) for r, n in ((rows, 2), (rows[::-1], 9))]
+    starts = [clusters.first_by_hash(df, ["a", "b"], 3, [1, 2]) for df in frames]
+    assert (starts[0] == starts[1]).all() and (starts[0][0] != starts[0][1]).any()
+    got, _ = clusters.descended(frames[1], starts[0], float((x**2).sum()), 4, transfers=False)
+    for start, found in zip(starts[0], got):
+        assert found == pytest.approx(_lloyd(x, np.ones(50), start, 4)[0])
+    with pytest.raises(ValueError):
+        clusters.first_by_hash(frames[0], ["a", "b"], 51, [1])
+
+
 def test_weighted_points_merge_equal_rows(spark):
     df = spark.createDataFrame([(1, 2)] * 5 + [(1, None), (3, 4)], "a INT, b INT")
     assert values(clusters.weighted_points(df, ["a", "b"])) == [(1.0, 2.0, 5.0), (3.0, 4.0, 1.0)]
@@ -290,7 +341,7 @@ def test_triangle_equals_qr_and_log_gamma(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(500, 4))
     df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE").repartition(40)
-    triangle, totals = tall_skinny.triangle_of(df, 4, lambda b: (b, b.sum(axis=0)))
+    triangle, totals = tall_skinny.triangle_of(df, lambda b: (b, b.sum(axis=0)))
     assert np.abs(triangle) == pytest.approx(np.abs(np.linalg.qr(x, mode="r")), rel=1e-9) and totals == pytest.approx(x.sum(axis=0))
     values = np.array([0.5, 1.0, 2.0, 3.5, 40.0, 1e6])
     assert poisson.log_gamma(values) == pytest.approx([math.lgamma(v) for v in values], rel=1e-12, abs=1e-11)
