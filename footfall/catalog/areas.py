@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from ..functions.codes import INCOME_MIDPOINTS
 from ..functions.nulls import plain_sum
 from ..names import COUNT_CODES, EDU, FOODSTAMP_TOTAL, FOODSTAMP_YES, HHSIZE, INCOME, METRO_ZIPS, SHORT_NAMES, ZIP_COLUMN
 from ..operators.frames import columns_first, in_box
+from ..operators.reuse import scratch_folder
 from ..plans import census as C
 from ..plans import households as H
 from ..plans import maps as M
 from ..plans import visits as V
-from ..sources.census import acs_table
+from ..sources.census import acs_table, read_acs
 from .registry import register, rounded
 from .standins import acs_raw, order_visits, persons_v8, table, with_ctes, zip_shapes, zip_visits
 from .visits import VISIT_TABLE
@@ -188,6 +191,14 @@ def acs_json_rows(spark, sf):  # S2 S3 P8 F11 F24
     return acs_table(acs_responses(spark, sf))
 
 
+@register("acs_file_rows", with_ctes("acs_raw") + "SELECT year, NAME, zip, "
+          + ", ".join(f"nullif({c}, 0) AS {c}" for c in COUNT_CODES) + " FROM acs_raw WHERE year BETWEEN 1997 AND 1999")
+def acs_file_rows(spark, sf):  # S2 S4, responses landed as files that are read in parts
+    folder = f"{scratch_folder(spark)}/responses-{uuid4().hex}"
+    acs_responses(spark, sf).write.partitionBy("year").text(folder)
+    return read_acs(spark, folder, years=[1997, 1998, 1999])
+
+
 _BEST_ZIP = """
 best AS (
   SELECT zip, served_year FROM visit QUALIFY row_number() OVER (PARTITION BY afn ORDER BY education_numeric DESC

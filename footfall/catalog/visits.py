@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from ..functions import codes, dates
@@ -9,7 +11,10 @@ from ..functions.nulls import if_else
 from ..operators.frames import inline_table, keep_rows, stack, top_rows
 from ..operators.groups import flag_group_min
 from ..operators.quantiles import group_quantiles, value_summary
+from ..operators.reuse import scratch_folder
+from ..operators.row_ids import row_ids
 from ..plans import visits as V
+from ..sources.tables import csv_types, read_csv_inferred, write_csv
 from .registry import register, rounded
 from .standins import (
     order_visits, persons, persons_v8, sql_bracket, sql_code, sql_zip, table, visit_rows, with_ctes, zip_of,
@@ -316,6 +321,49 @@ def append_frames(spark, sf):  # U1
     return stack(customers, suppliers)
 
 
+def _order_csv(spark, sf):
+    """Orders written as CSV files with a header: two columns with missing values, one that is empty, one of T and F."""
+    orders = table(spark, sf, "orders").select(
+        "o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice")).alias("price"),
+        F.when(F.col("o_custkey") % 4 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("day"),
+        F.when(F.col("o_orderstatus") == "F", "T").otherwise("F").alias("done"), F.col("o_orderpriority").alias("priority"),
+        F.lit(None).cast("string").alias("nothing"), F.concat(F.lit("0"), F.col("o_orderkey") % 1000, F.lit("x")).alias("code"))
+    folder = f"{scratch_folder(spark)}/orders-{uuid4().hex}"
+    write_csv(orders, folder)
+    return folder
+
+
+@register("csv_rows", """
+SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, CAST(o_custkey AS INTEGER) AS o_custkey,
+       CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS price, CASE WHEN o_custkey % 4 <> 0 THEN CAST(o_orderdate AS DATE) END AS day,
+       o_orderstatus = 'F' AS done, o_orderpriority AS priority, CAST(NULL AS BOOLEAN) AS nothing,
+       '0' || CAST(o_orderkey % 1000 AS VARCHAR) || 'x' AS code FROM orders""")
+def csv_rows(spark, sf):  # S1 S7, types inferred
+    return read_csv_inferred(spark, _order_csv(spark, sf))
+
+
+@register("csv_columns", """
+SELECT CAST(place AS INTEGER) AS place, name, type, n - missing AS n_values, missing AS n_missing
+FROM (SELECT count(*) AS n, count(*) FILTER (WHERE o_orderkey % 5 = 0) AS p, count(*) FILTER (WHERE o_custkey % 4 = 0) AS d FROM orders),
+LATERAL (VALUES (0, 'o_orderkey', 'int', 0), (1, 'o_custkey', 'int', 0), (2, 'price', 'double', p), (3, 'day', 'date', d),
+  (4, 'done', 'boolean', 0), (5, 'priority', 'string', 0), (6, 'nothing', 'boolean', n), (7, 'code', 'string', 0)) AS v(place, name, type, missing)""")
+def csv_columns(spark, sf):  # S1
+    return csv_types(spark, _order_csv(spark, sf))
+
+
+@register("row_ids", """
+SELECT o_orderkey, o_orderdate::DATE AS day, row_number() OVER (ORDER BY CAST(o_orderdate AS DATE), o_orderkey) AS id FROM orders""")
+def row_ids_of_orders(spark, sf):  # P17 W5
+    orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
+    return row_ids(orders, ["day", "o_orderkey"])
+
+
+@register("row_ids_of_copies", """
+SELECT l_returnflag, l_linestatus, row_number() OVER (ORDER BY l_returnflag DESC, l_linestatus) AS id FROM lineitem""")
+def row_ids_of_copies(spark, sf):  # P17 W5, few distinct rows
+    return row_ids(table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus"), [F.desc("l_returnflag"), "l_linestatus"])
+
+
 @register("food_stamp_flags", with_ctes("visit_rows") + """
 SELECT CAST(CASE WHEN foodstamps = 'Yes' THEN 1 WHEN foodstamps IS NOT NULL THEN 0 END AS INTEGER) AS exact_yes,
        CAST(CASE WHEN lower(foodstamps) = 'yes' THEN 1 WHEN foodstamps IS NOT NULL THEN 0 END AS INTEGER) AS any_yes,

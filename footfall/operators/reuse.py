@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
@@ -40,6 +41,17 @@ def held(df: DataFrame):
             yield kept
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A folder that all executors share: ``spark.checkpoint.dir``, or on a local master one of its own."""
+    folder = checkpoint_dir(spark) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="footfall-")
+    return folder
+
+
 def written_once(df: DataFrame) -> DataFrame:
     """The frame read back from the session's checkpoint folder, for results that several later jobs start from.
 
