@@ -8,8 +8,9 @@ by their association with toxic labels: beyond chance, or strong for the number
 too. The model is fitted on at most ``SAMPLE`` labelled rows (those of smallest hashed
 id); every document is scored on its whole text.
 
-Defined results: a null or empty text has no features and gets the grade of the thresholds alone; labels that are null or of
-unknown ids are not used; repeated rows get equal results; without labelled rows of both kinds nothing is toxic; result
+Defined results: a null or empty text has no features and gets the grade of the thresholds alone; labels that are null, of
+unknown ids, or at odds for one id or for equal texts are not used for the fit; of texts that share an id, the fit reads the one
+of smallest hash; repeated rows get equal results; without labelled rows of both kinds nothing is toxic; result
 columns replace columns of the same names.
 """
 
@@ -32,6 +33,8 @@ WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5)
 #: Labelled rows that the model is fitted on, and features that it may have, at most.
 SAMPLE, FEATURES = 16_000, 2048
+#: Bytes of text that are turned into features at a time for the fit.
+FIT_BYTES = 1 << 20
 #: Grades above 0 that toxic labels are spread over, and the association from which a feature counts: chi-square, or
 #: chi-square for each row, which does not grow with the rows.
 LEVELS, ASSOCIATION, STRONG = 3, 50.0, 0.15
@@ -48,6 +51,18 @@ def features(text: str | None) -> Counter:
     return found
 
 
+def counted(texts: list[str | None]) -> list[pa.Array]:
+    """The features of each text with their counts, as flat arrays and not as objects."""
+    names, counts, ends = [], [], [0]
+    for text in texts:
+        found = features(text)
+        names.append(pa.array(list(found), pa.string()))
+        counts.append(np.fromiter(found.values(), np.int32, len(found)))
+        ends.append(ends[-1] + len(found))
+    each = pa.StructArray.from_arrays([pa.concat_arrays(names), pa.array(np.concatenate(counts))], ["feature", "n"])
+    return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)]
+
+
 class Model(NamedTuple):
     weights: dict[str, float]
     thresholds: np.ndarray
@@ -99,17 +114,18 @@ def severity_grades(toxic: np.ndarray, amount: np.ndarray, levels: int = LEVELS)
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Model:
     """``labels``: ``key`` and ``toxic`` (0 or 1). At most ``sample`` rows with at most ``FEATURES`` features reach the driver."""
-    chosen = labels.where(F.col("toxic").isin(0, 1)).select(F.col(key).alias("id"), "toxic").dropDuplicates(["id"])
-    chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    rows = rows.join(F.broadcast(chosen), "id").dropDuplicates(["id"])  # at most ``sample`` ids
-    kind = "array<struct<feature:string,n:int>>"
-
-    def work(texts):
-        return [[[{"feature": f, "n": n} for f, n in features(t).items()] for t in texts]]
-
-    rows = rows.dropDuplicates(["text"])  # copies would make their rare words look telling
-    rows = cut(map_texts(rows, lambda: work, [T.StructField("features", T._parse_datatype_string(kind))], "text", ["id", "toxic"]))
+    sure = labels.where(F.col("toxic").isin(0, 1)).groupBy(F.col(key).alias("id")).agg(
+        F.min("toxic").alias("toxic"), F.max("toxic").alias("__other")).where("toxic = __other")
+    chosen = sure.select("id", "toxic").orderBy(F.xxhash64("id"), "id").limit(sample)
+    rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"]
+    rows = rows.join(F.broadcast(chosen), "id").groupBy("id", "toxic").agg(one.alias("text"))  # at most ``sample`` ids
+    # Copies would make their rare words look telling.
+    rows = rows.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("__copy")).agg(
+        F.min("id").alias("id"), F.min("toxic").alias("toxic"), F.max("toxic").alias("__other"), F.min("text").alias("text"))
+    rows = rows.where("toxic = __other").select("id", "toxic", "text")
+    kind = T.ArrayType(T.StructType([T.StructField("feature", T.StringType()), T.StructField("n", T.IntegerType())]))
+    rows = cut(map_texts(rows, lambda: counted, [T.StructField("features", kind)], "text", ["id", "toxic"], most=FIT_BYTES))
     counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     bad, good = counts.get(1, 0), counts.get(0, 0)
     if not bad or not good:
