@@ -12,6 +12,7 @@ equal texts get equal spans.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 
 SENSITIVE = re.compile(r"(?:passw|passphrase|secret|token|api.?key|access.?key|private.?key|credential|bearer|authoriz|AKIA)",
                        re.A | re.I)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+SHORTEST, LONG = 16, 4096
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
+#: Candidates have SHORTEST characters at least; one of more than LONG goes only to the next sensitive word inside it.
 #: What may part a candidate from the one before that it goes on from (a backslash: line breaks written as \\n).
 JOINT = re.compile(r"[.\\]|\s*[\r\n]\s*")
 #: The short last line of a key.
@@ -81,20 +84,50 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def covered(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that sorted spans cover."""
+    starts, ends = [], []
+    for start, _, end in spans:
+        if ends and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
+    """Candidates are listed once; each sensitive word begins at the first one that ends behind its start, so the time is in
+    proportion to the text."""
+    sensitive = [m.span() for m in SENSITIVE.finditer(text)]
+    runs = [m.span() for m in CANDIDATE.finditer(text)] if sensitive else []
+    ends = [e for _, e in runs]
+    begins = [s for s, _ in sensitive]
+    starts_taken, ends_taken = covered(base)
+    judged: set[tuple[int, int]] = set()
     found: dict[int, tuple[int, int, int]] = {}
     walked = 0  # what goes on from candidates before it was seen
-    for near in SENSITIVE.finditer(text):
+    for near, near_end in sensitive:
         last = None  # end of the candidate before
-        for m in CANDIDATE.finditer(text, near.start(), len(text)):
-            start, end = m.span()
-            if start > near.end() + REACH and (end <= walked or last is None or not JOINT.fullmatch(text, last, start)):
+        for i in range(bisect_right(ends, near), len(runs)):
+            start, end = max(runs[i][0], near), ends[i]  # a word inside a run begins a shorter one
+            if end - runs[i][0] > LONG:  # up to the next sensitive word inside it
+                j = bisect_left(begins, start + SHORTEST)
+                end = min(end, begins[j]) if j < len(begins) else end
+            if end - start < SHORTEST:
+                continue
+            if start > near_end + REACH and (end <= walked or last is None or not JOINT.fullmatch(text, last, start)):
                 break
             last, walked = end, max(walked, end)
-            value = m[0]
-            mixed = any(c.islower() for c in value) + any(c.isupper() for c in value) + any(c.isdigit() for c in value)
-            if start in found or mixed < CLASSES or any(s < end and start < e for s, _, e in base):
+            if end < ends[i]:
+                last = None  # nothing goes on from a part
+            value = text[start:end]
+            if (start, end) in judged or start in found or mixture(value) < CLASSES:
                 continue
+            judged.add((start, end))
+            j = bisect_right(ends_taken, start)
+            if j < len(starts_taken) and starts_taken[j] < end:
+                continue  # a fixed pattern reports it
             if novelty(text, start, end) >= NOVELTY:
                 found[start] = (start, 3, end)
                 if tail := LAST.match(text, end):
@@ -102,6 +135,11 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -
     return list(found.values())
 
 
+def mixture(value: str) -> int:
+    """How many of lower-case letters, capitals and digits a string has."""
+    return sum(any(map(test, value)) for test in (str.islower, str.isupper, str.isdigit))
+
+
 def scan(text: str | None, novelty: Novelty) -> tuple[list, list]:
     """Base spans, and all spans, both in order."""
     base = base_spans(text) if text else []
