@@ -1,7 +1,8 @@
 """Quality rules by weak supervision (operator 10).
 
 Rules vote "good", "bad" or abstain on each text. Expectation-maximisation over the counts of vote patterns estimates how
-each rule votes on good and on bad texts, and the posterior probability of "good" decides, instead of all rules together.
+each rule votes on good texts and on the kinds of bad ones, and the posterior probability of "good" decides, instead of all
+rules together. One more bad vote never raises it.
 
 Defined results: a null text has no words; a text without words or with fewer than ``MIN_WORDS`` fails the base rules and is
 not kept; repeated rows and ties are treated like any other rows; an empty table gives an empty result.
@@ -9,8 +10,8 @@ not kept; repeated rows and ties are treated like any other rows; an empty table
 
 from __future__ import annotations
 
-import math
 import re
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -100,39 +101,71 @@ def votes() -> Column:
     )
 
 
-def fit(patterns: dict[str, int], rounds: int = 200, prior: float = 0.1) -> tuple[np.ndarray, float]:
+class Model(NamedTuple):
+    """Chances of votes in each class: good texts, then one kind of bad text for each rule that has voted "bad" somewhere.
+
+    ``minus`` (rules, classes) is the chance of "bad", ``plus`` that of "good" where the vote is not "bad".
+    """
+
+    shares: np.ndarray
+    minus: np.ndarray
+    plus: np.ndarray
+
+    def classes(self, seen: np.ndarray) -> np.ndarray:
+        """Posterior of each class (columns) for patterns of votes 0 (bad), 1 (abstains), 2 (good)."""
+        logs = np.log(np.stack([self.minus, (1 - self.minus) * (1 - self.plus), (1 - self.minus) * self.plus], axis=1))
+        score = np.log(self.shares) + sum(logs[rule][seen[:, rule]] for rule in range(seen.shape[1]))
+        score = np.exp(score - score.max(axis=1, keepdims=True))
+        return score / score.sum(axis=1, keepdims=True)
+
+    def p_good(self, patterns: list[str]) -> np.ndarray:
+        return self.classes(numbers(patterns))[:, 0]
+
+
+def numbers(patterns: list[str]) -> np.ndarray:
+    return np.array([["-0+".index(v) for v in k] for k in patterns])
+
+
+def fit(patterns: dict[str, int], rounds: int = 300, prior: float = 0.1) -> Model:
     """Expectation-maximisation over vote patterns and their counts, for all texts at once.
 
-    Returns log P(vote | class) as (rules, votes ``-0+``, classes bad/good) and the share of good texts. Rules vote
-    "bad" only where they are sure, so it starts from the number of bad votes; ``prior`` is added to each count.
+    Texts are bad in different ways, and a rule sees one of them, so each rule has a kind of bad text of its own: in a single
+    bad class the defect that is most frequent would make all others look good. Rules vote "bad" only where they are
+    sure, so it starts from the number of bad votes and on good texts a rule errs in ``ERRS`` of the cases at most. On
+    no kind of bad text is "bad" less likely against the other votes than on good ones, so another bad vote can never raise
+    the chance of "good". ``prior`` texts are added to each count.
     """
-    if not patterns:
-        return np.zeros((0, 3, 2)), 0.5
     keys = sorted(patterns)
-    seen = np.array([["-0+".index(v) for v in k] for k in keys])
-    weight = np.array([patterns[k] for k in keys], float)
-    good = np.choose(np.minimum((seen == 0).sum(axis=1), 2), [0.99, 0.1, 0.02])
+    if not keys:
+        return Model(np.ones(1), np.zeros((0, 1)), np.zeros((0, 1)))
+    seen, weight = numbers(keys), np.array([patterns[k] for k in keys], float)
+    bad = seen == 0
+    kinds = np.flatnonzero(bad.any(axis=0))
+    rules = seen.shape[1]
+    good = np.choose(np.minimum(bad.sum(axis=1), 2), [0.99, 0.1, 0.02])
+    parts = np.where(bad.any(axis=1)[:, None], bad, True)[:, kinds].astype(float)
+    parts /= np.maximum(parts.sum(axis=1, keepdims=True), 1.0)
+    found = np.column_stack([good, (1 - good)[:, None] * parts])
+    own = np.zeros((rules, 1 + len(kinds)))
+    own[kinds, 1 + np.arange(len(kinds))] = 1.0
+    usual = (weight @ bad) / weight.sum()
+    usual_plus = (weight @ (seen == 2) + prior) / (weight @ ~bad + 2 * prior)
     for _ in range(rounds):
-        table = np.full((seen.shape[1], 3, 2), prior)
-        for rule in range(seen.shape[1]):
-            np.add.at(table[rule, :, 1], seen[:, rule], weight * good)
-            np.add.at(table[rule, :, 0], seen[:, rule], weight * (1 - good))
-        table /= table.sum(axis=1, keepdims=True)
-        excess = np.maximum(table[:, 0, 1] - ERRS, 0)
-        table[:, 0, 1] -= excess
-        table[:, 1, 1] += excess
-        table = np.log(table)
-        share = float((weight * good).sum() + prior) / float(weight.sum() + 2 * prior)
-        before, good = good, posterior(seen, table, share)
-        if np.abs(before - good).max() < 1e-9:
+        mass = weight[:, None] * found
+        total = mass.sum(axis=0)
+        minus = (bad.T @ mass + prior * np.where(own > 0, 0.9, usual[:, None])) / (total + prior)
+        plus = ((seen == 2).T @ mass + prior * usual_plus[:, None]) / ((~bad).T @ mass + prior)
+        minus = np.clip(minus, 1e-6, 1 - 1e-6)
+        plus = np.clip(plus, 1e-6, 1 - 1e-6)
+        minus[:, 0] = np.minimum(minus[:, 0], ERRS)
+        plus[:, 1:] = np.minimum(plus[:, 1:], plus[:, :1])  # "good" is no likelier on bad texts
+        least = minus[:, :1] / (1 - minus[:, :1]) * (1 - plus) / (1 - plus[:, :1])
+        minus[:, 1:] = np.maximum(minus, least / (1 + least))[:, 1:]
+        model = Model((total + prior) / (total + prior).sum(), minus, plus)
+        before, found = found, model.classes(seen)
+        if np.abs(before - found).max() < 1e-9:
             break
-    return table, share
-
-
-def posterior(seen: np.ndarray, table: np.ndarray, share: float) -> np.ndarray:
-    by_class = sum(table[rule][seen[:, rule]] for rule in range(seen.shape[1]))
-    odds = by_class[:, 1] - by_class[:, 0] + math.log(share / (1 - share))
-    return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+    return model
 
 
 def judge(df: DataFrame, text: str = "text", keep: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
@@ -143,9 +176,9 @@ def judge(df: DataFrame, text: str = "text", keep: list[str] | None = None, thre
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rows = cut(measures(df, text, keep).withColumns({"votes": votes(), "base_failed": failed}))
     counts = rows.groupBy("votes").agg(F.count_if(~F.col("base_failed")).alias("n")).collect()
-    model, share = fit({r["votes"]: r["n"] for r in counts if r["n"]})
+    model = fit({r["votes"]: r["n"] for r in counts if r["n"]})
     keys = sorted(r["votes"] for r in counts)
-    chance = posterior(np.array([["-0+".index(v) for v in k] for k in keys]), model, share).tolist() if len(model) else [0.0] * len(keys)
+    chance = model.p_good(keys).tolist() if len(model.minus) else [0.0] * len(keys)
     known = df.sparkSession.createDataFrame(list(zip(keys, chance)), "votes string, p_good double")
     return (
         rows.join(F.broadcast(known), "votes", "left")  # at most 3^8 rows
