@@ -26,6 +26,7 @@ import math
 import re
 from functools import lru_cache
 from typing import NamedTuple
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +53,9 @@ BEYOND = re.compile(f"[{LATIN}][^{LATIN}]|[^{LATIN}{BLANK}][{LATIN}]")
 SHIFT = 2
 CODE_POINTS = 1 << 21
 #: Chunks whose lattices a worker remembers.
-REMEMBERED = 200_000
-SLICE = 8 << 20
+REMEMBERED = 60_000
+#: Bytes of text that are sampled at a time; a longer text comes alone.
+SLICE = 1 << 20
 
 # Fixed values of the splitmix64 generator.
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -451,9 +453,11 @@ def sample_texts(lattices: Lattices, texts: pa.Array, seeds: np.ndarray, k: int)
         to = starts[:-1].reshape(n, k)[:, i]
         ids[np.repeat(to - (np.cumsum(c[5]) - c[5]), c[5]) + np.arange(len(c[4]))] = c[4]
     edges = np.concatenate([[0], np.cumsum(spans.ravel()[flat])]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(ids))
+    checks = [crc32(x) for x in decoded(lattices.vocabulary, lists)]
     fields = [pa.array(np.tile(np.arange(k, dtype=np.int32), n)[flat]), pa.array(stack(1)), pa.array(stack(2)), pa.array(stack(3)),
-              pa.ListArray.from_arrays(pa.array(edges), pa.array(ids))]
-    rows = pa.StructArray.from_arrays(fields, names=["sample", "log_prob", "perturbed", "log_inclusion", "ids"])
+              lists, pa.array(checks, pa.int64())]
+    rows = pa.StructArray.from_arrays(fields, names=["sample", "log_prob", "perturbed", "log_inclusion", "ids", "text_crc32"])
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(alive.sum(axis=1))]).astype(np.int32)), rows)
 
 
@@ -475,7 +479,7 @@ def final_ids(
     return ids.astype(np.int32), count
 
 
-SAMPLE = "array<struct<sample:int,log_prob:double,perturbed:double,log_inclusion:double,ids:array<int>>>"
+SAMPLE = "array<struct<sample:int,log_prob:double,perturbed:double,log_inclusion:double,ids:array<int>,text_crc32:bigint>>"
 
 
 @lru_cache(maxsize=1)
@@ -486,9 +490,9 @@ def lattices(path: str) -> Lattices:
 
 def sample(df: DataFrame, path: str, k: int = SAMPLES, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """A row a segmentation: the columns ``keep``, ``sample`` (from 0, by perturbed score), ``log_prob``, ``perturbed``,
-    ``log_inclusion`` and ``ids``."""
+    ``log_inclusion``, ``ids``, and ``text_crc32`` of the text that they decode to (its UTF-8 bytes)."""
     names = [c for c in (df.columns if keep is None else keep)
-             if c.lower() not in ("sample", "log_prob", "perturbed", "log_inclusion", "ids")]
+             if c.lower() not in ("sample", "log_prob", "perturbed", "log_inclusion", "ids", "text_crc32")]
     source = df.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(F.col(f"`{key}`").cast("string")).alias("__seed"),
                        F.col(f"`{text}`").cast("string").alias("__text"))
     schema = T.StructType([*[source.schema[c] for c in names], T.StructField("__samples", T._parse_datatype_string(SAMPLE))])
@@ -510,15 +514,25 @@ def sample(df: DataFrame, path: str, k: int = SAMPLES, key: str = "doc_id", text
     return source.mapInArrow(run, schema).select(*[F.col(f"`{c}`") for c in names], F.inline("__samples"))
 
 
-def decode_ids(vocabulary: Pieces, ids: list[int] | None) -> str | None:
-    """The text of a segmentation. Ids outside the vocabulary and control pieces are left out."""
-    if ids is None:
-        return None
-    byte = {int(i): b for b, i in enumerate(vocabulary.byte)}
-    data = b"".join(
-        bytes([byte[i]]) if i in byte else vocabulary.names[i].replace(BLANK, " ").encode()
-        for i in ids if i is not None and 3 <= i < vocabulary.size)
-    return data.decode(errors="replace").removeprefix(" ")
+@lru_cache(maxsize=1)
+def spellings(vocabulary: Pieces) -> pa.Array:
+    """The bytes of each id, and nothing at the end for ids outside the vocabulary; control pieces have none."""
+    byte = {int(i): bytes([b]) for b, i in enumerate(vocabulary.byte)}
+    made = [byte.get(i, vocabulary.names[i].replace(BLANK, " ").encode()) if i >= 3 else b"" for i in range(vocabulary.size)]
+    return pa.array([*made, b""], pa.binary())
+
+
+def decoded(vocabulary: Pieces, ids: pa.ListArray) -> list[bytes | None]:
+    """The texts of segmentations in UTF-8 (null: None), without the blank that encoding puts first."""
+    flat = ids.flatten().fill_null(-1).to_numpy()
+    known = np.where((flat >= 0) & (flat < vocabulary.size), flat, vocabulary.size)
+    sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy()
+    whole = spellings(vocabulary).take(pa.array(known))  # end to end already: a text is a stretch of it
+    places = np.concatenate([[0], np.cumsum(pc.binary_length(whole).to_numpy())]).astype(np.int64)
+    ends = places[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+    data = b"".join(whole.to_pylist()) if whole.buffers()[2] is None else whole.buffers()[2].to_pybytes()
+    made = [data[a:b].removeprefix(b" ") for a, b in zip(ends, ends[1:], strict=False)]
+    return [x if valid else None for x, valid in zip(made, ids.is_valid().to_pylist(), strict=True)]
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -530,7 +544,8 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "text") -> Da
     def run(batches):
         vocabulary = pieces(path)
         for batch in batches:
-            made = pa.array([decode_ids(vocabulary, x) for x in batch.column(at).to_pylist()], pa.string())
+            made = decoded(vocabulary, batch.column(at).cast(pa.list_(pa.int32())))
+            made = pa.array([None if x is None else x.decode(errors="replace") for x in made], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=names)
 
     return base.mapInArrow(run, schema)
@@ -546,4 +561,4 @@ def vocabulary_path() -> str:
 def op1_sampled_segmentations(spark, sf_dir):
     return sample(table(spark, sf_dir, "documents"), vocabulary_path(), keep=["doc_id"]).select(
         "doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
-        "log_prob", "perturbed", "log_inclusion")
+        "log_prob", "perturbed", "log_inclusion", "text_crc32")
