@@ -7,7 +7,8 @@ tables from the wanted recall at the threshold.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows without a label, link
 with nothing; vectors of different length are not compared; ``n_links`` counts rows, copies included; rows with equal ids
-count as separate vectors; an empty table gives an empty result.
+are separate vectors, so an id may be in several components and be kept in each whose smallest id it is; rows without id take
+part, are never the smallest, and are kept where their component has no id at all; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,8 +32,9 @@ SEED = 20240607
 
 
 def parameters(rows: int, threshold: float = THRESHOLD, missed: float = MISSED) -> tuple[int, int]:
-    """(bits, tables): as many bits as the rows have doublings beyond 16 a bucket, 12 to 28; tables by the wanted recall."""
-    bits = min(28, max(12, math.ceil(math.log2(max(rows, 1) / 16))))
+    """(bits, tables): as many bits as the rows have doublings, so that a bucket holds about one of evenly spread vectors, 16 to
+    28; tables by the wanted recall."""
+    bits = min(28, max(16, math.ceil(math.log2(max(rows, 1)))))
     together = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(missed) / math.log(1 - together))
 
@@ -65,10 +67,8 @@ def sign_hashes(df: DataFrame, vector: str, bits: int, tables: int, seed: int =
     return df.mapInArrow(run, schema)
 
 
-def cosine(a: str, b: str) -> Column:
-    dot = lambda x, y: F.aggregate(
-        F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+def dot(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
 
 
 def near_vectors(
@@ -82,32 +82,33 @@ def near_vectors(
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(F.col("label").isNotNull() & finite & F.exists("vector", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("class", F.when(usable, F.sha2(F.to_json(F.struct("label", "vector")), 256)))
-    classes = cut(
-        rows.where("class is not null").groupBy("class")
-        .agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("label").alias("label"), F.first("vector").alias("vector")))
+    merged = rows.where("class is not null").groupBy("class").agg(
+        F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("label").alias("label"), F.first("vector").alias("vector"))
+    # Classes have numbers of their own, as ids may be null or repeat; they are fixed once written, and so is each norm.
+    classes = cut(merged.withColumns({"number": F.monotonically_increasing_id(), "norm": F.sqrt(dot("vector", "vector"))}))
     bits, tables = parameters(classes.count(), threshold, missed)
-    hashed = sign_hashes(classes.select("class", "rep", "n", "label", "vector"), "vector", bits, tables)
-    keys = hashed.select("class", "label", F.posexplode("hashes").alias("t", "hash"))
-    other = keys.withColumnRenamed("class", "other")
-    pairs = keys.join(other, ["label", "t", "hash"]).where(F.col("class") < F.col("other")).select("class", "other").distinct()
-    vectors = classes.select("class", "rep", "n", "vector")
+    hashed = sign_hashes(classes.select("number", "label", "vector"), "vector", bits, tables)
+    keys = hashed.select("number", "label", F.posexplode("hashes").alias("t", "hash"))
+    other = keys.withColumnRenamed("number", "other")
+    pairs = keys.join(other, ["label", "t", "hash"]).where(F.col("number") < F.col("other")).select("number", "other").distinct()
+    vectors = classes.select("number", "n", "vector", "norm")
     right = vectors.select(*[F.col(c).alias(f"{c}2") for c in vectors.columns])
     links = cut(
-        pairs.join(vectors, "class").join(right, F.col("other") == F.col("class2"))
-        .where((F.size("vector") == F.size("vector2")) & (cosine("vector", "vector2") >= threshold))
-        .select("class", "rep", "n", F.col("other"), "rep2", "n2"))
-    both = links.select("class", F.col("n2").alias("n")).union(links.select("other", "n"))
-    counts = both.groupBy("class").agg(F.sum("n").alias("others"))
-    found = components(links, "rep", "rep2")
-    known = (
-        classes.select("class", "rep", "n").join(counts, "class", "left").join(found, F.col("rep") == F.col("id"), "left")
-        .select("class", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
-                F.coalesce("component_id", "rep").alias("component_id")))
+        pairs.join(vectors, "number").join(right, F.col("other") == F.col("number2"))
+        .where((F.size("vector") == F.size("vector2")) & (dot("vector", "vector2") / (F.col("norm") * F.col("norm2")) >= threshold))
+        .select("number", "n", "other", "n2"))
+    both = links.select("number", F.col("n2").alias("n")).union(links.select("other", "n"))
+    counts = both.groupBy("number").agg(F.sum("n").alias("others"))
+    found = components(links, "number", "other").select(F.col("id").alias("number"), F.col("component_id").alias("c"))
+    known = classes.select("class", "number", "rep", "n").join(counts, "number", "left").join(found, "number", "left").select(
+        "class", "rep", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("c", "number").alias("c"))
+    least = known.groupBy("c").agg(F.min("rep").alias("component_id"))  # null where no row of it has an id
+    known = known.join(least, "c").select("class", "n_links", "component_id")
     out = rows.select("id", "class").join(known, "class", "left")
-    own = F.coalesce("component_id", "id")
+    own = F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(
         F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"),
-        F.coalesce(own == F.col("id"), F.lit(False)).alias("kept"))
+        F.col("id").eqNullSafe(own).alias("kept"))
 
 
 @register("op7_vector_near_duplicates")
