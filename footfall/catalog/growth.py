@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.trend import loess, quadratic_fit, quadratic_forecast
+from ..operators.trend import loess, polynomial_fit, polynomial_forecast, quadratic_fit, quadratic_forecast
 from ..plans import growth as G
 from .registry import register, rounded
 from .standins import with_ctes, zip_visits
@@ -95,6 +95,15 @@ def quadratic_fit_table(spark, sf):  # M10
     return rounded(quadratic_fit(yearly(spark, sf), ["zip"], "year", "households", 1995), 4)
 
 
+@register("polynomial_trend", with_ctes("zip_visits", then=_YEARLY + "," + _QUADRATIC) + """
+SELECT zip, CAST(year AS INTEGER) AS year, round(b0 + b1 * (year - 1995) + b2 * (year - 1995) * (year - 1995), 4)
+  AS predicted
+FROM (SELECT *, unnest(range(1995, 2006)) AS year FROM solved)""")
+def polynomial_trend(spark, sf):  # M10 M11 on the orthogonal basis
+    fit = polynomial_fit(yearly(spark, sf), ["zip"], "year", "households", 2)
+    return rounded(polynomial_forecast(fit, 1995, 2005, 2).select("zip", "year", "predicted"), 4)
+
+
 @register("actual_vs_projected", with_ctes("zip_visits", then=_YEARLY + """,
 grid AS (SELECT zip, k * 1.5::DOUBLE AS capacity, CAST(unnest(range(1995, 2006)) AS INTEGER) AS year
          FROM (SELECT zip, max(households) AS k FROM yearly GROUP BY zip)),

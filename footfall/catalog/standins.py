@@ -18,6 +18,7 @@ from ..functions import codes
 from ..names import (
     EDUCATION_CODES, FOODSTAMP_TOTAL, FOODSTAMP_YES, HHSIZE_CODES, INCOME_CODES, METRO_ZIPS,
 )
+from ..schemas import GIVEN
 
 LABELS_1_9 = [label for label, _ in codes.EDUCATION_1_9]
 LABELS_0_11 = [label for label, _ in codes.EDUCATION_0_11]
@@ -26,8 +27,8 @@ RACES = ["White", "Unknown", "Other", None, "Asian"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, with the files that it has now."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table by its declared schema, with the files that it has now."""
+    return spark.read.schema(GIVEN[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _pick(values: list, index: Column) -> Column:

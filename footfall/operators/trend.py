@@ -1,4 +1,4 @@
-"""Quadratic trend per series and local regression."""
+"""Polynomial trends per series and local regression."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.curves import year_grid
 from ..functions.nulls import col
+from .groups import lookup
 
 
 def quadratic_fit(df: DataFrame, series: Sequence[str], x: str, y: str, origin: float) -> DataFrame:
@@ -61,6 +62,74 @@ def quadratic_forecast(fit: DataFrame, first: int, last: int, origin: float, x:
     return grid.withColumn(name, F.col("b0") + F.col("b1") * t + F.col("b2") * t * t)
 
 
+def polynomial_fit(df: DataFrame, series: Sequence[str], x: str, y: str, degree: int) -> DataFrame:
+    """Least-squares polynomial of any degree per series on an orthogonal basis, with standard errors.
+
+    The basis follows the three-term recurrence ``p[k+1] = (t - alpha[k]) p[k] - beta[k] p[k-1]`` over the x of the series
+    moved to -1..1, and needs only sums of powers, so rows are aggregated on the map side. ``coefficients`` belong to the
+    basis of unit length (the first is that of the constant), each with the standard error ``sigma`` of the residuals.
+    A series with too few distinct x gives NULL; ``sigma`` is NULL without degrees of freedom.
+    """
+    series = list(series)
+    known = df.select(*[col(c) for c in series], col(x).cast("double").alias("__x"), col(y).cast("double").alias("__y"))
+    known = known.filter(F.col("__x").isNotNull() & F.col("__y").isNotNull())
+    extent = known.groupBy(*[col(c) for c in series]).agg(
+        F.count(F.lit(1)).alias("__n"), ((F.min("__x") + F.max("__x")) / 2).alias("centre"), ((F.max("__x") - F.min("__x")) / 2).alias("half"))
+    extent = extent.withColumn("half", F.when(F.col("half") > 0, F.col("half")).otherwise(F.lit(1.0)))
+    t = (F.col("__x") - F.col("centre")) / F.col("half")
+    power = lambda k: F.pow(t, F.lit(float(k))) if k else F.lit(1.0)
+    sums = lookup(known, extent, series, "__n").groupBy(*[col(c) for c in series], "centre", "half").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("__y") * F.col("__y")).alias("__yy"),
+        F.array(*[F.sum(power(k)) for k in range(2 * degree + 1)]).alias("__t"),
+        F.array(*[F.sum(F.col("__y") * power(k)) for k in range(degree + 1)]).alias("__ty"))
+
+    def solve(t_sums: np.ndarray, y_sums: np.ndarray, n: int, squares: float):
+        hankel = t_sums[np.add.outer(np.arange(degree + 1), np.arange(degree + 1))]
+        basis, norms, alphas, betas = [np.eye(degree + 1)[0]], [hankel[0, 0]], [], []
+        for k in range(degree):
+            p = basis[-1]
+            shifted = np.concatenate([[0.0], p[:-1]])
+            alphas.append(float(shifted @ hankel @ p / norms[-1]))
+            betas.append(float(norms[-1] / norms[-2]) if k else 0.0)
+            following = shifted - alphas[-1] * p - (betas[-1] * basis[-2] if k else 0.0)
+            norms.append(float(following @ hankel @ following))
+            if not norms[-1] > 1e-11 * t_sums[2 * k + 2]:
+                return None
+            basis.append(following)
+        products = np.array([p @ y_sums for p in basis])
+        length = np.sqrt(norms)
+        rest = max(0.0, squares - float((products**2 / norms).sum()))
+        spread = squares - float(products[0] ** 2 / norms[0])
+        sigma = float(np.sqrt(rest / (n - degree - 1))) if n > degree + 1 else None
+        return alphas, betas, (products / norms).tolist(), (products / length).tolist(), sigma, 1 - rest / spread if spread > 0 else None
+
+    def run(batches):
+        for batch in batches:
+            found = [solve(np.array(a), np.array(b), n, q) for a, b, n, q in zip(batch["__t"], batch["__ty"], batch["n"], batch["__yy"])]
+            out = batch[[*series, "centre", "half", "n"]].copy()
+            for i, name in enumerate(["alpha", "beta", "monic", "coefficients", "sigma", "r_squared"]):
+                out[name] = pd.Series([None if f is None else f[i] for f in found], index=out.index, dtype=object)
+            yield out
+
+    lists = ["alpha", "beta", "monic", "coefficients"]
+    schema = T.StructType([
+        *[sums.schema[c] for c in [*series, "centre", "half", "n"]], *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in lists],
+        T.StructField("sigma", T.DoubleType()), T.StructField("r_squared", T.DoubleType())])
+    return sums.mapInPandas(run, schema)
+
+
+def polynomial_forecast(fit: DataFrame, first: int, last: int, degree: int, x: str = "year", name: str = "predicted") -> DataFrame:
+    """Fitted polynomials over ``first..last``, one row per series and x."""
+    grid = fit.withColumn(x, year_grid(first, last))
+    t = (F.col(x) - F.col("centre")) / F.col("half")
+    before, here = F.lit(0.0), F.lit(1.0)
+    total = F.get("monic", F.lit(0))
+    for k in range(degree):
+        before, here = here, (t - F.get("alpha", F.lit(k))) * here - F.get("beta", F.lit(k)) * before
+        total = total + F.get("monic", F.lit(k + 1)) * here
+    return grid.withColumn(name, total)
+
+
 def loess(df: DataFrame, series: Sequence[str], x: str, y: str, span: float = 0.75, degree: int = 2,
           grid: int | None = None, name: str = "smoothed") -> DataFrame:
     """Local weighted polynomial of each series at its own x, or at ``grid`` even points of its range.

@@ -352,6 +352,36 @@ def test_gram_matrix(spark):
     assert poisson.gram_matrix(df, ["a", "b"]).tolist() == [[2, 4, 6], [4, 10, 14], [6, 14, 20]]
 
 
+@pytest.mark.parametrize("degree", [1, 2, 4])
+def test_polynomials_against_numpy(spark, degree):
+    rng = np.random.default_rng(degree)
+    rows, expected = [], {}
+    for name, n in (("a", 12), ("b", 40), ("c", 7)):
+        x = 1990.0 + np.arange(n) + (rng.integers(0, 3, n) if name == "b" else 0)
+        y = rng.normal(size=n) * 50 + 3 * (x - 2000) + 0.2 * (x - 2000) ** 2
+        rows += [(name, float(a), float(b)) for a, b in zip(x, y)] + [(name, None, 1.0), (name, 1.0, None)]
+        t = (x - x.mean()) / 10
+        q, r = np.linalg.qr(np.vander(t, degree + 1, increasing=True))
+        q = q * np.sign(np.diag(r))
+        fitted = q @ (q.T @ y)
+        expected[name] = (x, fitted, q.T @ y, math.sqrt(((y - fitted) ** 2).sum() / (n - degree - 1)),
+                          1 - ((y - fitted) ** 2).sum() / ((y - y.mean()) ** 2).sum())
+    rows += [("few", 2000.0, 1.0), ("few", 2000.0, 2.0)]
+    df = spark.createDataFrame(rows, "s STRING, x DOUBLE, y DOUBLE").repartition(5)
+    fit = trend.polynomial_fit(df, ["s"], "x", "y", degree)
+    for r in fit.collect():
+        if r["s"] == "few":
+            assert r["coefficients"] is None and r["n"] == 2
+            continue
+        _, _, coefficients, sigma, r_squared = expected[r["s"]]
+        assert r["coefficients"] == pytest.approx(list(coefficients), rel=1e-7, abs=1e-6)
+        assert (r["sigma"], r["r_squared"]) == pytest.approx((sigma, r_squared), rel=1e-7)
+    found = {(r["s"], r["year"]): r["predicted"] for r in trend.polynomial_forecast(fit, 1990, 2001, degree).collect()}
+    x, fitted, *_ = expected["a"]
+    assert [found["a", int(v)] for v in x] == pytest.approx(list(fitted), rel=1e-8)
+    assert found["few", 1990] is None
+
+
 def test_quadratic_goldens(spark):
     users = [17730, 19032, 18318, 15509, 16983, 17225]
     df = spark.createDataFrame([("s", 2018 + i, u) for i, u in enumerate(users)] + [("short", 2018, 1), ("short", 2019, 2)],
