@@ -7,10 +7,11 @@ if two differ in fewer than ``CHUNKS * (ERRORS + 1)`` positions, some chunk diff
 distance share a key. At a similarity of 0.75 a position differs with chance 0.25; the distance bound of 20 out of 40 is
 missed with chance 6e-4, and no shared key at all has chance 1.5e-6. Links are confirmed on the full shingle sets.
 
-Documents with equal sets are one class. Within a key, members are first compared with its smallest class, then in rounds
-with some ``LEADERS`` of its members, then with 16 times as many, and so on until all have led; each round compares
-across components only, and keys whose members are all in one component are done. So a group of n near copies costs about n
-comparisons a leader until it has grown together, and no link between different components is lost.
+Documents with equal sets are one class. Within a key, members are first compared with its smallest class, then with some
+``LEADERS`` of its members, then all those outside the largest component of the key with all members. Only members of different
+components are compared, each pair under the first key that it shares, and keys whose members are all in one component are
+done. So a group of n near copies costs about n comparisons a leader until it has grown together, what stays outside
+is compared with all, and no link between different components is lost.
 
 Defined results: words are runs without \\x20 and \\x09-\\x0D, A-Z in lower case; fewer than five words are one shingle; a
 null or blank text has no shingles and links with nothing; an empty table gives an empty result. A document is its id and
@@ -22,6 +23,8 @@ document without id is kept where its component has no other.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add, and_, or_
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +42,7 @@ CHUNKS, LANES, BITS, ERRORS = 10, 4, 16, 1
 #: Cells of the parity bits.
 PARITY = 1024
 #: Members of a key, on average, that lead in the first round after its smallest one.
-LEADERS = 64
+LEADERS = 32
 SEED = 20240611
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -116,7 +119,7 @@ def signatures(df: DataFrame, text: str = "text", keep: list[str] | None = None)
 
 
 def index_keys() -> Column:
-    """Keys under which a signature is found: each chunk with each of its positions left out."""
+    """Keys under which a signature is found: each chunk with each of its positions left out, in this order."""
     keys = []
     for chunk in range(CHUNKS):
         for lane in range(LANES):
@@ -126,27 +129,45 @@ def index_keys() -> Column:
     return F.array(*keys)
 
 
-def distance(a: str, b: str) -> Column:
-    """Positions in which two signatures differ."""
+def parts(array: str, n: int) -> list[Column]:
+    """An array of n longs as columns."""
+    return [F.get(array, F.lit(i)) for i in range(n)]
+
+
+def differing(a: list[Column], b: list[Column]) -> list[Column]:
+    """Positions in which two signatures differ, chunk by chunk."""
     low, high = 0x00007FFF7FFF7FFF, 0x0000800080008000
-    total = F.lit(0)
-    for i in range(CHUNKS):
-        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+    out = []
+    for p, q in zip(a, b, strict=True):
+        x = p.bitwiseXOR(q)
         lanes = (x.bitwiseAND(F.lit(low)) + F.lit(low)).bitwiseOR(x).bitwiseAND(F.lit(high))  # a bit a lane but the topmost
-        total = total + F.bit_count(lanes) + (F.shiftrightunsigned(x, 48) != 0).cast("int")
-    return total
+        out.append(F.bit_count(lanes) + (F.shiftrightunsigned(x, 48) != 0).cast("int"))
+    return out
+
 
+def close(a: list[Column], b: list[Column]) -> Column:
+    """Whether two signatures are near enough to be compared."""
+    return reduce(add, differing(a, b)) < CHUNKS * (ERRORS + 1)
 
-def may_link(a: str, b: str) -> Column:
-    """Whether two sets, by signatures, parities and sizes in columns with these endings, can be similar enough.
+
+def met_first(a: list[Column], b: list[Column], chunk: Column, lane: Column) -> Column:
+    """Whether this key is the first that two signatures share, so that a pair comes once and not under each.
+
+    Signatures share keys of a chunk where they differ in one position of it (its key alone) or in none (all of them), so the
+    first key is of the first chunk that differs in one position at most.
+    """
+    earlier = [(chunk <= i) | (d > ERRORS) for i, d in enumerate(differing(a, b)[:-1])]
+    equal = reduce(or_, [(chunk == i) & (p == q) for i, (p, q) in enumerate(zip(a, b, strict=True))])
+    return reduce(and_, earlier) & ((lane == 0) | ~equal)
+
+
+def sizes_allow(a: list[Column], b: list[Column], size: Column) -> Column:
+    """Whether two sets, by their parities and the sum of their sizes, can be similar enough.
 
     The parities reject only what is certain: at 75 % of the union, sets differ in at most a seventh of their sizes' sum.
     """
-    bits = F.lit(0)
-    for i in range(PARITY // 64):
-        bits = bits + F.bit_count(F.get(f"parity{a}", F.lit(i)).bitwiseXOR(F.get(f"parity{b}", F.lit(i))))
-    near = distance(f"chunks{a}", f"chunks{b}") < CHUNKS * (ERRORS + 1)
-    return near & ((100 + PERCENT) * bits <= (100 - PERCENT) * (F.col(f"size{a}") + F.col(f"size{b}")))
+    bits = reduce(add, [F.bit_count(p.bitwiseXOR(q)) for p, q in zip(a, b, strict=True)])
+    return (100 + PERCENT) * bits <= (100 - PERCENT) * size
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -187,39 +208,40 @@ def judged(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     # each set has a number of its own, as ids may be null or repeat; it is fixed once written
     classes = cut(classes.select(
         F.monotonically_increasing_id().alias("id"), "set_hash", "first", "s.chunks", "s.parity", F.col("s.n_shingles").alias("size")))
-    traits = classes.select("id", "chunks", "parity", "size")
-    keyed = classes.select("id", F.explode(index_keys()).alias("key")).distinct()
+    keyed = classes.select("id", F.posexplode(index_keys()).alias("k", "key"))
     shared = keyed.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     index = cut(keyed.join(shared, "key"))
     wanted = classes.join(index.select("id").distinct(), "id", "left_semi").select(
         F.col("id").alias("number"), F.col("first.id").alias("first_id"), F.col("first.h").alias("first_h"))
     texts = source.join(wanted, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h")))
     sets = cut(text_sets(texts.select(F.col("number").alias("id"), "text").dropDuplicates(["id"])))
-    most = index.agg(F.max("n")).first()[0] or 0
 
+    lanes, odd = [f"x{i}" for i in range(CHUNKS)], [f"q{i}" for i in range(PARITY // 64)]
+    traits = classes.select("id", "size", *[F.coalesce(v, F.lit(0)).alias(n) for names, array in ((lanes, "chunks"), (odd, "parity"))
+                                            for n, v in zip(names, parts(array, len(names)), strict=True)])
     named = lambda end: traits.select(*[F.col(c).alias(c + end) for c in traits.columns])
-    pairs = index.where("id > least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = (
-        pairs.join(named("_a"), F.col("a") == F.col("id_a")).join(named("_b"), F.col("b") == F.col("id_b"))
-        .where(may_link("_a", "_b")).select("a", "b"))
-    found = components(confirm(pairs, sets))
-    share = (F.xxhash64("id").bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)) * F.col("n")
-    index, before, leaders = index.select("key", "id", "n"), 0, LEADERS
-    while before < most:  # until every member of a key has been a leader
+
+    def allowed(a: str, b: str) -> Column:
+        of = lambda names, end: [F.col(n + end) for n in names]
+        return close(of(lanes, a), of(lanes, b)) & sizes_allow(of(odd, a), of(odd, b), F.col("size" + a) + F.col("size" + b))
+
+    stars = index.where("id > least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    stars = stars.join(named("_a"), F.col("a") == F.col("id_a")).join(named("_b"), F.col("b") == F.col("id_b"))
+    found = components(confirm(stars.where(allowed("_a", "_b")).select("a", "b"), sets))
+    index = index.select("key", "id", (F.col("k") / LANES).cast("int").alias("chunk"), (F.col("k") % LANES).alias("lane"))
+    for round_ in ("leaders", "all"):
         owned = index.join(found, "id", "left").withColumn("c", F.coalesce("component_id", "id")).drop("component_id")
-        mixed = owned.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-        index = cut(owned.join(mixed, "key"))  # keys within one component are done
+        index, led = remaining(owned, round_ == "leaders")
         if index.isEmpty():
             break
         full = index.join(traits, "id")
-        leading = full.where((share >= before) & (share < leaders)).select(
-            "key", *[F.col(x).alias(x + "_b") for x in ("id", "c", "chunks", "parity", "size")])
+        leading = full.join(led, ["key", "id"], "left_semi").select("key", *[F.col(x).alias(x + "_b") for x in ("c", *traits.columns)])
+        met = met_first([F.col(x) for x in lanes], [F.col(x + "_b") for x in lanes], F.col("chunk"), F.col("lane"))
         crossing = (
-            full.join(leading, "key").where((F.col("c") != F.col("c_b")) & may_link("", "_b"))
+            full.join(leading, "key").where((F.col("c") != F.col("c_b")) & met & allowed("", "_b"))
             .select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct())
-        stars = found.where("id != component_id").select(F.col("id").alias("a"), F.col("component_id").alias("b"))
-        found = components(stars.union(confirm(crossing, sets)))
-        index, before, leaders = index.drop("c"), leaders, 16 * leaders
+        found = joined(found, confirm(crossing, sets))
+        index = index.drop("c")
     known = classes.select("set_hash", "id", "first").join(found, "id", "left").withColumn("c", F.coalesce("component_id", "id"))
     firsts = known.groupBy("c").agg(F.min("first").alias("kept_one"))
     known = known.select("set_hash", "c").join(firsts, "c").select("set_hash", "kept_one")
@@ -229,6 +251,32 @@ def judged(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         F.col("h").alias("text_hash"))
 
 
+def joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links, which are followed between the components as they were, not between their members."""
+    named = lambda end: found.select(F.col("id").alias(f"id_{end}"), F.col("component_id").alias(f"c_{end}"))
+    between = links.join(named("a"), F.col("a") == F.col("id_a"), "left").join(named("b"), F.col("b") == F.col("id_b"), "left")
+    between = cut(between.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")).distinct())
+    merged = components(between).select(F.col("id").alias("old"), F.col("component_id").alias("new"))
+    moved = found.join(merged, F.col("component_id") == F.col("old"), "left").select("id", F.coalesce("new", "component_id").alias("component_id"))
+    fresh = merged.join(found.select("id"), F.col("old") == F.col("id"), "left_anti").select(F.col("old").alias("id"), F.col("new").alias("component_id"))
+    return cut(moved.union(fresh))
+
+
+def remaining(owned: DataFrame, few: bool) -> tuple[DataFrame, DataFrame]:
+    """The members of keys that still hold several components, and those of them that lead (``key``, ``id``).
+
+    With ``few`` some ``LEADERS`` of a key lead; else all members outside the component that most of its members are in:
+    of two members of different components one is always among these.
+    """
+    sizes = owned.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("key").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "c"))["c"].alias("main")).where("parts > 1")
+    index = cut(owned.join(largest.select("key", "n", "main"), "key"))
+    share = (F.xxhash64("id").bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)) * F.col("n")
+    led = index.where(share < LEADERS if few else F.col("c") != F.col("main")).select("key", "id")
+    return index.drop("n", "main"), led
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row's ``key`` with ``n_shingles``, ``component_id`` and ``kept``."""
     return judged(df, key, text).drop("text_hash")
