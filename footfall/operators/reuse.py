@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from contextlib import contextmanager
+from uuid import uuid4
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -58,3 +59,12 @@ def written_once(df: DataFrame) -> DataFrame:
     Without such a folder the frame is returned as it is, and each job computes it again.
     """
     return df.checkpoint(eager=True) if checkpoint_dir(df.sparkSession) else df
+
+
+def fixed(df: DataFrame) -> DataFrame:
+    """The frame written once, whatever the session names, so that what depends on the run (numbers of partitions) stays."""
+    if checkpoint_dir(df.sparkSession):
+        return df.checkpoint(eager=True)
+    folder = f"{scratch_folder(df.sparkSession)}/fixed-{uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)

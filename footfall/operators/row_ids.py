@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import col
-from .reuse import held
+from .reuse import fixed
 
 #: Rows of a copied row that one task numbers at a time.
 CHUNK = 100_000
@@ -28,21 +28,20 @@ def row_ids(df: DataFrame, order: Sequence[str | Column], name: str = "id") -> D
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = merged.repartitionByRange(ranges, *keys, *rest).sortWithinPartitions(*keys, *rest).withColumns(
         {"__range": F.spark_partition_id(), "__place": F.monotonically_increasing_id()})
-    with held(dealt) as rows:
-        total = 0
-        starts = []
-        for r in rows.groupBy("__range").agg(F.sum("__n").alias("n")).orderBy("__range").collect():
-            starts.append((r["__range"], total))
-            total += r["n"]
-        offsets = F.broadcast(spark.createDataFrame(starts, "__range int, __start long"))
-        before = F.sum("__n").over(Window.partitionBy("__range").orderBy("__place").rowsBetween(Window.unboundedPreceding, 0))
-        placed = rows.join(offsets, "__range").withColumn("__first", F.col("__start") + before - F.col("__n"))
-        chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(CHUNK).cast("long")))
-        single, copied = placed.where("__n = 1"), placed.where("__n > 1")
-        parts = copied.withColumn("__at", chunk).repartition(ranges, "__first", "__at")
-        last = F.least(F.col("__n"), F.col("__at") + CHUNK) - 1
-        many = parts.withColumn("__k", F.explode(F.sequence(F.col("__at"), last)))
-        names = [col(c) for c in df.columns]
-        out = single.select(*names, (F.col("__first") + 1).alias(name)).union(
-            many.select(*names, (F.col("__first") + F.col("__k") + 1).alias(name)))
-    return out
+    rows = fixed(dealt)  # the ranges must be those that are counted
+    total = 0
+    starts = []
+    for r in rows.groupBy("__range").agg(F.sum("__n").alias("n")).orderBy("__range").collect():
+        starts.append((r["__range"], total))
+        total += r["n"]
+    offsets = F.broadcast(spark.createDataFrame(starts, "__range int, __start long"))
+    before = F.sum("__n").over(Window.partitionBy("__range").orderBy("__place").rowsBetween(Window.unboundedPreceding, 0))
+    placed = rows.join(offsets, "__range").withColumn("__first", F.col("__start") + before - F.col("__n"))
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(CHUNK).cast("long")))
+    single, copied = placed.where("__n = 1"), placed.where("__n > 1")
+    parts = copied.withColumn("__at", chunk).repartition(ranges, "__first", "__at")
+    last = F.least(F.col("__n"), F.col("__at") + CHUNK) - 1
+    many = parts.withColumn("__k", F.explode(F.sequence(F.col("__at"), last)))
+    names = [col(c) for c in df.columns]
+    return single.select(*names, (F.col("__first") + 1).alias(name)).union(
+        many.select(*names, (F.col("__first") + F.col("__k") + 1).alias(name)))
