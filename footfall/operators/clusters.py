@@ -112,7 +112,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def first_by_hash(points: DataFrame, features: Sequence[str], k: int, seeds: Sequence[int]) -> np.ndarray:
     """For each seed the k distinct points of smallest hash of seed and features: starts of restarts, in one pass."""
     def of(x: np.ndarray, seed: int) -> np.ndarray:
-        h = np.full(len(x), np.uint64(seed & 0xFFFFFFFF) * np.uint64(0x9E3779B97F4A7C15), np.uint64)
+        h = np.full(len(x), seed & 0xFFFFFFFF, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for column in (x + 0.0).T:  # -0.0 is 0.0
             h = _mixed(h + np.ascontiguousarray(column).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
         return h
