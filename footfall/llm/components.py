@@ -34,8 +34,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while not _settled(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         small = _smallest(both)
+        # each u then points to smaller nodes only
         large = both.where("v > u").join(small, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()  # each u now points to smaller nodes only
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
         stars = large.join(least, F.col("u") == F.col("k"))
         edges = cut(

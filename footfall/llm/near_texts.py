@@ -9,8 +9,8 @@ missed with chance 6e-4, and no shared key at all has chance 1.5e-6. Links are c
 
 Documents with equal sets are one class. Within a key, members are first compared with its smallest class, then with some
 ``LEADERS`` of its members, then all those outside the largest component of the key with all members. Only members of different
-components are compared, each pair under the first key that it shares, and keys whose members are all in one component are
-done. So a group of n near copies costs about n comparisons a leader until it has grown together, what stays outside
+components are compared, by narrow sketches that reject only what is certain, and keys whose members are all in one component
+are done. So a group of n near copies costs about n comparisons a leader until it has grown together, what stays outside
 is compared with all, and no link between different components is lost.
 
 Defined results: words are runs without \\x20 and \\x09-\\x0D, A-Z in lower case; fewer than five words are one shingle; a
@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from operator import add, and_, or_
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,11 @@ SHINGLE = 5
 PERCENT = 75
 CHUNKS, LANES, BITS, ERRORS = 10, 4, 16, 1
 #: Cells of the parity bits.
-PARITY = 1024
+PARITY = 512
+#: Bits of a position that are kept beside a key; they can only lessen a distance.
+BRIEF = 8
+#: Words of 64 bits that mark the hashes of the texts to be read again.
+MARKS = 1 << 17
 #: Members of a key, on average, that lead in the first round after its smallest one.
 LEADERS = 32
 SEED = 20240611
@@ -75,17 +79,26 @@ def multipliers() -> tuple[np.ndarray, np.ndarray]:
     return draw[0] * np.uint64(2) + np.uint64(1), draw[1]
 
 
-def signature(found: np.ndarray, by: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """One long a chunk; a lane of 16 bits a position."""
+def positions(found: np.ndarray, by: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The signature's positions, as numbers of 16 bits."""
     lanes = np.empty(CHUNKS * LANES, np.uint64)
     for i, (m, a) in enumerate(zip(*by)):
         value = found * m + a
         lanes[i] = (value ^ (value >> np.uint64(32))).min() if len(found) else 0
-    lanes = mix(lanes) & np.uint64(0xFFFF)
+    return mix(lanes) & np.uint64(0xFFFF)
+
+
+def signature(lanes: np.ndarray) -> np.ndarray:
+    """One long a chunk; a lane of 16 bits a position."""
     shifts = np.arange(LANES, dtype=np.uint64) * np.uint64(BITS)
     return (lanes.reshape(CHUNKS, LANES) << shifts).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
+def brief(lanes: np.ndarray) -> np.ndarray:
+    """Positions by their low bits, eight a long."""
+    return lanes.astype(np.uint8).view(np.int64)
+
+
 def parities(found: np.ndarray) -> np.ndarray:
     """For each of ``PARITY`` cells of the hash space whether the set has an odd number of shingles there, as bits of longs.
 
@@ -96,9 +109,12 @@ def parities(found: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds ``n_shingles``, ``set_hash`` (128 bits over the whole set; null for an empty one) and ``chunks``."""
+    """Adds ``n_shingles``, ``set_hash`` (128 bits over the whole set; null for an empty one), ``chunks`` and ``sketch``.
+
+    The sketch holds the brief positions and the parity bits.
+    """
     fields = [T.StructField("n_shingles", T.LongType()), T.StructField("set_hash", T.StringType()),
-              T.StructField("chunks", T.ArrayType(T.LongType())), T.StructField("parity", T.ArrayType(T.LongType()))]
+              T.StructField("chunks", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType()))]
 
     def make():
         import xxhash
@@ -108,10 +124,12 @@ def signatures(df: DataFrame, text: str = "text", keep: list[str] | None = None)
         def work(texts):
             found = [shingles(t) for t in texts]
             hashes = [xxhash.xxh3_128_hexdigest(x.tobytes()) if len(x) else None for x in found]
-            codes = np.concatenate([signature(x, by) for x in found]) if found else np.zeros(0, np.int64)
+            lanes = [positions(x, by) for x in found]
+            codes = np.concatenate([signature(x) for x in lanes]) if found else np.zeros(0, np.int64)
             edges = pa.array(np.arange(0, len(found) * CHUNKS + 1, CHUNKS, dtype=np.int32))
             chunks = pa.ListArray.from_arrays(edges, pa.array(codes))
-            return [[len(x) for x in found], hashes, chunks, [parities(x) for x in found]]
+            sketches = [np.concatenate([brief(x), parities(y)]) for x, y in zip(lanes, found, strict=True)]
+            return [[len(x) for x in found], hashes, chunks, sketches]
 
         return work
 
@@ -119,7 +137,7 @@ def signatures(df: DataFrame, text: str = "text", keep: list[str] | None = None)
 
 
 def index_keys() -> Column:
-    """Keys under which a signature is found: each chunk with each of its positions left out, in this order."""
+    """Keys under which a signature is found: each chunk with each of its positions left out."""
     keys = []
     for chunk in range(CHUNKS):
         for lane in range(LANES):
@@ -135,32 +153,21 @@ def parts(array: str, n: int) -> list[Column]:
 
 
 def differing(a: list[Column], b: list[Column]) -> list[Column]:
-    """Positions in which two signatures differ, chunk by chunk."""
-    low, high = 0x00007FFF7FFF7FFF, 0x0000800080008000
+    """Positions in which two signatures differ by their brief forms, long by long."""
+    low, high = 0x007F7F7F7F7F7F7F, 0x0080808080808080
     out = []
     for p, q in zip(a, b, strict=True):
         x = p.bitwiseXOR(q)
         lanes = (x.bitwiseAND(F.lit(low)) + F.lit(low)).bitwiseOR(x).bitwiseAND(F.lit(high))  # a bit a lane but the topmost
-        out.append(F.bit_count(lanes) + (F.shiftrightunsigned(x, 48) != 0).cast("int"))
+        out.append(F.bit_count(lanes) + (F.shiftrightunsigned(x, 56) != 0).cast("int"))
     return out
 
 
 def close(a: list[Column], b: list[Column]) -> Column:
-    """Whether two signatures are near enough to be compared."""
+    """Whether two signatures may be near enough to be compared."""
     return reduce(add, differing(a, b)) < CHUNKS * (ERRORS + 1)
 
 
-def met_first(a: list[Column], b: list[Column], chunk: Column, lane: Column) -> Column:
-    """Whether this key is the first that two signatures share, so that a pair comes once and not under each.
-
-    Signatures share keys of a chunk where they differ in one position of it (its key alone) or in none (all of them), so the
-    first key is of the first chunk that differs in one position at most.
-    """
-    earlier = [(chunk <= i) | (d > ERRORS) for i, d in enumerate(differing(a, b)[:-1])]
-    equal = reduce(or_, [(chunk == i) & (p == q) for i, (p, q) in enumerate(zip(a, b, strict=True))])
-    return reduce(and_, earlier) & ((lane == 0) | ~equal)
-
-
 def sizes_allow(a: list[Column], b: list[Column], size: Column) -> Column:
     """Whether two sets, by their parities and the sum of their sizes, can be similar enough.
 
@@ -171,22 +178,34 @@ def sizes_allow(a: list[Column], b: list[Column], size: Column) -> Column:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a``, ``b`` whose sets share at least 75 % of their union. ``sets``: ``id``, ``found`` (bytes)."""
+    """The rows of ``pairs`` whose sets ``a``, ``b`` share at least 75 % of their union. ``sets``: ``id``, ``found`` (bytes)."""
     left = sets.select(F.col("id").alias("a"), F.col("found").alias("found_a"))
     right = sets.select(F.col("id").alias("b"), F.col("found").alias("found_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "found_a", "found_b")
+    names = pairs.columns
+    both = pairs.join(left, "a").join(right, "b").select(*names, "found_a", "found_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
+            for x, y in zip(batch.column(len(names)), batch.column(len(names) + 1)):
                 p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 shared = len(p) + len(q) - len(np.union1d(p, q))
                 keep.append(100 * shared >= PERCENT * (len(p) + len(q) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(names).filter(pa.array(keep, pa.bool_()))
 
-    kinds = dict(pairs.dtypes)
-    return both.mapInArrow(check, f"a {kinds['a']}, b {kinds['b']}")
+    return both.mapInArrow(check, pairs.schema)
+
+
+def marked(source: DataFrame, wanted: DataFrame, h: str = "h") -> DataFrame:
+    """The rows of ``source`` whose hash may be among those of ``wanted``: all that are, and some that share a mark.
+
+    The marks have a bounded size, so only these rows' texts have to be sent to the place of their ids.
+    """
+    word, bit = F.pmod(F.col(h), F.lit(MARKS)), F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(63)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    marks = wanted.select(word.alias("word"), one.alias("one")).groupBy("word").agg(F.bit_or("one").alias("marks"))
+    found = source.join(F.broadcast(marks), word == F.col("word")).where(F.col("marks").bitwiseAND(one) != 0)
+    return found.drop("word", "marks")
 
 
 def text_sets(df: DataFrame, text: str = "text") -> DataFrame:
@@ -204,66 +223,62 @@ def judged(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     rows = cut(signatures(source, "text", ["id", "h"]))
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "h")
     classes = rows.where("set_hash is not null").groupBy("set_hash").agg(
-        F.min(place).alias("first"), F.min_by(F.struct("chunks", "parity", "n_shingles"), place).alias("s"))
+        F.min(place).alias("first"), F.min_by(F.struct("chunks", "sketch", "n_shingles"), place).alias("s"))
     # each set has a number of its own, as ids may be null or repeat; it is fixed once written
     classes = cut(classes.select(
-        F.monotonically_increasing_id().alias("id"), "set_hash", "first", "s.chunks", "s.parity", F.col("s.n_shingles").alias("size")))
-    keyed = classes.select("id", F.posexplode(index_keys()).alias("k", "key"))
-    shared = keyed.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        F.monotonically_increasing_id().alias("id"), "set_hash", "first", "s.chunks", "s.sketch", F.col("s.n_shingles").alias("size")))
+    keyed = classes.select("id", F.explode(index_keys()).alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     index = cut(keyed.join(shared, "key"))
-    wanted = classes.join(index.select("id").distinct(), "id", "left_semi").select(
-        F.col("id").alias("number"), F.col("first.id").alias("first_id"), F.col("first.h").alias("first_h"))
-    texts = source.join(wanted, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h")))
+    names = [f"x{i}" for i in range(CHUNKS * LANES * BRIEF // 64)], [f"q{i}" for i in range(PARITY // 64)]
+    traits = [*names[0], *names[1]]
+    members = cut(classes.join(index.select("id").distinct(), "id", "left_semi").select(
+        "id", "first", "size", *[F.coalesce(v, F.lit(0)).alias(n) for n, v in zip(traits, parts("sketch", len(traits)), strict=True)]))
+    wanted = members.select(F.col("id").alias("number"), F.col("first.id").alias("first_id"), F.col("first.h").alias("first_h"))
+    texts = marked(source, wanted.withColumnRenamed("first_h", "h")).join(
+        wanted, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h")))
     sets = cut(text_sets(texts.select(F.col("number").alias("id"), "text").dropDuplicates(["id"])))
 
-    lanes, odd = [f"x{i}" for i in range(CHUNKS)], [f"q{i}" for i in range(PARITY // 64)]
-    traits = classes.select("id", "size", *[F.coalesce(v, F.lit(0)).alias(n) for names, array in ((lanes, "chunks"), (odd, "parity"))
-                                            for n, v in zip(names, parts(array, len(names)), strict=True)])
-    named = lambda end: traits.select(*[F.col(c).alias(c + end) for c in traits.columns])
+    def traits_at(end: str) -> DataFrame:
+        return members.select(*[F.col(c).alias(c + end) for c in ("id", "size", *traits)])
 
     def allowed(a: str, b: str) -> Column:
-        of = lambda names, end: [F.col(n + end) for n in names]
-        return close(of(lanes, a), of(lanes, b)) & sizes_allow(of(odd, a), of(odd, b), F.col("size" + a) + F.col("size" + b))
+        (x, q), (y, r) = ([[F.col(n + end) for n in group] for group in names] for end in (a, b))
+        return close(x, y) & sizes_allow(q, r, F.col("size" + a) + F.col("size" + b))
 
     stars = index.where("id > least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    stars = stars.join(named("_a"), F.col("a") == F.col("id_a")).join(named("_b"), F.col("b") == F.col("id_b"))
-    found = components(confirm(stars.where(allowed("_a", "_b")).select("a", "b"), sets))
-    index = index.select("key", "id", (F.col("k") / LANES).cast("int").alias("chunk"), (F.col("k") % LANES).alias("lane"))
+    stars = stars.join(traits_at("_a"), F.col("a") == F.col("id_a")).join(traits_at("_b"), F.col("b") == F.col("id_b"))
+    linked = components(confirm(stars.where(allowed("_a", "_b")).select("a", "b"), sets))
+    found = cut(members.select("id").join(linked, "id", "left").select("id", F.coalesce("component_id", "id").alias("c")))
+    index = index.select("key", "id")
     for round_ in ("leaders", "all"):
-        owned = index.join(found, "id", "left").withColumn("c", F.coalesce("component_id", "id")).drop("component_id")
-        index, led = remaining(owned, round_ == "leaders")
+        index = remaining(index.join(found, "id"), round_ == "leaders")
         if index.isEmpty():
             break
-        full = index.join(traits, "id")
-        leading = full.join(led, ["key", "id"], "left_semi").select("key", *[F.col(x).alias(x + "_b") for x in ("c", *traits.columns)])
-        met = met_first([F.col(x) for x in lanes], [F.col(x + "_b") for x in lanes], F.col("chunk"), F.col("lane"))
-        crossing = (
-            full.join(leading, "key").where((F.col("c") != F.col("c_b")) & met & allowed("", "_b"))
-            .select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct())
-        found = joined(found, confirm(crossing, sets))
-        index = index.drop("c")
-    known = classes.select("set_hash", "id", "first").join(found, "id", "left").withColumn("c", F.coalesce("component_id", "id"))
-    firsts = known.groupBy("c").agg(F.min("first").alias("kept_one"))
-    known = known.select("set_hash", "c").join(firsts, "c").select("set_hash", "kept_one")
+        full = index.join(members.drop("first"), "id")
+        leading = full.where("leads").select("key", *[F.col(x).alias(x + "_b") for x in ("c", "id", "size", *traits)])
+        once = ~F.col("leads") | (F.col("id") < F.col("id_b"))  # two that lead meet twice
+        crossing = full.join(leading, "key").where((F.col("c") != F.col("c_b")) & once & allowed("", "_b")).select(
+            F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b"), F.least("c", "c_b").alias("c"),
+            F.greatest("c", "c_b").alias("c_b")).distinct()
+        # links are followed between the components as they were, not between their members
+        merged = components(confirm(crossing, sets).select("c", "c_b").distinct(), "c", "c_b").select(
+            F.col("id").alias("c"), F.col("component_id").alias("into"))
+        found = cut(found.join(merged, "c", "left").select("id", F.coalesce("into", "c").alias("c")))
+        index = index.select("key", "id")
+    owned = found.join(members.select("id", "first"), "id")
+    firsts = owned.groupBy("c").agg(F.min("first").alias("kept_one"))
+    judged_sets = owned.select("id", "c").join(firsts, "c").select("id", "kept_one")
+    known = classes.select("set_hash", "id", "first").join(judged_sets, "id", "left").select(
+        "set_hash", F.coalesce("kept_one", "first").alias("kept_one"))
     own = F.coalesce("kept_one", place)  # a text without words stands alone
-    return rows.join(known, "set_hash", "left").select(
+    return rows.drop("chunks", "sketch").join(known, "set_hash", "left").select(
         F.col("id").alias(key), "n_shingles", own["id"].alias("component_id"), (own == place).alias("kept"),
         F.col("h").alias("text_hash"))
 
 
-def joined(found: DataFrame, links: DataFrame) -> DataFrame:
-    """Components after more links, which are followed between the components as they were, not between their members."""
-    named = lambda end: found.select(F.col("id").alias(f"id_{end}"), F.col("component_id").alias(f"c_{end}"))
-    between = links.join(named("a"), F.col("a") == F.col("id_a"), "left").join(named("b"), F.col("b") == F.col("id_b"), "left")
-    between = cut(between.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")).distinct())
-    merged = components(between).select(F.col("id").alias("old"), F.col("component_id").alias("new"))
-    moved = found.join(merged, F.col("component_id") == F.col("old"), "left").select("id", F.coalesce("new", "component_id").alias("component_id"))
-    fresh = merged.join(found.select("id"), F.col("old") == F.col("id"), "left_anti").select(F.col("old").alias("id"), F.col("new").alias("component_id"))
-    return cut(moved.union(fresh))
-
-
-def remaining(owned: DataFrame, few: bool) -> tuple[DataFrame, DataFrame]:
-    """The members of keys that still hold several components, and those of them that lead (``key``, ``id``).
+def remaining(owned: DataFrame, few: bool) -> DataFrame:
+    """The members (``key``, ``id``, ``c``) of keys that still hold several components, and which of them lead (``leads``).
 
     With ``few`` some ``LEADERS`` of a key lead; else all members outside the component that most of its members are in:
     of two members of different components one is always among these.
@@ -271,10 +286,9 @@ def remaining(owned: DataFrame, few: bool) -> tuple[DataFrame, DataFrame]:
     sizes = owned.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("key").agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "c"))["c"].alias("main")).where("parts > 1")
-    index = cut(owned.join(largest.select("key", "n", "main"), "key"))
     share = (F.xxhash64("id").bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)) * F.col("n")
-    led = index.where(share < LEADERS if few else F.col("c") != F.col("main")).select("key", "id")
-    return index.drop("n", "main"), led
+    leads = share < LEADERS if few else F.col("c") != F.col("main")
+    return cut(owned.join(largest.drop("parts"), "key").select("key", "id", "c", leads.alias("leads")))
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
