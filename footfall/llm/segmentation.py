@@ -25,6 +25,7 @@ from __future__ import annotations
 import math
 import re
 from functools import lru_cache
+from itertools import repeat
 from typing import NamedTuple
 from zlib import crc32
 
@@ -52,8 +53,10 @@ BEYOND = re.compile(f"[{LATIN}][^{LATIN}]|[^{LATIN}{BLANK}][{LATIN}]")
 #: Added to a piece's rank before its weight -log(rank) is taken.
 SHIFT = 2
 CODE_POINTS = 1 << 21
-#: Chunks whose lattices a worker remembers.
+#: Chunks whose lattices a worker remembers beside those of its batch.
 REMEMBERED = 60_000
+#: Bits of a hash of trie edges; there are some 20 times as many places as edges.
+SLOTS = 20
 #: Bytes of text that are sampled at a time; a longer text comes alone.
 SLICE = 1 << 20
 
@@ -100,14 +103,25 @@ class Pieces:
         keys = np.array([(a * CODE_POINTS + c, v) for (a, c), v in children.items()], np.int64)
         keys = keys[np.argsort(keys[:, 0])]
         self.keys, self.targets = keys[:, 0].copy(), keys[:, 1].copy()
+        self.slots = np.full(1 << SLOTS, -1, np.int32)  # a place holds one of the edges hashed there
+        self.slots[self.slot(self.keys)] = np.arange(len(keys), dtype=np.int32)
         self.ids, self.weights = np.array(ids), np.array(weights)
         spans = any(BEYOND.search(self.names[i]) for i in ids if i >= 0)
         self.split = CHUNK if spans else WORD_CHUNK
 
+    @staticmethod
+    def slot(key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * _A) >> np.uint64(64 - SLOTS)).astype(np.int64)
+
     def step(self, nodes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Where the trie's edges lead from nodes (below 0: there is none)."""
         key = nodes * CODE_POINTS + codes
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.targets[at], -1)
+        at = self.slots[self.slot(key)]
+        out = np.where((at >= 0) & (self.keys[at] == key), self.targets[at], -1)
+        other = np.flatnonzero((at >= 0) & (out < 0))  # the place holds another edge
+        late = np.minimum(np.searchsorted(self.keys, key[other]), len(self.keys) - 1)
+        out[other] = np.where(self.keys[late] == key[other], self.targets[late], -1)
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -131,27 +145,68 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number: dict[str, int] = {}  # of the remembered chunks, which are the first ones
+        self.uses = np.zeros(0, np.int64)
         self.start = np.zeros(0, np.int64)
         self.first = np.zeros(1, np.int64)
         self.mass = np.zeros(0)
         self.to, self.id, self.running, self.chance = (np.zeros(0, t) for t in (np.int32, np.int32, np.float32, float))
 
     def codes(self, chunks: pa.Array) -> np.ndarray:
-        """Numbers of the chunks; lattices of new ones are built together."""
+        """Numbers of the chunks; lattices of new ones are built together.
+
+        What comes twice in a batch is remembered, the rest until the next batch only.
+        """
         coded = chunks.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        fresh = [c for c in distinct if c not in self.number]
-        if len(self.number) + len(fresh) > REMEMBERED and self.number:
+        distinct, indices = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        self.forget()
+        count = np.bincount(indices, minlength=len(distinct))
+        numbers = self.numbers(distinct)
+        if len(self.number) + int(((numbers < 0) & (count > 1)).sum()) > REMEMBERED and self.number:
+            names = list(self.number)
+            most = np.argsort(-self.uses, kind="stable")[: REMEMBERED // 2]
+            uses = self.uses[most] // 2
             self.clear()
-            fresh = distinct
-        if fresh:
-            self.add(sorted(fresh, key=len, reverse=True))
-        numbers = np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))
-        return numbers[coded.indices.to_numpy()] if len(chunks) else numbers
-
-    def add(self, chunks: list[str]) -> None:
-        """Builds the lattices of chunks, the longest first."""
+            self.remember([names[i] for i in most.tolist()], uses)
+            numbers = self.numbers(distinct)
+        fresh = np.flatnonzero(numbers < 0)
+        fresh = fresh[np.argsort([-len(distinct[i]) for i in fresh.tolist()], kind="stable")]
+        often = count[fresh] > 1
+        again = fresh[often][: max(0, REMEMBERED - len(self.number))]
+        numbers[again] = self.remember([distinct[i] for i in again.tolist()], np.zeros(len(again), np.int64))
+        held = numbers >= 0
+        self.uses[numbers[held]] += count[held]
+        rest = fresh[numbers[fresh] < 0]
+        numbers[rest] = self.add([distinct[i] for i in rest.tolist()])
+        return numbers[indices] if len(chunks) else numbers
+
+    def numbers(self, chunks: list[str]) -> np.ndarray:
+        """Numbers of remembered chunks, -1 for others."""
+        return np.fromiter(map(self.number.get, chunks, repeat(-1)), np.int64, len(chunks))
+
+    def remember(self, chunks: list[str], uses: np.ndarray) -> np.ndarray:
+        """Adds chunks that stay, and returns their numbers."""
+        order = np.array(sorted(range(len(chunks)), key=lambda i: -len(chunks[i])), np.int64)
+        names = [chunks[i] for i in order.tolist()]
+        numbers = np.empty(len(chunks), np.int64)
+        numbers[order] = self.add(names)
+        self.number.update(zip(names, numbers[order].tolist(), strict=True))
+        self.uses = np.concatenate([self.uses, uses[order]])
+        return numbers
+
+    def forget(self) -> None:
+        """Only the lattices of remembered chunks stay."""
+        n = len(self.number)
+        if n < len(self.start):
+            at = int(self.start[n])
+            edge = int(self.first[at])
+            self.start, self.first, self.mass = self.start[:n], self.first[: at + 1], self.mass[:at]
+            self.to, self.id, self.running, self.chance = (x[:edge] for x in (self.to, self.id, self.running, self.chance))
+
+    def add(self, chunks: list[str]) -> np.ndarray:
+        """Builds the lattices of chunks, the longest first, and returns their numbers."""
+        if not chunks:
+            return np.zeros(0, np.int64)
         v = self.vocabulary
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         text = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32).astype(np.int64)
@@ -200,7 +255,6 @@ class Lattices:
         place = np.zeros(len(mass) + 1, np.int64)  # first edge of each position; the last one of a chunk has none
         place[1:] = np.cumsum(np.bincount(source, minlength=len(mass)))
         base, edges = len(self.mass), len(self.to)
-        self.number.update(zip(chunks, range(len(self.start), len(self.start) + len(chunks))))
         self.start = np.concatenate([self.start, base + chars + np.arange(len(chunks))])
         self.first = np.concatenate([self.first[:-1], edges + place])
         self.mass = np.concatenate([self.mass, mass])
@@ -208,6 +262,7 @@ class Lattices:
         self.id = np.concatenate([self.id, ids.astype(np.int32)])
         self.running = np.concatenate([self.running, running.astype(np.float32)])
         self.chance = np.concatenate([self.chance, chance])
+        return np.arange(len(self.start) - len(chunks), len(self.start))
 
     def length(self, code: int) -> int:
         """Positions of a chunk, at most: no path has more edges."""
