@@ -9,8 +9,8 @@ missed with chance 6e-4, and no shared key at all has chance 1.5e-6. Links are c
 
 Documents with equal sets are one class. Within a key, members are first compared with its smallest class, then with some
 ``LEADERS`` of its members, then all those outside the largest component of the key with all members. Only members of different
-components are compared, by narrow sketches that reject only what is certain, and keys whose members are all in one component
-are done. So a group of n near copies costs about n comparisons a leader until it has grown together, what stays outside
+components are compared, each pair under the first key that it shares, and keys whose members are all in one component are
+done. So a group of n near copies costs about n comparisons a leader until it has grown together, what stays outside
 is compared with all, and no link between different components is lost.
 
 Defined results: words are runs without \\x20 and \\x09-\\x0D, A-Z in lower case; fewer than five words are one shingle; a
@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from operator import add
+from operator import add, and_, or_
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +41,6 @@ PERCENT = 75
 CHUNKS, LANES, BITS, ERRORS = 10, 4, 16, 1
 #: Cells of the parity bits.
 PARITY = 512
-#: Bits of a position that are kept beside a key; they can only lessen a distance.
-BRIEF = 8
 #: Words of 64 bits that mark the hashes of the texts to be read again.
 MARKS = 1 << 17
 #: Members of a key, on average, that lead in the first round after its smallest one.
@@ -79,26 +77,17 @@ def multipliers() -> tuple[np.ndarray, np.ndarray]:
     return draw[0] * np.uint64(2) + np.uint64(1), draw[1]
 
 
-def positions(found: np.ndarray, by: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The signature's positions, as numbers of 16 bits."""
+def signature(found: np.ndarray, by: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """One long a chunk; a lane of 16 bits a position."""
     lanes = np.empty(CHUNKS * LANES, np.uint64)
     for i, (m, a) in enumerate(zip(*by)):
         value = found * m + a
         lanes[i] = (value ^ (value >> np.uint64(32))).min() if len(found) else 0
-    return mix(lanes) & np.uint64(0xFFFF)
-
-
-def signature(lanes: np.ndarray) -> np.ndarray:
-    """One long a chunk; a lane of 16 bits a position."""
+    lanes = mix(lanes) & np.uint64(0xFFFF)
     shifts = np.arange(LANES, dtype=np.uint64) * np.uint64(BITS)
     return (lanes.reshape(CHUNKS, LANES) << shifts).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
-def brief(lanes: np.ndarray) -> np.ndarray:
-    """Positions by their low bits, eight a long."""
-    return lanes.astype(np.uint8).view(np.int64)
-
-
 def parities(found: np.ndarray) -> np.ndarray:
     """For each of ``PARITY`` cells of the hash space whether the set has an odd number of shingles there, as bits of longs.
 
@@ -109,12 +98,9 @@ def parities(found: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds ``n_shingles``, ``set_hash`` (128 bits over the whole set; null for an empty one), ``chunks`` and ``sketch``.
-
-    The sketch holds the brief positions and the parity bits.
-    """
+    """Adds ``n_shingles``, ``set_hash`` (128 bits over the whole set; null for an empty one), ``chunks`` and ``parity``."""
     fields = [T.StructField("n_shingles", T.LongType()), T.StructField("set_hash", T.StringType()),
-              T.StructField("chunks", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType()))]
+              T.StructField("chunks", T.ArrayType(T.LongType())), T.StructField("parity", T.ArrayType(T.LongType()))]
 
     def make():
         import xxhash
@@ -124,12 +110,10 @@ def signatures(df: DataFrame, text: str = "text", keep: list[str] | None = None)
         def work(texts):
             found = [shingles(t) for t in texts]
             hashes = [xxhash.xxh3_128_hexdigest(x.tobytes()) if len(x) else None for x in found]
-            lanes = [positions(x, by) for x in found]
-            codes = np.concatenate([signature(x) for x in lanes]) if found else np.zeros(0, np.int64)
+            codes = np.concatenate([signature(x, by) for x in found]) if found else np.zeros(0, np.int64)
             edges = pa.array(np.arange(0, len(found) * CHUNKS + 1, CHUNKS, dtype=np.int32))
             chunks = pa.ListArray.from_arrays(edges, pa.array(codes))
-            sketches = [np.concatenate([brief(x), parities(y)]) for x, y in zip(lanes, found, strict=True)]
-            return [[len(x) for x in found], hashes, chunks, sketches]
+            return [[len(x) for x in found], hashes, chunks, [parities(x) for x in found]]
 
         return work
 
@@ -137,13 +121,14 @@ def signatures(df: DataFrame, text: str = "text", keep: list[str] | None = None)
 
 
 def index_keys() -> Column:
-    """Keys under which a signature is found: each chunk with each of its positions left out."""
+    """Keys under which a signature is found: each chunk with each of its positions left out; the low 6 bits tell which."""
     keys = []
     for chunk in range(CHUNKS):
         for lane in range(LANES):
             mask = ~(0xFFFF << (BITS * lane)) & (1 << 64) - 1
             mask -= (mask >> 63) << 64
-            keys.append(F.xxhash64(F.get("chunks", F.lit(chunk)).bitwiseAND(F.lit(mask)), F.lit(chunk * LANES + lane)))
+            whole = F.xxhash64(F.get("chunks", F.lit(chunk)).bitwiseAND(F.lit(mask)), F.lit(chunk * LANES + lane))
+            keys.append(whole.bitwiseAND(F.lit(-64)).bitwiseOR(F.lit(chunk * LANES + lane).cast("long")))
     return F.array(*keys)
 
 
@@ -153,21 +138,33 @@ def parts(array: str, n: int) -> list[Column]:
 
 
 def differing(a: list[Column], b: list[Column]) -> list[Column]:
-    """Positions in which two signatures differ by their brief forms, long by long."""
-    low, high = 0x007F7F7F7F7F7F7F, 0x0080808080808080
+    """Positions in which two signatures differ, chunk by chunk."""
+    low, high = 0x00007FFF7FFF7FFF, 0x0000800080008000
     out = []
     for p, q in zip(a, b, strict=True):
         x = p.bitwiseXOR(q)
         lanes = (x.bitwiseAND(F.lit(low)) + F.lit(low)).bitwiseOR(x).bitwiseAND(F.lit(high))  # a bit a lane but the topmost
-        out.append(F.bit_count(lanes) + (F.shiftrightunsigned(x, 56) != 0).cast("int"))
+        out.append(F.bit_count(lanes) + (F.shiftrightunsigned(x, 48) != 0).cast("int"))
     return out
 
 
 def close(a: list[Column], b: list[Column]) -> Column:
-    """Whether two signatures may be near enough to be compared."""
+    """Whether two signatures are near enough to be compared."""
     return reduce(add, differing(a, b)) < CHUNKS * (ERRORS + 1)
 
 
+def met_first(a: list[Column], b: list[Column], key: Column) -> Column:
+    """Whether this key is the first that two signatures share, so that a pair comes once and not under each.
+
+    Signatures share keys of a chunk where they differ in one position of it (its key alone) or in none (all of them), so the
+    first key is of the first chunk that differs in one position at most.
+    """
+    place = key.bitwiseAND(F.lit(63))
+    earlier = [(place < LANES * (i + 1)) | (d > ERRORS) for i, d in enumerate(differing(a, b)[:-1])]
+    equal = [(place >= LANES * i) & (place < LANES * (i + 1)) & (p == q) for i, (p, q) in enumerate(zip(a, b, strict=True))]
+    return reduce(and_, earlier) & ((F.pmod(place, F.lit(LANES)) == 0) | ~reduce(or_, equal))
+
+
 def sizes_allow(a: list[Column], b: list[Column], size: Column) -> Column:
     """Whether two sets, by their parities and the sum of their sizes, can be similar enough.
 
@@ -223,17 +220,18 @@ def judged(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     rows = cut(signatures(source, "text", ["id", "h"]))
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "h")
     classes = rows.where("set_hash is not null").groupBy("set_hash").agg(
-        F.min(place).alias("first"), F.min_by(F.struct("chunks", "sketch", "n_shingles"), place).alias("s"))
+        F.min(place).alias("first"), F.min_by(F.struct("chunks", "parity", "n_shingles"), place).alias("s"))
     # each set has a number of its own, as ids may be null or repeat; it is fixed once written
     classes = cut(classes.select(
-        F.monotonically_increasing_id().alias("id"), "set_hash", "first", "s.chunks", "s.sketch", F.col("s.n_shingles").alias("size")))
+        F.monotonically_increasing_id().alias("id"), "set_hash", "first", "s.chunks", "s.parity", F.col("s.n_shingles").alias("size")))
     keyed = classes.select("id", F.explode(index_keys()).alias("key"))
     shared = keyed.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     index = cut(keyed.join(shared, "key"))
-    names = [f"x{i}" for i in range(CHUNKS * LANES * BRIEF // 64)], [f"q{i}" for i in range(PARITY // 64)]
+    names = [f"x{i}" for i in range(CHUNKS)], [f"q{i}" for i in range(PARITY // 64)]
     traits = [*names[0], *names[1]]
     members = cut(classes.join(index.select("id").distinct(), "id", "left_semi").select(
-        "id", "first", "size", *[F.coalesce(v, F.lit(0)).alias(n) for n, v in zip(traits, parts("sketch", len(traits)), strict=True)]))
+        "id", "first", "size", *[F.coalesce(v, F.lit(0)).alias(n) for n, v in zip(
+            traits, [*parts("chunks", CHUNKS), *parts("parity", PARITY // 64)], strict=True)]))
     wanted = members.select(F.col("id").alias("number"), F.col("first.id").alias("first_id"), F.col("first.h").alias("first_h"))
     texts = marked(source, wanted.withColumnRenamed("first_h", "h")).join(
         wanted, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h")))
@@ -258,7 +256,8 @@ def judged(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         full = index.join(members.drop("first"), "id")
         leading = full.where("leads").select("key", *[F.col(x).alias(x + "_b") for x in ("c", "id", "size", *traits)])
         once = ~F.col("leads") | (F.col("id") < F.col("id_b"))  # two that lead meet twice
-        crossing = full.join(leading, "key").where((F.col("c") != F.col("c_b")) & once & allowed("", "_b")).select(
+        met = met_first([F.col(x) for x in names[0]], [F.col(x + "_b") for x in names[0]], F.col("key"))
+        crossing = full.join(leading, "key").where((F.col("c") != F.col("c_b")) & once & allowed("", "_b") & met).select(
             F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b"), F.least("c", "c_b").alias("c"),
             F.greatest("c", "c_b").alias("c_b")).distinct()
         # links are followed between the components as they were, not between their members
@@ -272,7 +271,7 @@ def judged(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     known = classes.select("set_hash", "id", "first").join(judged_sets, "id", "left").select(
         "set_hash", F.coalesce("kept_one", "first").alias("kept_one"))
     own = F.coalesce("kept_one", place)  # a text without words stands alone
-    return rows.drop("chunks", "sketch").join(known, "set_hash", "left").select(
+    return rows.drop("chunks", "parity").join(known, "set_hash", "left").select(
         F.col("id").alias(key), "n_shingles", own["id"].alias("component_id"), (own == place).alias("kept"),
         F.col("h").alias("text_hash"))
 

@@ -17,30 +17,28 @@ def test_only_marked_texts_are_sent_again(spark):
     assert near_texts.marked(source, wanted.where("h is null")).isEmpty()
 
 
-def test_brief_positions_never_add_distance(spark):
+def test_a_pair_is_met_under_one_of_its_shared_keys(spark):
     draw = np.random.default_rng(3)
-    n = near_texts.CHUNKS * near_texts.LANES
-    rows, want, most = [], [], []
-    for same in range(0, n + 1, 4):
-        a, b = (draw.integers(0, 1 << 16, n).astype(np.uint64) for _ in range(2))
-        equal = draw.permutation(n)[:same]
-        b[equal] = a[equal]
-        rows.append((near_texts.brief(a).tolist(), near_texts.brief(b).tolist()))
-        want.append(int((a & np.uint64(255) != b & np.uint64(255)).sum()))
-        most.append(int((a != b).sum()))
-    width = n * near_texts.BRIEF // 64
-    found = near_texts.differing(near_texts.parts("a", width), near_texts.parts("b", width))
-    total = found[0]
-    for x in found[1:]:
-        total = total + x
-    got = [r.d for r in spark.createDataFrame(rows, "a array<long>, b array<long>").coalesce(1).select(total.alias("d")).collect()]
-    assert got == want
-    assert all(d <= m for d, m in zip(got, most, strict=True))
+    rows = []
+    for i in range(200):
+        a = draw.integers(0, 1 << 16, near_texts.CHUNKS * near_texts.LANES).astype(np.uint64)
+        b = np.where(draw.random(len(a)) < 0.15 + 0.1 * (i % 4), draw.integers(0, 1 << 16, len(a)), a).astype(np.uint64)
+        packed = [(x.reshape(-1, near_texts.LANES) << (np.arange(near_texts.LANES, dtype=np.uint64) * np.uint64(16))).sum(axis=1) for x in (a, b)]
+        rows.extend((2 * i + end, x.astype(np.uint64).view(np.int64).tolist()) for end, x in enumerate(packed))
+    frame = spark.createDataFrame(rows, "id long, chunks array<long>").coalesce(2)
+    names = [f"x{i}" for i in range(near_texts.CHUNKS)]
+    keyed = frame.select("id", F.explode(near_texts.index_keys()).alias("key"), *[
+        c.alias(n) for c, n in zip(near_texts.parts("chunks", len(names)), names, strict=True)])
+    other = keyed.select("key", *[F.col(c).alias(c + "_b") for c in ("id", *names)])
+    met = near_texts.met_first([F.col(n) for n in names], [F.col(n + "_b") for n in names], F.col("key"))
+    pairs = keyed.join(other, "key").where("id < id_b")
+    shared = {tuple(r) for r in pairs.select("id", "id_b").distinct().collect()}
+    assert len(shared) > 190
+    assert sorted(tuple(r) for r in pairs.where(met).select("id", "id_b").collect()) == sorted(shared)
 
 
 def test_narrow_rows_beside_a_key():
-    made = near_texts.CHUNKS * near_texts.LANES * near_texts.BRIEF // 64 + near_texts.PARITY // 64
-    assert made <= 16  # 26 longs beside each key took a run on many near copies over its memory
+    assert near_texts.CHUNKS + near_texts.PARITY // 64 <= 18  # 26 longs beside each key took a run on many near copies over its memory
 
 
 def test_a_key_leads_by_members_outside_its_main_component(spark):
