@@ -19,8 +19,8 @@ from ..operators.reuse import checkpoint_dir
 SLICE_BYTES = 4 << 20
 
 
-#: Entries of one generation of a ``Remembered``, of which there are two.
-REMEMBERED = 400_000
+#: Entries of one generation of a ``Remembered``, of which there are two; a worker keeps them while other operators run there.
+REMEMBERED = 100_000
 
 
 class Remembered(dict):
@@ -110,6 +110,7 @@ def map_texts(
 
     ``fn()`` is called once a task and returns a function from a list of texts (null: None) to the list of columns, each as
     Arrow array or list. With ``arrow`` it gets the Arrow array of the texts. Columns of ``keep`` that are called like a result are replaced by it.
+    A worker serves many tasks, so memory that a batch needed is given back after it.
     """
     names = [f.name for f in fields]
     low = {n.lower() for n in names}
@@ -122,7 +123,8 @@ def map_texts(
 
         target = to_arrow_schema(schema)
         work = fn()
-        for batch in batches:
+
+        def made_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             texts = batch.column(len(kept))
             sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
             for a, b in slices(sizes, most):
@@ -135,4 +137,9 @@ def map_texts(
                 ]
                 yield pa.RecordBatch.from_arrays([*columns, *results], names=[*kept, *names])
 
+        for batch in batches:
+            yield from made_of(batch)
+            del batch
+            pa.default_memory_pool().release_unused()
+
     return source.mapInArrow(run, schema)

@@ -107,7 +107,7 @@ def pieces(
 
         return lambda texts: [[split(x) for x in encode(texts)]]
 
-    rows = map_texts(df, make, [T.StructField("__pieces", T._parse_datatype_string(each))], text, keep, 16 << 20, arrow=True)
+    rows = map_texts(df, make, [T.StructField("__pieces", T._parse_datatype_string(each))], text, keep, arrow=True)
     names = [c for c in rows.columns if c.lower() not in ("__pieces", "piece", "start", "length", "ids_crc32", "ids")]
     return rows.select(*[F.col(f"`{c}`") for c in names], F.posexplode("__pieces").alias("piece", "__row")).select(
         *[F.col(f"`{c}`") for c in names], "piece", (F.col("piece").cast("long") * size).alias("start"), "__row.*")
